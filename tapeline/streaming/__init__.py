@@ -1,0 +1,5 @@
+"""Deliberately empty: every job in scope is a bounded batch over a date range.
+
+Late corrections reach the stored tables as keyed upserts
+(``tapeline.sources.store``), so no stream, watermark or state store is needed.
+"""
