@@ -21,8 +21,13 @@ def to_double(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def rounded(c: Column, digits: int = 8) -> Column:
-    """Round and drop the sign of zero, for values that are compared or published."""
-    return F.round(c, digits) + F.lit(0.0)
+    """Round half up in double arithmetic, without a negative zero.
+
+    For values that are compared or published: plain arithmetic gives the same result
+    in every engine, also for values that lie just halfway. NaN becomes NULL.
+    """
+    scale = float(10 ** digits)
+    return F.when(~F.isnan(c), F.floor(c * scale + 0.5) / scale + 0.0)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -140,7 +140,9 @@ def curve_metrics(curve: DataFrame, account: Account = Account()) -> DataFrame:
         F.avg(F.log(F.lit(1.0) + F.col("ret"))).alias("avg_log_return"),
     )
     base = base.withColumn("total_return", (F.col("final_value") - cash) / cash)
-    grown = F.pow(F.lit(1.0) + F.col("total_return"), F.lit(float(TRADING_DAYS)) / F.col("trading_days"))
+    # More than everything can be lost with a fixed sum per ticker; that is -100 % a year.
+    left = F.greatest(F.lit(1.0) + F.col("total_return"), F.lit(0.0))
+    grown = F.pow(left, F.lit(float(TRADING_DAYS)) / F.col("trading_days"))
     base = base.withColumn("annual_return", grown - 1.0)
     return base.withColumns({
         "sharpe_ratio": F.coalesce(ratio(F.col("_excess"), F.col("_sd")), zero),
@@ -152,7 +154,7 @@ def curve_metrics(curve: DataFrame, account: Account = Account()) -> DataFrame:
 def trade_metrics(trades: DataFrame, account: Account = Account()) -> DataFrame:
     """Counts, means, profit factor, expectancy and SQN of a trade log, as one row."""
     pnl, zero = F.col("pnl_net"), F.lit(0.0)
-    won, lost = F.when(pnl > 0, pnl), F.when(pnl <= 0, pnl)
+    won, lost = F.when(pnl >= 0, pnl), F.when(pnl < 0, pnl)
     base = trades.agg(
         F.count("*").alias("total_trades"),
         F.count(won).alias("winning_trades"), F.count(lost).alias("losing_trades"),

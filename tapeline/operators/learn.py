@@ -133,21 +133,44 @@ def _fit(rows: DataFrame, candidate: Candidate, counts: dict[float, int]) -> Log
     return estimator.fit(rows)
 
 
-def _fold_score(rows: DataFrame, fold: int, candidate: Candidate, sizes: dict[int, dict[float, int]]):
+def _fold_score(
+    rows: DataFrame, fold: int, candidate: Candidate, counts: dict[float, int]
+) -> tuple[float, int]:
     """Accuracy on ``fold`` after training on all earlier folds, and the iterations used."""
-    counts: dict[float, int] = {}
-    for f, by_label in sizes.items():
-        if f < fold:
-            for label, n in by_label.items():
-                counts[label] = counts.get(label, 0) + n
     model = _fit(rows.where(F.col("fold") < fold), candidate, counts)
     hit = (F.col("prediction") == F.col("label")).cast("double")
     test = rows.where(F.col("fold") == fold)
     return model.transform(test).agg(F.avg(hit)).first()[0], model.summary.totalIterations
 
 
+def _class_sizes(rows: DataFrame, by: str) -> dict[int, dict[float, int]]:
+    """Rows per group and label; a handful of counts."""
+    sizes: dict[int, dict[float, int]] = {}
+    for r in rows.groupBy(by, "label").count().collect():
+        sizes.setdefault(r[by], {})[r["label"]] = r["count"]
+    return sizes
+
+
+def _total(sizes: dict[int, dict[float, int]], below: int | None = None) -> dict[float, int]:
+    counts: dict[float, int] = {}
+    for group, by_label in sizes.items():
+        if below is None or group < below:
+            for label, n in by_label.items():
+                counts[label] = counts.get(label, 0) + n
+    return counts
+
+
+def fit_model(train: DataFrame, features: list[str], candidate: Candidate) -> SignalModel:
+    """Scale and fit one candidate, without a search."""
+    steps = Pipeline(stages=feature_steps(train, features)).fit(train)
+    rows = steps.transform(train).select("features", "label")
+    counts = _total(_class_sizes(train.withColumn("_all", F.lit(0)), "_all"))
+    fitted = _fit(rows, candidate, counts)
+    return SignalModel(features, PipelineModel([*steps.stages, fitted]), candidate, float("nan"))
+
+
 def grid_search(
-    train: DataFrame, features: list[str], threads: int = 4, grid_c: list[float] = GRID_C
+    train: DataFrame, features: list[str], threads: int = 4
 ) -> tuple[SignalModel, list[tuple[Candidate, float]]]:
     """Search C, class weight and iteration limit over expanding time folds; fit the best on all rows.
 
@@ -158,30 +181,24 @@ def grid_search(
     steps = Pipeline(stages=feature_steps(train, features)).fit(train)
     rows = steps.transform(train).select("features", "label", "fold").persist()
     try:
-        sizes: dict[int, dict[float, int]] = {}
-        for r in rows.groupBy("fold", "label").count().collect():
-            sizes.setdefault(r["fold"], {})[r["label"]] = r["count"]
+        sizes = _class_sizes(rows, "fold")
         folds = range(1, max(sizes) + 1)
+        plans = [(c, w) for c in GRID_C for w in GRID_CLASS_WEIGHT]
+
+        def search(plan: tuple[float, str | None]) -> list[tuple[Candidate, float]]:
+            found, seen = [], None
+            for limit in GRID_MAX_ITER:
+                candidate = Candidate(*plan, limit)
+                if seen is None or seen[1] >= GRID_MAX_ITER[0]:
+                    runs = [_fold_score(rows, f, candidate, _total(sizes, f)) for f in folds]
+                    seen = sum(s for s, _ in runs) / len(runs), max(i for _, i in runs)
+                found.append((candidate, seen[0]))
+            return found
 
         with ThreadPoolExecutor(threads) as pool:
-            def scores(candidate: Candidate) -> tuple[float, int]:
-                results = list(pool.map(lambda f: _fold_score(rows, f, candidate, sizes), folds))
-                return sum(s for s, _ in results) / len(results), max(i for _, i in results)
-
-            outcome = []
-            for c in grid_c:
-                for weight in GRID_CLASS_WEIGHT:
-                    seen: tuple[float, int] | None = None
-                    for limit in GRID_MAX_ITER:
-                        if seen is None or seen[1] >= GRID_MAX_ITER[0]:
-                            seen = scores(Candidate(c, weight, limit))
-                        outcome.append((Candidate(c, weight, limit), seen[0]))
+            outcome = [pair for part in pool.map(search, plans) for pair in part]
         best, score = max(outcome, key=lambda pair: pair[1])
-        totals: dict[float, int] = {}
-        for by_label in sizes.values():
-            for label, n in by_label.items():
-                totals[label] = totals.get(label, 0) + n
-        fitted = PipelineModel([*steps.stages, _fit(rows, best, totals)])
+        fitted = PipelineModel([*steps.stages, _fit(rows, best, _total(sizes))])
     finally:
         rows.unpersist()
     return SignalModel(features, fitted, best, score), outcome

@@ -19,18 +19,21 @@ def with_ticker_details(facts: DataFrame, tickers: DataFrame) -> DataFrame:
     return facts.join(tickers, "ticker_code")
 
 
-def price_indicator_view(prices: DataFrame, tickers: DataFrame, indicators: DataFrame, code: str) -> DataFrame:
-    """Close and indicators of one listed ticker, every price day kept, in date order.
+def price_indicator_view(
+    prices: DataFrame, tickers: DataFrame, indicators: DataFrame, code: str | None = None
+) -> DataFrame:
+    """Close and indicators of listed tickers, every price day kept.
 
-    The ticker filter is put on all three tables, so it reaches each scan.
+    With a ``code`` the filter is put on all three tables, so it reaches each scan,
+    and the days come in order.
     """
-    one = F.col("ticker_code") == code
-    listed = tickers.where(one).select("ticker_code")
-    days = prices.where(one).select(*KEYS, "close").join(listed, "ticker_code", "left_semi")
-    have = [c for c in VIEW_COLUMNS if c != "close"]
-    return days.join(indicators.where(one).select(*KEYS, *have), KEYS, "left").select(
-        "date", *VIEW_COLUMNS
-    ).orderBy("date")
+    if code is not None:
+        one = F.col("ticker_code") == code
+        prices, tickers, indicators = prices.where(one), tickers.where(one), indicators.where(one)
+    have = [c for c in VIEW_COLUMNS if c in indicators.columns and c != "close"]
+    days = prices.select(*KEYS, "close").join(tickers.select("ticker_code"), "ticker_code")
+    view = days.join(indicators.select(*KEYS, *have), KEYS, "left").select(*KEYS, "close", *have)
+    return view if code is None else view.drop("ticker_code").orderBy("date")
 
 
 def prices_with_indicators(prices: DataFrame, indicators: DataFrame) -> DataFrame:
