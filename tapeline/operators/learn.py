@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -133,16 +135,6 @@ def _fit(rows: DataFrame, candidate: Candidate, counts: dict[float, int]) -> Log
     return estimator.fit(rows)
 
 
-def _fold_score(
-    rows: DataFrame, fold: int, candidate: Candidate, counts: dict[float, int]
-) -> tuple[float, int]:
-    """Accuracy on ``fold`` after training on all earlier folds, and the iterations used."""
-    model = _fit(rows.where(F.col("fold") < fold), candidate, counts)
-    hit = (F.col("prediction") == F.col("label")).cast("double")
-    test = rows.where(F.col("fold") == fold)
-    return model.transform(test).agg(F.avg(hit)).first()[0], model.summary.totalIterations
-
-
 def _class_sizes(rows: DataFrame, by: str) -> dict[int, dict[float, int]]:
     """Rows per group and label; a handful of counts."""
     sizes: dict[int, dict[float, int]] = {}
@@ -169,34 +161,126 @@ def fit_model(train: DataFrame, features: list[str], candidate: Candidate) -> Si
     return SignalModel(features, PipelineModel([*steps.stages, fitted]), candidate, float("nan"))
 
 
+@dataclass
+class _Problem:
+    """One penalised fit of the search: rows of folds below ``fold``, weighted by class."""
+
+    fold: int
+    penalty: float
+    weights: dict[float, float]
+    beta: np.ndarray
+    loss: float = np.inf
+    best: np.ndarray | None = None
+    settled: bool = False
+
+
+def _logistic_parts(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Loss, gradient and curvature of a batch of rows, flattened."""
+    z = x @ beta
+    p = 1.0 / (1.0 + np.exp(-z))
+    loss = float(w @ (np.logaddexp(0.0, z) - y * z))
+    curve = (x * (w * p * (1.0 - p))[:, None]).T @ x
+    return np.concatenate([[loss], x.T @ (w * (p - y)), curve.ravel()])
+
+
+def _summed_parts(rows: DataFrame, names: list[str], problems: list[_Problem]) -> dict[int, np.ndarray]:
+    """One pass over ``rows`` for all open problems.
+
+    Each task reduces its rows to a fixed number of sums per problem, and Spark adds
+    them up by (problem, place); what reaches the driver does not grow with the rows.
+    """
+    todo = [(i, p.fold, p.weights, p.beta) for i, p in enumerate(problems) if not p.settled]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = np.column_stack([np.ones(len(batch)), batch[names].to_numpy()])
+            y, fold = batch["label"].to_numpy(), batch["fold"].to_numpy()
+            for i, below, weights, beta in todo:
+                use = fold < below
+                if use.any():
+                    w = np.where(y[use] == 1.0, weights[1.0], weights[0.0])
+                    sums[i] = sums.get(i, 0.0) + _logistic_parts(x[use], y[use], w, beta)
+        for i, values in sums.items():
+            yield pd.DataFrame({"problem": i, "place": np.arange(len(values)), "value": values})
+
+    parts = rows.mapInPandas(partial, "problem int, place int, value double")
+    totals = parts.groupBy("problem", "place").agg(F.sum("value").alias("value")).collect()
+    size = 1 + (len(names) + 1) + (len(names) + 1) ** 2
+    out = {i: np.zeros(size) for i, *_ in todo}
+    for r in totals:
+        out[r["problem"]][r["place"]] = r["value"]
+    return out
+
+
+def _newton_step(p: _Problem, parts: np.ndarray) -> None:
+    """Take one step from summed parts, or halve the last one if it made the loss worse."""
+    k = len(p.beta)
+    ridge = np.full(k, p.penalty)
+    ridge[0] = 0.0  # the intercept is free
+    loss = parts[0] + 0.5 * float(ridge @ p.beta**2)
+    if p.best is not None and not loss <= p.loss * (1 + 1e-12):
+        p.beta = (p.beta + p.best) / 2
+        p.settled = bool(np.max(np.abs(p.beta - p.best)) < 1e-9)
+        return
+    p.best, p.loss = p.beta, loss
+    slope = parts[1 : k + 1] + ridge * p.beta
+    curve = parts[k + 1 :].reshape(k, k) + np.diag(ridge)
+    step = np.linalg.lstsq(curve, slope, rcond=None)[0]
+    p.beta = p.beta - step
+    p.settled = bool(np.max(np.abs(step)) < 1e-8 * (1.0 + np.max(np.abs(p.beta))))
+
+
+def _fold_accuracy(rows: DataFrame, names: list[str], problems: list[_Problem]) -> list[float]:
+    """Accuracy of each problem on its own fold, in one aggregation."""
+    hits, sizes = [], []
+    for i, p in enumerate(problems):
+        z = F.lit(float(p.beta[0]))
+        for name, b in zip(names, p.beta[1:]):
+            z = z + F.col(name) * float(b)
+        right = (F.col("fold") == p.fold) & ((z > 0) == (F.col("label") == 1.0))
+        hits.append(F.count_if(right).alias(f"h{i}"))
+        sizes.append(F.count_if(F.col("fold") == p.fold).alias(f"n{i}"))
+    r = rows.agg(*hits, *sizes).first()
+    return [r[f"h{i}"] / r[f"n{i}"] for i in range(len(problems))]
+
+
 def grid_search(
-    train: DataFrame, features: list[str], threads: int = 4
+    train: DataFrame, features: list[str], max_passes: int = 60
 ) -> tuple[SignalModel, list[tuple[Candidate, float]]]:
     """Search C, class weight and iteration limit over expanding time folds; fit the best on all rows.
 
     ``train`` needs ``fold`` (see ``timesplit.with_folds``), ``label`` and the features.
-    The scaler is fitted on all of ``train`` first. A higher iteration limit is fitted
-    only where the lower one was reached: otherwise the fit is the same.
+    The scaler is fitted on all of ``train`` first. The fits of all folds and candidates
+    share each pass over the rows and take Newton steps, so the search costs about ten
+    passes instead of ten thousand; the winner is fitted once more with MLlib. Fits end
+    far below both iteration limits, which therefore score the same.
     """
     steps = Pipeline(stages=feature_steps(train, features)).fit(train)
-    rows = steps.transform(train).select("features", "label", "fold").persist()
+    names = [f"z_{c}" for c in features]
+    rows = steps.transform(train).select("features", *names, "label", "fold").persist()
     try:
         sizes = _class_sizes(rows, "fold")
         folds = range(1, max(sizes) + 1)
         plans = [(c, w) for c in GRID_C for w in GRID_CLASS_WEIGHT]
-
-        def search(plan: tuple[float, str | None]) -> list[tuple[Candidate, float]]:
-            found, seen = [], None
-            for limit in GRID_MAX_ITER:
-                candidate = Candidate(*plan, limit)
-                if seen is None or seen[1] >= GRID_MAX_ITER[0]:
-                    runs = [_fold_score(rows, f, candidate, _total(sizes, f)) for f in folds]
-                    seen = sum(s for s, _ in runs) / len(runs), max(i for _, i in runs)
-                found.append((candidate, seen[0]))
-            return found
-
-        with ThreadPoolExecutor(threads) as pool:
-            outcome = [pair for part in pool.map(search, plans) for pair in part]
+        problems = []
+        for c, weight in plans:
+            for fold in folds:
+                counts = {0.0: 0, 1.0: 0} | _total(sizes, fold)
+                n = sum(counts.values())
+                even = {label: n / (2.0 * size) if size else 0.0 for label, size in counts.items()}
+                weights = even if weight == "balanced" else {0.0: 1.0, 1.0: 1.0}
+                problems.append(_Problem(fold, 1.0 / c, weights, np.zeros(len(names) + 1)))
+        for _ in range(max_passes):
+            for i, parts in _summed_parts(rows, names, problems).items():
+                _newton_step(problems[i], parts)
+            if all(p.settled for p in problems):
+                break
+        share = _fold_accuracy(rows, names, problems)
+        outcome = []
+        for at, (c, weight) in enumerate(plans):
+            score = sum(share[at * len(folds) : (at + 1) * len(folds)]) / len(folds)
+            outcome += [(Candidate(c, weight, limit), score) for limit in GRID_MAX_ITER]
         best, score = max(outcome, key=lambda pair: pair[1])
         fitted = PipelineModel([*steps.stages, _fit(rows, best, _total(sizes))])
     finally:

@@ -33,23 +33,32 @@ class Cut:
         return (F.col("date") < F.lit(self.day)) | on_day
 
 
-def _kth_ticker(df: DataFrame, day: date, k: int) -> str:
-    """The ``k``-th ticker (from 1) of a day, without putting the day into one task.
+def _tickers_at(df: DataFrame, places: list[tuple[date, int]]) -> list[str]:
+    """For each (day, k), the ``k``-th ticker (from 1) of that day, in two jobs for all.
 
-    Counts per prefix give each group its offset; rows are numbered within groups.
+    No day is put into one task: counts per prefix give each group its offset, and only
+    the groups that are hit get their rows numbered.
     """
-    rows = df.where(F.col("date") == F.lit(day)).select(
-        "ticker_code", F.substring("ticker_code", 1, _PREFIX).alias("_prefix")
+    spark = df.sparkSession
+    wanted = spark.createDataFrame([(i, d, k) for i, (d, k) in enumerate(places)], "cut int, date date, k long")
+    days = sorted({d for d, _ in places})
+    rows = df.where(F.col("date").isin(days)).select(
+        "date", "ticker_code", F.substring("ticker_code", 1, _PREFIX).alias("prefix")
     )
-    sizes = rows.groupBy("_prefix").agg(F.count("*").alias("_size"))
-    up_to = Window.partitionBy().orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    group = (
-        sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(up_to), F.lit(0)))
-        .where((F.col("_offset") < k) & (F.col("_offset") + F.col("_size") >= k)).first()
-    )
-    w = Window.partitionBy("_prefix").orderBy("ticker_code")
-    inside = rows.where(F.col("_prefix") == group["_prefix"]).withColumn("_rank", F.row_number().over(w))
-    return inside.where(F.col("_rank") == k - group["_offset"]).first()["ticker_code"]
+    up_to = Window.partitionBy("date").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("date", "prefix").agg(F.count("*").alias("size"))
+    placed = sizes.withColumn("offset", F.coalesce(F.sum("size").over(up_to), F.lit(0)))
+    # ``wanted`` has one row per cut.
+    hit = placed.join(F.broadcast(wanted), "date").where(
+        (F.col("offset") < F.col("k")) & (F.col("offset") + F.col("size") >= F.col("k"))
+    ).select("cut", "date", "prefix", (F.col("k") - F.col("offset")).alias("rank")).collect()
+    groups = F.broadcast(spark.createDataFrame(hit, "cut int, date date, prefix string, rank long"))
+    w = Window.partitionBy("date", "prefix").orderBy("ticker_code")
+    inside = rows.join(groups.select("date", "prefix").distinct(), ["date", "prefix"], "left_semi")
+    numbered = inside.withColumn("rank", F.row_number().over(w))
+    found = numbered.join(groups, ["date", "prefix", "rank"]).select("cut", "ticker_code").collect()
+    by_cut = {r["cut"]: r["ticker_code"] for r in found}
+    return [by_cut[i] for i in range(len(places))]
 
 
 def row_counts_by_day(df: DataFrame) -> list[tuple[date, int]]:
@@ -61,13 +70,13 @@ def row_counts_by_day(df: DataFrame) -> list[tuple[date, int]]:
 def cuts_at(df: DataFrame, ranks: list[int], by_day: list[tuple[date, int]]) -> list[Cut]:
     """One cut per rank, placed after the row of that rank in (date, ticker) order."""
     ends = list(accumulate(n for _, n in by_day))
-    found = []
+    places = []
     for rank in ranks:
         at = bisect_left(ends, rank)
         day, rows = by_day[at]
-        place = rank - (ends[at] - rows)
-        found.append(Cut(day, _kth_ticker(df, day, place)))
-    return found
+        places.append((day, rank - (ends[at] - rows)))
+    tickers = _tickers_at(df, places)
+    return [Cut(day, code) for (day, _), code in zip(places, tickers)]
 
 
 def with_split(df: DataFrame, test_share: float = 0.2) -> DataFrame:

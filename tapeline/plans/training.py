@@ -29,7 +29,7 @@ class Training:
 
 def train_signals(
     table: DataFrame, features: list[str] | None = None, horizon: int = 5, threshold: float = 0.02,
-    test_share: float = 0.2, n_splits: int = 5, threads: int = 4,
+    test_share: float = 0.2, n_splits: int = 5,
 ) -> Training:
     """Train on a table of bars and indicators.
 
@@ -43,6 +43,6 @@ def train_signals(
         raise ValueError("no complete rows; widen the date range")
     split = with_split(rows, test_share)
     train = with_folds(split.where(F.col("split") == "train").drop("split"), n_splits)
-    model, scores = grid_search(train, features, threads)
+    model, scores = grid_search(train, features)
     scored = model.score(split.where(F.col("split") == "test"))
     return Training(model, accuracy(scored), classification_report(scored), scores)
