@@ -72,8 +72,9 @@ def _only(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Written once: the size check, the lookup and reports then read a small table."""
     holidays = calendars.holiday_table(spark, HOLIDAYS)
-    return calendars.open_sessions(market.sessions(spark, d), F.broadcast(holidays))
+    return materialize(calendars.open_sessions(market.sessions(spark, d), F.broadcast(holidays)))
 
 
 def _rule_table(spark: SparkSession, d: str) -> DataFrame:
@@ -96,12 +97,12 @@ def bars_daily(spark, d):
 
 @query
 def bars_weekly(spark, d):
-    return published(barsrc.resample_ticks(market.trade_ticks(spark, d), "1wk"))
+    return published(market.trade_bars(spark, d, "1wk"))
 
 
 @query
 def bars_monthly(spark, d):
-    return published(barsrc.resample_ticks(market.trade_ticks(spark, d), "1mo"))
+    return published(market.trade_bars(spark, d, "1mo"))
 
 
 @query
@@ -444,7 +445,8 @@ def null_profile(spark, d):
 def series_check(spark, d):
     """Ticks by order key: tickers repeat days and go back in time."""
     ticks = market.trade_ticks(spark, d).withColumn("date", F.to_date("ts"))
-    return quality.series_check(ticks, "seq")
+    # Four thousand orders per stretch; the sequence leaves 2^23 numbers for each.
+    return quality.series_check(ticks, "seq", stretch=4096 << 23)
 
 
 @query
@@ -572,7 +574,8 @@ def ts_folds(spark, d):
 @query
 def standardized_features(spark, d):
     names = ["ma_5", "ma_20", "bb_mid"]
-    table = _indicators(spark, d, names).dropna(subset=names)
+    # Read twice, for the statistics and for the scaling.
+    table = materialize(_indicators(spark, d, names).dropna(subset=names).select("ticker_code", "date", *names))
     out = learn.scaler(table, names).transform(table)
     return _only(out, [f"z_{n}" for n in names])
 

@@ -484,7 +484,7 @@ def statements() -> dict[str, str]:
         "null_profile": f"""WITH {_SESSIONS}, {_filled('bars', False)} SELECT ticker_code, 6 * (count(*) - count(close)) AS null_cells,
             8 * count(*) AS cells, {r4('600.0::DOUBLE * (count(*) - count(close)) / (8 * count(*))', 'null_pct')} FROM filled GROUP BY 1""",
         "series_check": f"""WITH {_TICKS}, m AS (SELECT *, CAST(ts AS DATE) AS date,
-                CAST(ts AS DATE) < lag(CAST(ts AS DATE)) OVER (PARTITION BY ticker_code ORDER BY seq) AS late FROM ticks)
+                CAST(ts AS DATE) < lag(CAST(ts AS DATE)) OVER (PARTITION BY ticker_code ORDER BY seq, CAST(ts AS DATE)) AS late FROM ticks)
             SELECT ticker_code, count(*) AS n_rows, count(DISTINCT date) AS n_days, count(*) - count(DISTINCT date) AS repeated,
             count(*) FILTER (WHERE late) AS out_of_order FROM m GROUP BY 1""",
         "adjusted_bars": f"""WITH {_BARS} SELECT ticker_code, date, {r4('high * (adj_close / close)', 'adj_high')},

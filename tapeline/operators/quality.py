@@ -10,9 +10,6 @@ from pyspark.sql import types as T
 
 from tapeline.functions.numeric import ratio
 
-# Rows of the file per stretch in ``series_check``.
-_STRETCH = 65_536
-
 
 def rows_per_ticker(df: DataFrame, name: str = "n_rows") -> DataFrame:
     return df.groupBy("ticker_code").agg(F.count("*").alias(name))
@@ -61,21 +58,23 @@ def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return per.withColumn("null_pct", ratio(F.col("null_cells") * 100.0, F.col("cells")))
 
 
-def series_check(bars: DataFrame, file_order: str) -> DataFrame:
+def series_check(bars: DataFrame, file_order: str, stretch: int = 65_536) -> DataFrame:
     """Per ticker: rows, distinct days, repeated days and days out of order.
 
     ``file_order`` numbers the rows as supplied. Unchecked input may repeat days
-    without bound, so a ticker is compared in stretches of the file, and only the
-    ends of the stretches are compared per ticker.
+    without bound, so a ticker is compared in stretches of the file, ``stretch`` order
+    numbers long, and only the ends of the stretches are compared per ticker.
     """
     if not isinstance(bars.schema["date"].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         raise ValueError(f"'date' must be a date or timestamp, got {bars.schema['date'].dataType.simpleString()}")
     at = F.col(file_order)
-    rows = bars.select("ticker_code", "date", at.alias("_at"), F.floor(at / _STRETCH).alias("_stretch"))
-    inside = F.lag("date").over(Window.partitionBy("ticker_code", "_stretch").orderBy("_at"))
+    rows = bars.select("ticker_code", "date", at.alias("_at"), F.floor(at / stretch).alias("_stretch"))
+    # Rows with one order number are taken in date order.
+    inside = F.lag("date").over(Window.partitionBy("ticker_code", "_stretch").orderBy("_at", "date"))
+    place = F.struct("_at", "date")
     stretches = rows.withColumn("_late", F.col("date") < inside).groupBy("ticker_code", "_stretch").agg(
-        F.count_if("_late").alias("_late"), F.min_by("date", "_at").alias("_first"),
-        F.max_by("date", "_at").alias("_last"),
+        F.count_if("_late").alias("_late"), F.min(place)["date"].alias("_first"),
+        F.max(place)["date"].alias("_last"),
     )
     previous = F.lag("_last").over(Window.partitionBy("ticker_code").orderBy("_stretch"))
     turned = (F.col("_first") < previous).cast("long")

@@ -17,6 +17,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeline.session import small_table
+
 # Tickers of a cut day are ranked in groups that share this many leading characters.
 _PREFIX = 5
 
@@ -40,7 +42,7 @@ def _tickers_at(df: DataFrame, places: list[tuple[date, int]]) -> list[str]:
     the groups that are hit get their rows numbered.
     """
     spark = df.sparkSession
-    wanted = spark.createDataFrame([(i, d, k) for i, (d, k) in enumerate(places)], "cut int, date date, k long")
+    wanted = small_table(spark, [(i, d, k) for i, (d, k) in enumerate(places)], "cut int, date date, k long")
     days = sorted({d for d, _ in places})
     rows = df.where(F.col("date").isin(days)).select(
         "date", "ticker_code", F.substring("ticker_code", 1, _PREFIX).alias("prefix")
@@ -52,7 +54,7 @@ def _tickers_at(df: DataFrame, places: list[tuple[date, int]]) -> list[str]:
     hit = placed.join(F.broadcast(wanted), "date").where(
         (F.col("offset") < F.col("k")) & (F.col("offset") + F.col("size") >= F.col("k"))
     ).select("cut", "date", "prefix", (F.col("k") - F.col("offset")).alias("rank")).collect()
-    groups = F.broadcast(spark.createDataFrame(hit, "cut int, date date, prefix string, rank long"))
+    groups = F.broadcast(small_table(spark, hit, "cut int, date date, prefix string, rank long"))
     w = Window.partitionBy("date", "prefix").orderBy("ticker_code")
     inside = rows.join(groups.select("date", "prefix").distinct(), ["date", "prefix"], "left_semi")
     numbered = inside.withColumn("rank", F.row_number().over(w))

@@ -10,6 +10,7 @@ from tapeline.operators import equity
 from tapeline.operators.learn import BACKTEST_THRESHOLD, SignalModel, model_signals
 from tapeline.operators.positions import Account, Rules, closed_trades, positions
 from tapeline.operators.views import bars_with_signals
+from tapeline.session import materialize, small_table
 from tapeline.sources.store import write_metrics
 
 # The default rule parameters.
@@ -30,8 +31,11 @@ def evaluate_signals(
     signalled: DataFrame, rules: Rules = DEFAULT_RULES, account: Account = Account(),
     name: str = "strategy",
 ) -> Evaluation:
-    """Positions, equity curve and metrics of bars that carry a signal."""
-    held = positions(signalled, rules, account)
+    """Positions, equity curve and metrics of bars that carry a signal.
+
+    The positions are written once: the trade log, the curve and the metrics read them.
+    """
+    held = materialize(positions(signalled, rules, account))
     trades = closed_trades(held, account)
     profit = equity.position_profit(signalled, held, account)
     curve = equity.equity_curve(profit, account, name)
@@ -41,7 +45,7 @@ def evaluate_signals(
 def evaluate_hold(bars: DataFrame, account: Account = Account(), name: str = "benchmark") -> Evaluation:
     """Buy and hold of the same bars; it closes no trade."""
     curve = equity.equity_curve(equity.hold_profit(bars, account), account, name)
-    none = bars.sparkSession.createDataFrame([], "pnl_net double")
+    none = small_table(bars.sparkSession, [], "pnl_net double")
     return Evaluation(none, curve, equity.performance(curve, none, name, account))
 
 

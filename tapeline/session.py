@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A handful of rows as a local relation: part of the plan, no job to read it."""
+    fields = [f.split() for f in schema.split(", ")]
+    columns = {name: [str(r[i]) if r[i] is not None else None for r in rows] for i, (name, _) in enumerate(fields)}
+    table = pa.table({name: pa.array(values, pa.string()) for name, values in columns.items()})
+    return spark.createDataFrame(table).select(*[F.col(n).cast(kind).alias(n) for n, kind in fields])
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast only after counting at most ``max_rows + 1`` rows.
 

@@ -75,16 +75,17 @@ def _bucket(c: Column, interval: str) -> Column:
 
 
 def resample_ticks(
-    ticks: DataFrame, interval: str = "1d", *, seq: str = "seq", ts: str = "ts",
-    price: str = "price", volume: str = "volume", adj_price: str = "adj_price",
+    ticks: DataFrame, interval: str = "1d", *, key: str = "ticker_code", seq: str = "seq",
+    ts: str = "ts", price: str = "price", volume: str = "volume", adj_price: str = "adj_price",
 ) -> DataFrame:
     """Ticks to bars. ``seq`` orders the ticks of a bucket and must be a number or timestamp.
 
     With such a key every buffer is fixed width, so Spark aggregates by hash on
     the map side: a hot ticker shrinks to its days before anything is shuffled.
+    ``key`` may be a narrower stand-in for the ticker code, such as a numeric id.
     """
     _unit(interval)
-    return ticks.groupBy("ticker_code", _bucket(F.col(ts), interval).alias("date")).agg(
+    return ticks.groupBy(key, _bucket(F.col(ts), interval).alias("date")).agg(
         F.min_by(price, seq).alias("open"),
         F.max(price).alias("high"),
         F.min(price).alias("low"),

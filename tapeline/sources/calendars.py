@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.markets import exchange_code
 from tapeline.schemas import HOLIDAYS
+from tapeline.session import small_table
 
 # Closed days that published calendars miss, by exchange.
 EXTRA_HOLIDAYS = {"XKRX": ["2022-01-03", "2022-05-09"], "XNYS": [], "XNAS": []}
@@ -16,9 +17,8 @@ EXTRA_HOLIDAYS = {"XKRX": ["2022-01-03", "2022-05-09"], "XNYS": [], "XNAS": []}
 
 def holiday_table(spark: SparkSession, days: dict[str, list[str | date] | None] | None) -> DataFrame:
     """Mapping of exchange to days as a table; an empty or missing list gives no rows."""
-    rows = [(exchange, str(day)) for exchange, listed in (days or {}).items() for day in listed or []]
-    table = spark.createDataFrame(rows, "exchange string, date string")
-    return table.select("exchange", F.col("date").cast("date").alias("date"))
+    rows = [(exchange, day) for exchange, listed in (days or {}).items() for day in listed or []]
+    return small_table(spark, rows, "exchange string, date date")
 
 
 def read_holidays(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.functions.markets import listing_suffix, market_suffix
+from tapeline.session import small_table
 
 log = logging.getLogger(__name__)
 
@@ -34,7 +35,7 @@ def _usable(listing: DataFrame, what: str) -> bool:
 
 
 def _nothing(listing: DataFrame) -> DataFrame:
-    return listing.sparkSession.createDataFrame([], _EMPTY)
+    return small_table(listing.sparkSession, [], _EMPTY)
 
 
 def korean_symbols(listing: DataFrame, add_suffix: bool = True) -> DataFrame:
@@ -110,7 +111,7 @@ def symbols_by_exchange(
         ))
     if not parts:
         empty = "exchange string, rank int, pos long, ticker_code string"
-        return listing.sparkSession.createDataFrame([], empty)
+        return small_table(listing.sparkSession, [], empty)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -149,7 +150,7 @@ def pick_universe(
         raise ValueError("give either tickers or exchanges, not both")
     if tickers:
         rows = [(t, i) for i, t in enumerate(tickers)]
-        listed = spark.createDataFrame(rows, "ticker_code string, pos long")
+        listed = small_table(spark, rows, "ticker_code string, pos long")
         return first_occurrences(listed.withColumn("rank", F.lit(0)), ["rank", "pos"])
     if exchanges and listing is not None:
         return universe(listing, exchanges)

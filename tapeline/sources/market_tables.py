@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.functions.markets import exchange_code
+from tapeline.functions.markets import infer_market
 from tapeline.sources.bars import resample_ticks
 
-# Ticker suffix by supplier key modulo 6.
+# Ticker suffix by supplier key modulo 6, and the exchange that goes with it.
 SUFFIXES = [".KS", ".KQ", ".T", ".HK", "", "-USD"]
+SUFFIX_EXCHANGES = ["XKRX", "XKRX", "XTKS", "XHKG", "XNYS", "XNYS"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,8 +27,11 @@ def supplier_code(key: Column) -> Column:
 
 
 def supplier_ticker(key: Column) -> Column:
-    suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (key % 6 + 1).cast("int"))
-    return F.concat(supplier_code(key), suffix)
+    return F.concat(supplier_code(key), _by_kind(key, SUFFIXES))
+
+
+def _by_kind(key: Column, values: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
 
 
 def trade_ticks(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +40,7 @@ def trade_ticks(spark: SparkSession, folder: str) -> DataFrame:
     sequence = F.col("l_orderkey") * (1 << 23) + F.col("l_linenumber") * (1 << 20)
     return read_table(spark, folder, "lineitem").select(
         supplier_ticker(F.col("l_suppkey")).alias("ticker_code"),
+        F.col("l_suppkey").alias("ticker_id"),
         F.col("l_shipdate").alias("ts"),
         (sequence + F.col("l_partkey") % (1 << 20)).alias("seq"),
         price.alias("price"),
@@ -55,8 +60,15 @@ def event_ticks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def trade_bars(spark: SparkSession, folder: str, interval: str = "1d") -> DataFrame:
+    """Line items as bars, grouped by the numeric supplier key; the code is made per bar."""
+    bars = resample_ticks(trade_ticks(spark, folder), interval, key="ticker_id")
+    code = supplier_ticker(F.col("ticker_id")).alias("ticker_code")
+    return bars.select(code, *[c for c in bars.columns if c != "ticker_id"])
+
+
 def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
-    return resample_ticks(trade_ticks(spark, folder))
+    return trade_bars(spark, folder)
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,8 +86,6 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 
 def tickers(spark: SparkSession, folder: str) -> DataFrame:
     """Ticker dimension of the suppliers; the nation stands for the sector."""
-    from tapeline.functions.markets import infer_market
-
     code = supplier_ticker(F.col("s_suppkey"))
     nation = read_table(spark, folder, "nation")
     return (
@@ -90,6 +100,5 @@ def tickers(spark: SparkSession, folder: str) -> DataFrame:
 
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Trading days per exchange: the days on which any of its tickers traded."""
-    ticks = trade_ticks(spark, folder)
-    day = F.to_date("ts").alias("date")
-    return ticks.select(exchange_code(F.col("ticker_code")).alias("exchange"), day).distinct()
+    exchange = _by_kind(F.col("l_suppkey"), SUFFIX_EXCHANGES).alias("exchange")
+    return read_table(spark, folder, "lineitem").select(exchange, F.to_date("l_shipdate").alias("date")).distinct()
