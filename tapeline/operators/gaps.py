@@ -39,15 +39,18 @@ def _marked(days: DataFrame, sessions: DataFrame) -> DataFrame:
     return days.join(table, ["exchange", "_day"], "left")
 
 
-def fill_gaps(bars: DataFrame, sessions: DataFrame, drop_non_sessions: bool = False) -> DataFrame:
+def fill_gaps(
+    bars: DataFrame, sessions: DataFrame, drop_non_sessions: bool = False, carry: tuple[str, ...] = ("tz",)
+) -> DataFrame:
     """Add a NULL row for each session missing between a ticker's first and last bar.
 
-    Bars on days that are no session stay unless ``drop_non_sessions`` is set.
+    Bars on days that are no session stay unless ``drop_non_sessions`` is set. Columns
+    in ``carry``, such as the time zone, are taken over from the bar before the gap.
     """
     days = _marked(_days_to_next(bars), sessions)
     own = F.col("_day") == F.col("date")
     keep = F.col("_session") if drop_non_sessions else (own | F.col("_session"))
-    values = [c for c in bars.columns if c not in ("ticker_code", "date")]
+    values = [c for c in bars.columns if c not in ("ticker_code", "date", *carry)]
     filled = {c: F.when(own, F.col(c)).alias(c) for c in values}
     return days.where(keep).select(*[
         F.col("_day").alias("date") if c == "date" else filled.get(c, F.col(c)) for c in bars.columns

@@ -50,14 +50,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tapeline-{spark.sparkContext.applicationId}"
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete the tables that this application wrote with ``materialize``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` once to the shared folder and read it back.
 
     Unlike a cache the result survives lost executors, and the file sizes give
-    the optimizer true statistics for later joins.
+    the optimizer true statistics for later joins. ``drop_materialized`` clears all
+    such tables of the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tapeline-{uuid.uuid4().hex}"
+    path = f"{_application_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -19,6 +19,11 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
 
 
+def local_day(ts: Column, zone: Column | str) -> Column:
+    """Trading day of an instant in the exchange's time zone."""
+    return F.to_date(F.from_utc_timestamp(ts, zone))
+
+
 def within(df: DataFrame, start: date | str | None, end: date | str | None) -> DataFrame:
     """Keep dates from ``start`` to ``end``, both inclusive, each optional."""
     if start is not None:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tapeline import schemas
 from tapeline.functions.markets import exchange_code
 from tapeline.operators import gaps, keyed, quality, views
+from tapeline.session import broadcast_if_small, drop_materialized, materialize
 from tapeline.sources import calendars, listings, store
+from tapeline.sources.bars import local_day
 
 D1, D2, D3 = date(2024, 1, 2), date(2024, 1, 3), date(2024, 1, 4)
 T1, T2 = datetime(2024, 1, 5), datetime(2024, 2, 5)
@@ -122,6 +124,8 @@ def test_gap_fill(spark, make_bars):
     assert [r["date"] for r in kept.collect()] == [days[0], days[1], days[3]]
     dropped = gaps.fill_gaps(bars, some, drop_non_sessions=True).orderBy("date")
     assert [r["date"] for r in dropped.collect()] == [days[1], days[3]]
+    zoned = gaps.fill_gaps(bars.withColumn("tz", F.lit("Asia/Seoul")), sessions(spark, days))
+    assert [r["tz"] for r in zoned.collect()] == ["Asia/Seoul"] * 4
     with pytest.raises(Exception, match="repeated day"):
         gaps.fill_gaps(bars.unionByName(bars), some).collect()
 
@@ -211,6 +215,32 @@ def test_series_check(spark, stretch):
         quality.series_check(rows.withColumn("date", F.col("date").cast("string")), "at")
 
 
+def test_local_day(spark):
+    ts = F.lit("2020-01-01 16:00:00").cast("timestamp")
+    days = spark.range(1).select(local_day(ts, "Asia/Seoul"), local_day(ts, "America/New_York")).first()
+    assert days == (date(2020, 1, 2), date(2020, 1, 1))
+
+
+def test_materialized_tables_go(spark):
+    kept = materialize(spark.range(3))
+    assert kept.count() == 3
+    drop_materialized(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0])
+
+
+def test_broadcast_only_when_small(spark):
+    small, large = spark.range(5), spark.range(1000)
+    plan = lambda n: large.join(broadcast_if_small(small, n), "id")._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(5) and "broadcast" not in plan(4)
+
+
+def test_listing_scan(spark, tmp_path):
+    path = str(tmp_path / "listing")
+    spark.createDataFrame([("1", "KOSPI")], "Symbol string, Market string").write.option("header", True).csv(path)
+    assert listings.read_listing(spark, path).columns == ["symbol", "market"]
+
+
 def test_exchange_for_nulls(spark):
     df = spark.createDataFrame([(None,)], "c string")
     assert df.select(exchange_code(F.col("c"))).first()[0] is None
