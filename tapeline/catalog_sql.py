@@ -73,27 +73,32 @@ _LISTING = """listing AS (
 _KOREAN_SUFFIX = """CASE WHEN upper(market) LIKE 'KOSPI%' THEN '.KS'
     WHEN upper(market) LIKE 'KOSDAQ%' THEN '.KQ' ELSE '' END"""
 _USABLE = "trim(symbol) <> '' AND lower(trim(symbol)) <> 'nan'"
-_SYMBOLS = f"""{_LISTING}, symbols AS (
-    SELECT 'KRX' AS exchange, pos, trim(symbol) || {_KOREAN_SUFFIX} AS ticker_code FROM listing
-        WHERE exchange = 'KRX' AND {_USABLE} AND (upper(market) LIKE 'KOSPI%' OR upper(market) LIKE 'KOSDAQ%')
-    UNION ALL SELECT 'KOSPI', pos, trim(symbol) || '.KS' FROM listing
-        WHERE exchange = 'KRX' AND {_USABLE} AND upper(market) LIKE 'KOSPI%'
-    UNION ALL SELECT 'KOSDAQ', pos, trim(symbol) || '.KQ' FROM listing
-        WHERE exchange = 'KRX' AND {_USABLE} AND upper(market) LIKE 'KOSDAQ%'
-    UNION ALL SELECT exchange, pos, trim(symbol) FROM listing
+_SYMBOLS = f"""{_LISTING}, korean AS (
+    SELECT CASE WHEN upper(market) LIKE 'KOSPI%' THEN 'KOSPI' ELSE 'KOSDAQ' END AS part, pos,
+        trim(symbol) || {_KOREAN_SUFFIX} AS ticker_code FROM listing
+    WHERE exchange = 'KRX' AND {_USABLE} AND (upper(market) LIKE 'KOSPI%' OR upper(market) LIKE 'KOSDAQ%')),
+symbols AS (
+    SELECT 'KRX' AS exchange, part, pos, ticker_code FROM korean
+    UNION ALL SELECT part, part, pos, ticker_code FROM korean
+    UNION ALL SELECT exchange, exchange, pos, trim(symbol) FROM listing
         WHERE exchange IN ('NYSE', 'AMEX') AND trim(symbol) <> '')"""
 
 
-def _universe(order: list[str]) -> str:
-    ranks = " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(order))
-    names = ", ".join(f"'{n}'" for n in order)
-    return f"""{_SYMBOLS}, universe AS (
+def _universe(order: list[tuple[str, str]]) -> str:
+    ranks = " ".join(
+        f"WHEN exchange = '{name}' AND part = '{part}' THEN {i}" for i, (name, part) in enumerate(order)
+    )
+    return f"""{_SYMBOLS}, ranked_symbols AS (SELECT *, CASE {ranks} END AS rank FROM symbols), universe AS (
         SELECT ticker_code, rank, pos FROM (
-            SELECT *, row_number() OVER (PARTITION BY ticker_code ORDER BY rank, pos) AS place FROM (
-                SELECT *, CASE exchange {ranks} END AS rank FROM symbols WHERE exchange IN ({names})))
+            SELECT *, row_number() OVER (PARTITION BY ticker_code ORDER BY rank, pos) AS place
+            FROM ranked_symbols WHERE rank IS NOT NULL)
         WHERE place = 1)"""
 
 
+_KRX = [("KRX", "KOSPI"), ("KRX", "KOSDAQ")]
+_KOREAN = [("KOSPI", "KOSPI"), ("KOSDAQ", "KOSDAQ")]
+_US = [("NYSE", "NYSE"), ("AMEX", "AMEX")]
+_SP500 = [("S&P500", "S&P500")]
 _HOLIDAY_ROWS = ", ".join(
     f"('{exchange}', DATE '{day}')" for exchange, days in catalog.HOLIDAYS.items() for day in days
 )
@@ -417,8 +422,8 @@ def statements() -> dict[str, str]:
         "market_prefix_listing": f"WITH {_LISTING} SELECT * FROM listing WHERE upper(market) LIKE 'KOSDAQ%'",
         "market_suffix_codes": f"""WITH {_LISTING} SELECT trim(symbol) || CASE WHEN upper(market) = 'KOSPI' THEN '.KS' ELSE '.KQ' END
             AS ticker_code, pos FROM listing""",
-        "universe": f"WITH {_universe(['KOSPI', 'KRX', 'NYSE', 'AMEX'])} SELECT * FROM universe",
-        "universe_head": f"""WITH {_universe(['KRX', 'KOSPI', 'KOSDAQ', 'S&P500', 'NYSE', 'AMEX'])}
+        "universe": f"WITH {_universe([_KOREAN[0], *_KRX, *_US])} SELECT * FROM universe",
+        "universe_head": f"""WITH {_universe([*_KRX, *_KOREAN, *_SP500, *_US])}
             SELECT * FROM universe ORDER BY rank, pos, ticker_code LIMIT 20""",
         "tickers_by_exchange": f"WITH {_SYMBOLS} SELECT exchange, pos, ticker_code FROM symbols",
         "upsert_prices": f"WITH {_BARS}, {_OLD}, {_NEW} {_merged('new')}",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ log = logging.getLogger(__name__)
 
 # Exchanges a universe may name, in default order.
 SUPPORTED_EXCHANGES = ["KRX", "KOSPI", "KOSDAQ", "S&P500", "NYSE", "AMEX"]
-_KOREAN = ["KRX", "KOSPI", "KOSDAQ"]
+_KOREAN_MARKETS = ["KOSPI", "KOSDAQ"]
 _EMPTY = "ticker_code string, pos long"
 
 
@@ -80,19 +81,12 @@ def chosen_exchanges(exchanges: Iterable[str] | None) -> list[str]:
     return picked
 
 
-def exchange_symbols(listing: DataFrame, exchange: str, add_suffix: bool = True) -> DataFrame:
-    """Symbols of one exchange from a listing ``(exchange, pos, symbol, market)``.
-
-    KRX is the KOSPI and KOSDAQ markets; those two may also be named alone.
-    """
-    if exchange not in _KOREAN:
-        return plain_symbols(listing.where(F.upper("exchange") == exchange))
-    korean = listing.where(F.upper("exchange") == "KRX")
-    if exchange != "KRX":
-        return korean_symbols(of_market(korean, exchange), add_suffix)
-    upper = F.upper("market")
-    both = upper.startswith("KOSPI") | upper.startswith("KOSDAQ")
-    return korean_symbols(korean.where(both), add_suffix)
+def exchange_symbols(listing: DataFrame, part: str, add_suffix: bool = True) -> DataFrame:
+    """Symbols of one listing part: a Korean market by its prefix, or an exchange by name."""
+    if part in _KOREAN_MARKETS:
+        korean = listing.where(F.upper("exchange") == "KRX")
+        return korean_symbols(of_market(korean, part), add_suffix)
+    return plain_symbols(listing.where(F.upper("exchange") == part))
 
 
 def symbols_by_exchange(
@@ -100,22 +94,23 @@ def symbols_by_exchange(
 ) -> DataFrame:
     """``(exchange, rank, pos, ticker_code)``, one row per listed symbol of each exchange asked.
 
-    Long on purpose: an exchange can hold any number of tickers, so they are not
-    gathered into one array.
+    ``rank`` is the order of listing: KRX is KOSPI followed by KOSDAQ. Long on purpose:
+    an exchange can hold any number of tickers, so they are not gathered into one array.
     """
-    parts = []
-    for rank, name in enumerate(chosen_exchanges(exchanges)):
-        part = exchange_symbols(listing, name, add_suffix)
-        parts.append(part.select(
+    named = [
+        (name, part) for name in chosen_exchanges(exchanges)
+        for part in (_KOREAN_MARKETS if name == "KRX" else [name])
+    ]
+    parts = [
+        exchange_symbols(listing, part, add_suffix).select(
             F.lit(name).alias("exchange"), F.lit(rank).alias("rank"), "pos", "ticker_code"
-        ))
+        )
+        for rank, (name, part) in enumerate(named)
+    ]
     if not parts:
         empty = "exchange string, rank int, pos long, ticker_code string"
         return small_table(listing.sparkSession, [], empty)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def first_occurrences(rows: DataFrame, order: list[str]) -> DataFrame:

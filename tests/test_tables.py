@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeline import schemas
+from tapeline.functions.indicators import with_indicators
 from tapeline.functions.markets import exchange_code
 from tapeline.operators import gaps, keyed, quality, views
 from tapeline.session import broadcast_if_small, drop_materialized, materialize
@@ -97,6 +98,15 @@ def test_store_round_trip(spark, tmp_path):
         store.save_prices(spark, path, spark.createDataFrame([("A", D1)], "ticker_code string, date date"))
 
 
+def test_bucketed_bars_need_no_shuffle(spark, make_bars, tmp_path):
+    bars = make_bars({c: [10.0 + i for i in range(40)] for c in ("A", "B", "C")})
+    stored = store.write_bucketed(bars, "bucketed_bars", str(tmp_path / "b"), 4)
+    table = with_indicators(stored, ["ma_5", "rsi", "bb_mid"])
+    assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    assert table.count() == 120
+    spark.sql("DROP TABLE bucketed_bars")
+
+
 def test_cascade_delete(spark, tmp_path):
     facts, dim = str(tmp_path / "prices"), str(tmp_path / "tickers")
     store.save_prices(spark, facts, prices(spark, [("A", date(2021, 5, 5), 1.0, T1), ("A", D1, 2.0, T1), ("B", D1, 5.0, T1)]))
