@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tapeline.functions.markets import infer_market
 from tapeline.functions.numeric import nan_to_null
 from tapeline.schemas import INDICATOR_NAMES, KEYS, PRICE_VALUE_COLUMNS
+from tapeline.session import broadcast_if_small
 
 
 def repeated_keys(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -126,7 +127,8 @@ def changed_tickers(tickers: DataFrame, updates: DataFrame) -> DataFrame:
 
 def without_tickers(df: DataFrame, removed: DataFrame) -> DataFrame:
     """Cascade delete: drop every row of the removed tickers from a dimension or fact."""
-    return df.join(removed.select("ticker_code"), "ticker_code", "left_anti")
+    gone = broadcast_if_small(removed.select("ticker_code"))
+    return df.join(gone, "ticker_code", "left_anti")
 
 
 def merge_counts(existing: DataFrame, incoming: DataFrame, values: list[str] = PRICE_VALUE_COLUMNS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.schemas import INDICATOR_NAMES, KEYS
+from tapeline.session import broadcast_if_small
 
 # The columns of the chart view, in order.
 VIEW_COLUMNS = [
@@ -15,8 +16,12 @@ VIEW_COLUMNS = [
 
 
 def with_ticker_details(facts: DataFrame, tickers: DataFrame) -> DataFrame:
-    """Inner join to the ticker dimension; its size decides the strategy, not a hint."""
-    return facts.join(tickers, "ticker_code")
+    """Inner join to the ticker dimension, which is broadcast if its counted size allows.
+
+    Estimates cannot be relied on here: a dimension that is itself a join is guessed at the
+    product of its inputs, and an aggregated fact at the size of its files.
+    """
+    return facts.join(broadcast_if_small(tickers), "ticker_code")
 
 
 def price_indicator_view(
@@ -31,7 +36,8 @@ def price_indicator_view(
         one = F.col("ticker_code") == code
         prices, tickers, indicators = prices.where(one), tickers.where(one), indicators.where(one)
     have = [c for c in VIEW_COLUMNS if c in indicators.columns and c != "close"]
-    days = prices.select(*KEYS, "close").join(tickers.select("ticker_code"), "ticker_code")
+    listed = broadcast_if_small(tickers.select("ticker_code"))
+    days = prices.select(*KEYS, "close").join(listed, "ticker_code", "left_semi")
     view = days.join(indicators.select(*KEYS, *have), KEYS, "left").select(*KEYS, "close", *have)
     return view if code is None else view.drop("ticker_code").orderBy("date")
 

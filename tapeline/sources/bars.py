@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.periods import parse_day
 from tapeline.schemas import PRICES
+from tapeline.session import broadcast_if_small
 
 # Interval name -> date_trunc unit.
 INTERVALS = {"1d": "day", "1wk": "week", "1mo": "month"}
@@ -36,7 +37,7 @@ def within(df: DataFrame, start: date | str | None, end: date | str | None) -> D
 def of_tickers(df: DataFrame, tickers: list[str] | DataFrame) -> DataFrame:
     """Keep the listed tickers; a list becomes a pushed-down filter, a table a semi join."""
     if isinstance(tickers, DataFrame):
-        return df.join(tickers.select("ticker_code"), "ticker_code", "left_semi")
+        return df.join(broadcast_if_small(tickers.select("ticker_code")), "ticker_code", "left_semi")
     return df.where(F.col("ticker_code").isin(list(tickers)))
 
 
