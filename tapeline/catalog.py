@@ -48,7 +48,9 @@ def all_queries() -> dict[str, Query]:
 
 
 # Columns holding portfolio cash, published in whole units.
-CASH_COLUMNS = ["value", "peak", "final_value", "initial_value"]
+CASH_COLUMNS = [
+    "value", "peak", "final_value", "initial_value", "avg_trade_pnl", "avg_winning_pnl", "avg_losing_pnl",
+]
 
 
 def published(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -310,7 +310,7 @@ def _curve_figures(curve: str, out: str) -> str:
     {out}_a AS (SELECT strategy, {_CASH}::DOUBLE AS initial_value, arg_max(value, date) AS final_value,
         min(date) AS start_date, max(date) AS end_date, count(*) AS trading_days,
         stddev_samp(ret) * sqrt(252) AS volatility, avg(ret) AS mean_ret, stddev_pop(ret) AS sd,
-        stddev_samp(ret) FILTER (WHERE ret < 0) * sqrt(252) AS down, max(drawdown) AS max_drawdown,
+        stddev_samp(ret) FILTER (WHERE floor(ret * 1e8 + 0.5) < 0) * sqrt(252) AS down, max(drawdown) AS max_drawdown,
         max(dd_length) AS max_drawdown_duration, avg(ln(1 + ret)) AS avg_log_return FROM {out}_l GROUP BY strategy),
     {out}_b AS (SELECT *, (final_value - {_CASH}) / {_CASH} AS total_return,
         pow(greatest(final_value / {_CASH}, 0), 252.0::DOUBLE / trading_days) - 1 AS annual_return FROM {out}_a),

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.functions.numeric import ratio
+from tapeline.functions.numeric import ratio, rounded
 from tapeline.operators.positions import Account, buy_fill, notional, share_count
 
 TRADING_DAYS = 252
@@ -135,7 +135,7 @@ def curve_metrics(curve: DataFrame, account: Account = Account()) -> DataFrame:
         F.count("*").alias("trading_days"),
         (F.stddev_samp("ret") * year).alias("volatility"),
         ((F.avg("ret") - rf_day) * year).alias("_excess"), F.stddev_pop("ret").alias("_sd"),
-        (F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))) * year).alias("_down"),
+        (F.stddev_samp(F.when(rounded(F.col("ret")) < 0, F.col("ret"))) * year).alias("_down"),
         F.max("drawdown").alias("max_drawdown"), F.max("dd_length").alias("max_drawdown_duration"),
         F.avg(F.log(F.lit(1.0) + F.col("ret"))).alias("avg_log_return"),
     )
