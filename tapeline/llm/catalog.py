@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.llm.bpe import op3_bpe
+from tapeline.llm.decontaminate import op9_decontaminate
 from tapeline.llm.lang_id import op10_language_id
+from tapeline.llm.line_dedup import op5_line_dedup
 from tapeline.llm.pii import op7_pii
 from tapeline.llm.secrets import op8_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op5_line_dedup": op5_line_dedup,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
+    "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
 }
 
