@@ -10,10 +10,12 @@ from tapeline.llm.bpe import op3_bpe
 from tapeline.llm.decontaminate import op9_decontaminate
 from tapeline.llm.lang_id import op10_language_id
 from tapeline.llm.line_dedup import op5_line_dedup
+from tapeline.llm.near_dedup import op1_near_dedup
 from tapeline.llm.pii import op7_pii
 from tapeline.llm.secrets import op8_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_bpe": op3_bpe,
     "op5_line_dedup": op5_line_dedup,
     "op7_pii": op7_pii,
