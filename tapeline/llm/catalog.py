@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeline.llm.ann import op4_ann
 from tapeline.llm.bpe import op3_bpe
 from tapeline.llm.decontaminate import op9_decontaminate
+from tapeline.llm.html_text import op6_html_text
 from tapeline.llm.lang_id import op10_language_id
 from tapeline.llm.line_dedup import op5_line_dedup
 from tapeline.llm.near_dedup import op1_near_dedup
@@ -17,7 +19,9 @@ from tapeline.llm.secrets import op8_secrets
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_bpe": op3_bpe,
+    "op4_ann": op4_ann,
     "op5_line_dedup": op5_line_dedup,
+    "op6_html_text": op6_html_text,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
     "op9_decontaminate": op9_decontaminate,
