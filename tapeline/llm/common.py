@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,36 @@ def document_id() -> F.Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
 
+def map_texts(docs: DataFrame, make: Callable[[list[str | None]], dict], schema: str) -> DataFrame:
+    """``doc_id``, passed on as it is, beside the columns that ``make`` gets from a list of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                made = {k: pa.array(v) for k, v in make(batch.column(1).to_pylist()).items()}
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **made})
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {schema}")
+
+
+def filter_texts(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
+    """The rows, whole and as they are, whose texts ``keep`` marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index("text")).to_pylist())))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not use."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_texts(frame: pd.DataFrame) -> list[str | None]:
     return [t if isinstance(t, str) else None for t in frame["text"]]
 

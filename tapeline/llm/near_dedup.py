@@ -12,7 +12,9 @@ sketch of fixed size, since the shingles of a corpus are almost all distinct.
    ``HUBS`` hubs, then all that are left in different groups with each other. A large group of near
    copies so costs a few comparisons per member, and no pair that could join two groups is skipped.
 4. A comparison is exact: weighted Jaccard similarity of at least 0.8 of the whole texts. Members of a
-   hub are dealt out over tasks in portions of ``PORTION``.
+   hub are dealt out over tasks in portions of ``PORTION``. Of what is left, buckets of over ``SMALL``
+   members are compared in blocks: two cells of members go to one task, which bounds all their
+   similarities by matrix products, checks what the bound leaves, and returns links only.
 5. Groups are connected components, by minimum labels with pointer jumping in Spark.
 
 Defined results: NULL texts and texts without words are alone in their group; a text of
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import NO_ID, WIDTH, broadcast_if_few, document_id, row_ids, row_texts, sketch_slots, total_sketch
+from tapeline.llm.common import NO_ID, WIDTH, broadcast_if_few, document_id, free_name, row_ids, row_texts, sketch_slots, total_sketch
 from tapeline.llm.words import SHINGLE, chunks, doc_words, mix, shingles
 from tapeline.session import materialize
 
@@ -37,6 +39,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 HUBS = 8
 PORTION = 256
+SMALL, CELL = 64, 512
 
 _LOG = -np.log((np.arange(65536) + 0.5) / 65536).astype(np.float32)
 _HALF = np.uint64(0xFFFF)
@@ -77,7 +80,7 @@ class Weights:
     def __init__(self, cells: np.ndarray, documents: int):
         self.idf = (np.log((1.0 + documents) / (1.0 + np.minimum(cells, documents))) / np.log(1.0 + max(documents, 1))).astype(np.float32)
 
-    def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct shingles of each text in hash order, their weights, and the texts' offsets; then counts."""
         words, offsets = doc_words(texts)
         found, at = shingles(words, offsets)
@@ -257,6 +260,60 @@ def _bucket_pairs(buckets: DataFrame, hubs: int | None) -> DataFrame:
     return met.select("hub", F.col("text_id").alias("member")).distinct()
 
 
+def _block_links(weights: Weights):
+    """Links between the members of two cells of a bucket (of one cell, if they are the same)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        numbers, labels, cells = (frame[c].to_numpy() for c in ("text_id", "label", "cell"))
+        texts, n = frame["text"].tolist(), len(frame)
+        sets = []
+        for a, b in chunks(texts):
+            ids, w, offsets, _ = weights.sets(texts[a:b])
+            sets += [(ids[offsets[i] : offsets[i + 1]], w[offsets[i] : offsets[i + 1]]) for i in range(b - a)]
+        totals = np.array([w.sum(dtype=np.float64) for _, w in sets])
+        ids = np.concatenate([x for x, _ in sets])
+        owner = np.repeat(np.arange(n), [len(x) for x, _ in sets])
+        root = np.sqrt(np.concatenate([w for _, w in sets]))
+        order = np.argsort(ids, kind="stable")
+        column = np.cumsum(np.concatenate(([0], ids[order][1:] != ids[order][:-1])))
+        common = np.zeros((n, n), np.float32)  # at least the sum of the smaller weights
+        for low in range(0, int(column[-1]) + 1, 2048):
+            a, b = np.searchsorted(column, (low, low + 2048))
+            part = np.zeros((n, 2048), np.float32)
+            part[owner[order[a:b]], column[a:b] - low] = root[order[a:b]]
+            common += part @ part.T
+        both = totals[:, None] + totals[None, :]
+        able = (common * (1 + 1e-4) >= THRESHOLD / (1 + THRESHOLD) * both) & (labels[:, None] != labels[None, :])
+        if (cells != cells[0]).any():
+            able &= cells[:, None] != cells[None, :]
+        group = {x: x for x in set(labels.tolist())}
+
+        def find(x: int) -> int:
+            while group[x] != x:
+                group[x] = x = group[group[x]]
+            return x
+
+        links = []
+        for i, j in zip(*np.nonzero(np.triu(able, 1))):
+            p, q = find(labels[i]), find(labels[j])
+            if p != q and similarity(sets[i], sets[j]) >= THRESHOLD:
+                group[p] = q
+                links.append((numbers[i], numbers[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _large_links(contents: DataFrame, buckets: DataFrame, weights: Weights) -> DataFrame:
+    """Links of large buckets, all pairs of cells compared; ``n`` is the size of a row's bucket."""
+    parts = F.ceil(F.col("n") / CELL).cast("long")
+    dealt = buckets.select("band", "text_id", "label", parts.alias("parts"), F.pmod(F.xxhash64("text_id"), parts).alias("cell"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    dealt = dealt.select("*", other).withColumn("low", F.least("cell", "other")).withColumn("high", F.greatest("cell", "other"))
+    rows = dealt.join(contents, "text_id").select("band", "low", "high", "cell", "text_id", "label", "text")
+    return rows.groupBy("band", "low", "high").applyInPandas(_block_links(weights), "a long, b long")
+
+
 def _links(docs: DataFrame, signed: DataFrame, weights: Weights) -> tuple[DataFrame, DataFrame]:
     """Texts (``text_id``, ``ka``, ``kb``, ``doc``) and the labels of those that have a near copy."""
     texts = signed.where("words").groupBy("ka", "kb").agg(F.min("doc").alias("doc"), F.first("weight").alias("weight"), F.first("bands", True).alias("bands"))
@@ -278,8 +335,14 @@ def _links(docs: DataFrame, signed: DataFrame, weights: Weights) -> tuple[DataFr
             buckets = members.withColumn("label", F.col("text_id"))
         else:
             buckets = members.join(labels, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
-            mixed = buckets.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("band")
+            mixed = buckets.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed"), F.count("*").alias("n")).where("mixed").select("band", "n")
             buckets = materialize(buckets.join(mixed, "band"))
+            if hubs is None:
+                large = buckets.where(F.col("n") > SMALL)
+                if large.take(1):
+                    edges = edges.union(materialize(_large_links(contents, large, weights)))
+                    labels = components(edges)
+                buckets = buckets.where(F.col("n") <= SMALL)
         pairs = _bucket_pairs(buckets, hubs)
         if tested is not None:
             both = tested.union(tested.select("member", "hub"))
@@ -301,7 +364,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     counted = docs.select("text").mapInPandas(_document_frequencies, "cell int, n long")
     cells, documents = total_sketch(counted)
     weights = Weights(cells, documents)
-    signed = materialize(docs.select("doc_id", "text").mapInPandas(
+    signed = materialize(docs.select(document_id().alias("doc_id"), "text").mapInPandas(
         _signatures(weights), "doc long, ka long, kb long, words boolean, weight double, bands array<long>"
     ))
     texts, labels = _links(docs, signed, weights)
@@ -324,14 +387,15 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     kept = grouped.where(F.col("doc") == F.col("class")).select("doc").distinct()
     repeated = grouped.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
     kept = broadcast_if_few(materialize(kept), F.lit(1))
-    out = docs.withColumn("_doc", document_id()).join(kept.withColumnRenamed("doc", "_doc"), "_doc", "left_semi")
+    own = free_name(docs, "own_id")
+    out = docs.withColumn(own, document_id()).join(kept.withColumnRenamed("doc", own), own, "left_semi")
     if repeated.take(1):
         # Rows that share a doc_id: of equal texts one stays; of others those that are first in their group.
-        shared = repeated.withColumnRenamed("doc", "_doc")
-        single = out.join(shared, "_doc", "left_anti")
-        several = out.join(shared, "_doc", "left_semi").dropDuplicates(["_doc", "text"])
+        shared = repeated.withColumnRenamed("doc", own)
+        single = out.join(shared, own, "left_anti")
+        several = out.join(shared, own, "left_semi").dropDuplicates([own, "text"])
         out = single.unionByName(several)
-    return out.drop("_doc")
+    return out.drop(own)
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
