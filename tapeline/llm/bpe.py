@@ -32,13 +32,13 @@ import re
 import struct
 import sys
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from tapeline.llm.common import map_texts
+
 # Fixed values of the vocabulary file: its split pattern and word end.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -260,34 +260,29 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id``, packed ``ids`` and the ``decoded`` text of every row: a narrow map."""
     path = path or default_path()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str | None]) -> dict:
         machine = automaton(path)
-        for frame in frames:
-            ids = [machine.encode(t if isinstance(t, str) else None) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "ids": ids, "decoded": [machine.decode(i) for i in ids]})
+        ids = [machine.encode(t) for t in texts]
+        return {"ids": ids, "decoded": [machine.decode(i) for i in ids]}
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, decoded string")
+    return map_texts(docs, run, "ids binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Token count and digests of ids and decoded text, made next to the texts so that neither is moved."""
     path = path or default_path()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str | None]) -> dict:
         machine = automaton(path)
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                ids = machine.encode(text if isinstance(text, str) else None)
-                decoded = machine.decode(ids)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for text in texts:
+            ids = machine.encode(text)
+            out["n_tokens"].append(len(ids) // 4)
+            out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(machine.decode(ids).encode()).hexdigest())
+        return out
+
+    return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

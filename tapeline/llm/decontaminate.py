@@ -25,9 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.llm.common import filter_texts
 from tapeline.llm.words import SHINGLE, chunks, doc_words, mix, shingles
 from tapeline.session import materialize
 
@@ -191,8 +193,7 @@ def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
             yield group
 
 
-def _found(group: list[Index], frame: pd.DataFrame) -> Iterator[tuple[int, Index, tuple]]:
-    texts = [t if isinstance(t, str) else None for t in frame["text"]]
+def _found(group: list[Index], texts: list[str | None]) -> Iterator[tuple[int, Index, tuple]]:
     for a, b in chunks(texts):
         words, offsets = doc_words(texts[a:b])
         for index in group:
@@ -204,28 +205,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and leaked item."""
     kind = dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id long, item_id {kind}, score double, question_overlap double, answer_overlap double"
+    names = [f.split(" ")[0] for f in schema.split(", ")]
     out = docs.sparkSession.createDataFrame([], schema)
     for group in indexes(benchmark):
-        def run(frames: Iterator[pd.DataFrame], group: list[Index] = group) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                ids = frame["doc_id"].to_numpy()
-                rows = [(ids[d], index.items[i], *rest) for d, index, (_, i, *rest) in _found(group, frame)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        out = out.unionByName(docs.select("doc_id", "text").mapInPandas(run, schema))
+        def run(batches: Iterator[pa.RecordBatch], group: list[Index] = group) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                rows = [(ids[d], index.items[i], *rest) for d, index, (_, i, *rest) in _found(group, batch.column(1).to_pylist())]
+                if rows:
+                    first, *others = (list(column) for column in zip(*rows))
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, [pa.array(first, pa.int64()), *map(pa.array, others)])))
+
+        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item; judged in place, without a join."""
     for group in indexes(benchmark):
-        def run(frames: Iterator[pd.DataFrame], group: list[Index] = group) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                good = np.ones(len(frame), bool)
-                good[[d for d, _, _ in _found(group, frame)]] = False
-                yield frame.loc[good]
+        def keep(texts: list[str | None], group: list[Index] = group) -> np.ndarray:
+            good = np.ones(len(texts), bool)
+            good[[d for d, _, _ in _found(group, texts)]] = False
+            return good
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = filter_texts(docs, keep)
     return docs
 
 

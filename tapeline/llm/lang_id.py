@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.llm.common import filter_texts, map_texts
 from tapeline.llm.words import chunks
 
 DIM = 1 << 14
@@ -180,25 +181,25 @@ def predict(docs: DataFrame, model: LanguageModel, ambiguous: float = AMBIGUOUS)
     """``doc_id``, ``lang_pred``, ``score`` and ``ambiguous`` for every row; reads ``text`` only."""
     names = np.array([*model.languages, UNKNOWN], object)
 
-    def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t if isinstance(t, str) else None for t in frame["text"]]
-            for a, b in chunks(texts):
-                part = texts[a:b]
-                known = np.array([t is not None and any(map(str.isalpha, t)) for t in part])
-                if model.languages:
-                    best, score, gap = model.decode(model.margins(part))
-                else:
-                    known[:] = False
-                    best, score, gap = np.zeros(len(part), int), np.zeros(len(part)), np.zeros(len(part))
-                yield pd.DataFrame({
-                    "doc_id": frame["doc_id"].iloc[a:b].to_numpy(),
-                    "lang_pred": names[np.where(known, best, len(names) - 1)],
-                    "score": np.where(known, score, 0.0),
-                    "ambiguous": known & (gap < ambiguous),
-                })
-
-    return docs.select("doc_id", "text").mapInPandas(label, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    def label(texts: list[str | None]) -> dict:
+        best, score, gap = _told(model, texts)
+        known = best >= 0
+        return {
+            "lang_pred": names[best].tolist(), "score": np.where(known, score, 0.0), "ambiguous": known & (gap < ambiguous),
+        }
+
+    return map_texts(docs, label, "lang_pred string, score double, ambiguous boolean")
+
+
+def _told(model: LanguageModel, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language number (-1 for none), score and gap of each text."""
+    best, score, gap = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
+    for a, b in chunks(texts) if model.languages else ():
+        part = texts[a:b]
+        known = np.array([t is not None and any(map(str.isalpha, t)) for t in part])
+        own, score[a:b], gap[a:b] = model.decode(model.margins(part))
+        best[a:b] = np.where(known, own, -1)
+    return best, score, gap
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
@@ -215,17 +216,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     Whole rows pass, also repeated and NULL ``doc_id``: the rows are judged in place, without a join.
     """
     model = fit(docs)
-    columns = docs.columns
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t if isinstance(t, str) else None for t in frame["text"]]
-            good = np.zeros(len(texts), bool)
-            for a, b in chunks(texts):
-                part = texts[a:b]
-                good[a:b] = [t is not None and any(map(str.isalpha, t)) for t in part]
-                if model.languages:
-                    good[a:b] &= model.decode(model.margins(part))[2] >= AMBIGUOUS
-            yield frame.loc[good, columns]
+    def keep(texts: list[str | None]) -> np.ndarray:
+        best, _, gap = _told(model, texts)
+        return (best >= 0) & (gap >= AMBIGUOUS)
 
-    return docs.mapInPandas(keep, docs.schema)
+    return filter_texts(docs, keep)

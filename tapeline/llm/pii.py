@@ -15,12 +15,11 @@ too; other columns are ignored. Only one text is in memory beyond its Arrow batc
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from tapeline.llm.common import map_texts
 from tapeline.llm.spans import Span, joined, sha256
 
 # Kinds in their order, and the cues before identifiers.
@@ -119,24 +118,17 @@ def find(text: str | None) -> list[Span]:
     return [span for kind in KINDS for span in found[kind]]
 
 
-def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for text in frame["text"]:
-            spans = find(text if isinstance(text, str) else None)
-            base = joined(s for s in spans if s[0] in BASE)
-            counts = [sum(s[0] == kind for s in spans) for kind in BASE]
-            rows.append((*counts, sha256(base), joined(spans)))
-        out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-        out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-        yield out
+def _scan(texts: list[str | None]) -> dict:
+    found = [find(t) for t in texts]
+    out = {f"n_{kind}": [sum(s[0] == kind for s in spans) for spans in found] for kind in BASE}
+    out["base_sha256"] = [sha256(joined(s for s in spans if s[0] in BASE)) for spans in found]
+    out["spans"] = [joined(spans) for spans in found]
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Counts, digest and spans of every row; a narrow map without a shuffle."""
-    return docs.select("doc_id", "text").mapInPandas(
-        _scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    )
+    return map_texts(docs, _scan, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:

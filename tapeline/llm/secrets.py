@@ -24,7 +24,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.spans import joined, sha256
 from tapeline.session import materialize
 
 # Rules in their order, each with a version that changes whenever the rule does.
@@ -105,19 +104,21 @@ def refresh(versions: DataFrame, ledger: DataFrame) -> DataFrame:
     return ledger.unionByName(scan_unseen(versions, ledger))
 
 
-def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    place = {rule: i for i, rule in enumerate(RULES)}
-    for frame in frames:
-        rows = []
-        for findings in frame["findings"]:
-            spans = [(s["kind"], int(s["begin"]), int(s["end"])) for s in (findings if findings is not None else ())]
-            spans.sort(key=lambda s: (s[1], place[s[0]], s[2]))
-            base = [s for s in spans if s[0] in BASE]
-            rows.append((*(sum(s[0] == k for s in base) for k in BASE), sha256(joined(base)), joined(spans)))
-        out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-        out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-        out["blob"] = frame["blob"].to_numpy()
-        yield out
+def _joined(spans: F.Column) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def digest(findings: F.Column) -> list[F.Column]:
+    """Counts of the base kinds, their digest, and all spans by start, then kind."""
+    place = F.create_map(*[F.lit(x) for pair in zip(RULES, range(len(RULES))) for x in pair])
+    spans = F.transform(
+        F.coalesce(findings, F.from_json(F.lit("[]"), _FINDINGS)),
+        lambda s: F.struct(s["begin"].alias("begin"), place[s["kind"]].alias("place"), s["end"].alias("end"), s["kind"].alias("kind")),
+    )
+    spans = F.array_sort(spans)
+    base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
+    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return [*counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans")]
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:
@@ -125,6 +126,4 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     versions = docs.select("doc_id", F.col("text").alias("content"))
     ledger = materialize(scan_unseen(versions).where(F.size("findings") > 0))
-    return findings_by_path(versions, ledger).select("doc_id", "blob", "findings").mapInPandas(
-        _digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, blob string"
-    )
+    return findings_by_path(versions, ledger).select("doc_id", *digest(F.col("findings")), "blob")
