@@ -55,7 +55,19 @@ class BlockIndex:
         self.lines = np.random.default_rng(SEED).standard_normal((PROJECTIONS, vectors.shape[1]))
         values = self.lines @ (self.vectors / self.norms[:, None]).T
         self.order = np.argsort(values, axis=1).astype(np.int32)
-        self.sorted = np.take_along_axis(values, self.order, axis=1)
+        # The sorted arrays lie end to end, each shifted beyond the one before, so that one search looks into all.
+        self.shift = np.arange(PROJECTIONS) * (4 * float(np.abs(values).max()) + 100)
+        self.sorted = (np.take_along_axis(values, self.order, axis=1) + self.shift[:, None]).ravel()
+        self.order = self.order.ravel()
+        self.start = self._usual_distance()
+
+    def _usual_distance(self) -> float:
+        """Two steps below the median k-th distance of a few members: where widening begins."""
+        few = np.linspace(0, len(self.norms) - 1, min(8, len(self.norms))).astype(int)
+        unit = self.vectors / self.norms[:, None]
+        cos = np.sort(unit[few] @ unit.T, axis=1)[:, ::-1]
+        far = np.sqrt(np.maximum(2 - 2 * cos[:, min(self.k, cos.shape[1] - 1)], 0))
+        return max(START, float(np.median(far)) / WIDEN**2)
 
     def nearest(self, own: int, query: np.ndarray) -> list[tuple[int, float]]:
         """The k best (id, cosine) for a query, without the id ``own``."""
@@ -63,26 +75,29 @@ class BlockIndex:
         norm = np.sqrt((q * q).sum())
         at = self.lines @ (q / norm)
         n = len(self.norms)
-        low = np.array([np.searchsorted(s, a) for s, a in zip(self.sorted, at)])
-        high = low.copy()
+        at = at + self.shift
+        floor = np.arange(PROJECTIONS) * n
+        low = high = np.clip(np.searchsorted(self.sorted, at), floor, floor + n)
         counts, score = np.zeros(n, np.int64), np.full(n, -np.inf)
-        radius = START
+        radius = self.start
         while True:
             half = BUCKET * radius / 2
-            pieces = []
-            for i in range(PROJECTIONS):
-                a, b = np.searchsorted(self.sorted[i], (at[i] - half, at[i] + half))
-                a, b = min(a, low[i]), max(b, high[i])
-                pieces += [self.order[i, a : low[i]], self.order[i, high[i] : b]]
-                low[i], high[i] = a, b
+            a = np.minimum(np.clip(np.searchsorted(self.sorted, at - half), floor, floor + n), low)
+            b = np.maximum(np.clip(np.searchsorted(self.sorted, at + half, side="right"), floor, floor + n), high)
+            pieces = [self.order[i:j] for i, j in zip([*a, *high], [*low, *b])]
+            low, high = a, b
             counts += np.bincount(np.concatenate(pieces), minlength=n)
             fresh = np.flatnonzero((counts >= COLLISIONS) & (score == -np.inf))
             if len(fresh):
                 score[fresh] = (self.vectors[fresh] * q).sum(1) / (self.norms[fresh] * norm)
             found, kth = self._best(own, score)
             # On unit vectors the squared distance is 2 - 2 cos; a radius of 2 reaches every vector.
-            if radius >= 2 or (len(found) == self.k and 2 - 2 * kth <= radius * radius):
+            if len(found) == self.k and 2 - 2 * kth <= radius * radius:
                 return found
+            if radius >= 2:
+                # Few vectors, or far ones: the rest is verified as well.
+                score = (self.vectors * q).sum(1) / (self.norms * norm)
+                return self._best(own, score)[0]
             radius *= WIDEN
 
     def _best(self, own: int, score: np.ndarray) -> tuple[list[tuple[int, float]], float]:

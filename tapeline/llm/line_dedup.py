@@ -5,20 +5,22 @@ Lines with equal sets form one class. A line goes when an earlier line (by ``doc
 line number) is of its class or of a class that matches its own; that earlier line may itself
 have gone. The join finds every class with an earlier match:
 
-1. One pass counts words in a fixed-size count-min sketch and gives each line's class.
+1. One pass counts words in a fixed-size count-min sketch.
 2. Words are ordered by rarity (sketch count, then hash). By the prefix filter, matching
    lines share one of their rarest ``n - ceil(4n/5) + 1`` words. Those entries go to parts by
    word; in a part, entries of one word meet within their length window and pass the
    positional filter and a 128-bit parity bitmap (its difference never exceeds that of the sets).
+   The same pass sends each line to a part by its class, which names the lines after the first.
 3. Surviving pairs are verified on the full sets of word hashes.
 
-A class with many candidates first sends its ``FIRST`` earliest ones from a part. Only classes
-that those leave open, if any, send all the rest in a second run, so that thousands of variants
-of one line cost thousands of pairs, not millions, and no match is lost.
+A class first sends, from each part, only the ``FIRST`` earlier candidates with the closest bitmaps.
+Classes without a match that had more send all the rest in a second run, restricted to the
+words concerned, so that thousands of variants of one line cost thousands of pairs, not
+millions, and no match is lost.
 
-Data between the steps is packed: one row per batch and part. The number of parts follows
+Data between the steps is packed: one row per chunk of text and part. The number of parts follows
 the number of words, and an entry carries no text. Documents are joined with the numbers of
-the lines that stay, by broadcast if those were counted to be few, else by shuffle.
+the lines that go, by broadcast if those were counted to be few, else by shuffle.
 
 Defined results: NULL and empty texts stay as they are; lines without a word always stay; rows
 with equal ``doc_id`` are judged alike (lines of equal number tie, and ties stay); NULL ``doc_id``
@@ -32,20 +34,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tapeline.llm.words import chunks, hash_words, mix
+from tapeline.llm.common import WIDTH, broadcast_if_few, document_id, free_name, row_ids, row_texts, sketch_slots, total_sketch
+from tapeline.llm.words import chunks, doc_words, hash_words, mix
 from tapeline.session import materialize
 
 NUMERATOR, DENOMINATOR = 4, 5
-WIDTH = 1 << 16
-FIRST = 4
+FIRST = 8
+FLUSH = 64  # records of this many chunks go out together
 PART_ENTRIES = 400_000
 WINDOW_PAIRS = 1 << 20
-BROADCAST_VALUES = 4_000_000
-_NO_ID = -(1 << 63)
 
+SOME_WORDS = 1_000_000
+_LINE = np.dtype([("ka", "<u8"), ("kb", "<u8"), ("doc", "<i8"), ("line", "<u4")])
 _ENTRY = np.dtype([
     ("token", "<u4"), ("n", "<u4"), ("ka", "<u8"), ("kb", "<u8"), ("kc", "<u8"),
     ("doc", "<i8"), ("line", "<u4"), ("at", "<u4"),
@@ -62,11 +68,6 @@ def prefix_length(n):
     return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
 
 
-def sketch_slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two sketch cells of each word."""
-    return (hashes & np.uint64(WIDTH - 1)).astype(np.int64), ((hashes >> np.uint64(20)) & np.uint64(WIDTH - 1)).astype(np.int64) + WIDTH
-
-
 def line_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, the global line index of each, and each line's document and number."""
     parts = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
@@ -110,52 +111,73 @@ def identities(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     )
 
 
-def _ids(frame: pd.DataFrame) -> np.ndarray:
-    return np.array([_NO_ID if pd.isna(i) else int(i) for i in frame["doc_id"]], np.int64)
-
-
-def _texts(frame: pd.DataFrame) -> list[str | None]:
-    return [t if isinstance(t, str) else None for t in frame["text"]]
-
-
-def _survey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sketch cells (``cell``, ``n``) and lines (``ka``, ``kb``, ``doc``, ``line``)."""
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sketch cells of all words."""
     cells = np.zeros(2 * WIDTH, np.int64)
     for frame in frames:
-        texts, ids = _texts(frame), _ids(frame)
+        texts = row_texts(frame)
         for a, b in chunks(texts):
-            hashes, line, doc, number = line_words(texts[a:b])
-            for slot in sketch_slots(hashes):
+            for slot in sketch_slots(doc_words(texts[a:b])[0]):
                 cells += np.bincount(slot, minlength=2 * WIDTH)
-            h, starts, at = line_sets(hashes, line, np.zeros(len(hashes), np.uint8))
-            if len(starts):
-                ka, kb, _ = identities(h, starts)
-                yield pd.DataFrame({
-                    "cell": -1, "n": 0, "ka": ka.view(np.int64), "kb": kb.view(np.int64),
-                    "doc": ids[a:b][doc[at]], "line": number[at],
-                })
     used = np.flatnonzero(cells)
-    yield pd.DataFrame({"cell": used, "n": cells[used], "ka": 0, "kb": 0, "doc": 0, "line": 0})
+    yield pd.DataFrame({"cell": used, "n": cells[used]})
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """One row per part for the records of several chunks; parts of words and of classes never mix."""
+    for kind in (_LINE, _ENTRY):
+        own = [pair for pair in held if pair[1].dtype == kind]
+        if not own:
+            continue
+        part, rows = np.concatenate([p for p, _ in own]), np.concatenate([r for _, r in own])
+        order = np.argsort(part, kind="stable")
+        part, rows = part[order], rows[order]
+        edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else [0]
+        yield pd.DataFrame({
+            "part": [int(part[i]) for i in edges[:-1]],
+            "data": [rows[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:])],
+        })
 
 
-def _entries(cells: np.ndarray, parts: int):
-    """Prefix entries of all lines, packed by part."""
+def _entries(cells: np.ndarray, parts: int, only: np.ndarray | None = None):
+    """Prefix entries of all lines by word (parts from 0), and the lines by class (parts from ``parts``).
+
+    With ``only``, just the entries of those words.
+    """
     rank_of = np.minimum(64 * np.log2(cells + 1.0), 4095).astype(np.uint16)
+    near = np.zeros(1 << 16, bool)
+    if only is not None:
+        near[only >> np.uint32(16)] = True
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for frame in frames:
-            texts, ids, found = _texts(frame), _ids(frame), []
+            texts, ids = row_texts(frame), row_ids(frame)
             for a, b in chunks(texts):
+                if len(held) >= FLUSH:
+                    yield from _packed(held)
+                    held = []
                 hashes, line, doc, number = line_words(texts[a:b])
+                if only is not None:
+                    # Lines without a word that is asked for are left out before any sorting.
+                    asked = near[(hashes >> np.uint64(48)).astype(np.int64)]
+                    asked[asked] = np.isin((hashes[asked] >> np.uint64(32)).astype(np.uint32), only)
+                    keep = np.zeros(len(doc), bool)
+                    keep[line[asked]] = True
+                    hashes, line = hashes[keep[line]], line[keep[line]]
                 if not len(hashes):
                     continue
                 one, two = sketch_slots(hashes)
                 h, starts, at = line_sets(hashes, line, np.minimum(rank_of[one], rank_of[two]))
                 ka, kb, kc = identities(h, starts)
+                where, number = ids[a:b][doc[at]], number[at]
+                if only is None:
+                    lines = np.empty(len(ka), _LINE)
+                    lines["ka"], lines["kb"], lines["doc"], lines["line"] = ka, kb, where, number
+                    held.append(((ka % np.uint64(parts)).astype(np.int64) + parts, lines))
                 n = np.diff(np.append(starts, len(h)))
                 # Sets of under four words match equal sets only; a chunk sends the earliest line of each class.
-                where = ids[a:b][doc[at]]
-                order = np.lexsort((number[at], where, kb, ka))
+                order = np.lexsort((number, where, kb, ka))
                 fresh = (ka[order][1:] != ka[order][:-1]) | (kb[order][1:] != kb[order][:-1])
                 fit = np.zeros(len(n), bool)
                 fit[order[np.concatenate(([True], fresh))]] = True
@@ -166,24 +188,16 @@ def _entries(cells: np.ndarray, parts: int):
                 word = h[starts[row] + place]
                 one, two = sketch_slots(word)
                 shared = np.minimum(cells[one], cells[two]) > 1  # a word seen once is in one line
+                if only is not None:
+                    shared &= np.isin((word >> np.uint64(32)).astype(np.uint32), only)
                 row, place, word = row[shared], place[shared], word[shared]
                 out = np.empty(len(row), _ENTRY)
                 out["token"] = (word >> np.uint64(32)).astype(np.uint32)
                 out["n"], out["at"] = n[row], place
                 out["ka"], out["kb"], out["kc"] = ka[row], kb[row], kc[row]
-                out["doc"], out["line"] = where[row], number[at[row]]
-                found.append(((word % np.uint64(parts)).astype(np.int64), out))
-            if not found:
-                continue
-            part = np.concatenate([p for p, _ in found])
-            rows = np.concatenate([r for _, r in found])
-            order = np.argsort(part, kind="stable")
-            part, rows = part[order], rows[order]
-            edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else []
-            yield pd.DataFrame({
-                "part": [int(part[i]) for i in edges[:-1]],
-                "data": [rows[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:])],
-            })
+                out["doc"], out["line"] = where[row], number[row]
+                held.append(((word % np.uint64(parts)).astype(np.int64), out))
+        yield from _packed(held)
 
     return run
 
@@ -212,31 +226,41 @@ def _earlier(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (d < e) | ((d == e) & (rows["line"][a] < rows["line"][b]))
 
 
-def candidates(rows: np.ndarray, everything: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (later, earlier) of entries that pass the filters, and which later classes have more."""
+def candidates(rows: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) of entries that pass the filters, and entries of later classes that had more.
+
+    With ``wanted`` (``ka`` of classes), all pairs of those; else the ``FIRST`` closest of each class.
+    """
     # One entry per word and class, the earliest of its lines.
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["kb"], rows["ka"], rows["n"], rows["token"]))]
+    key = (rows["token"].astype(np.uint64) << np.uint64(32)) | rows["n"]
+    rows = rows[np.lexsort((rows["ka"], key))]
     if len(rows):
         repeated = (rows["token"][1:] == rows["token"][:-1]) & (rows["ka"][1:] == rows["ka"][:-1]) & (rows["kb"][1:] == rows["kb"][:-1])
-        rows = rows[np.concatenate(([True], ~repeated))]
-    later, sooner = [], []
+        heads = np.flatnonzero(np.concatenate(([True], ~repeated)))
+        size = np.diff(np.append(heads, len(rows)))
+        doc = np.minimum.reduceat(rows["doc"], heads)
+        line = np.minimum.reduceat(np.where(rows["doc"] == np.repeat(doc, size), rows["line"], np.uint32(0xFFFFFFFF)), heads)
+        rows = rows[heads].copy()
+        rows["doc"], rows["line"] = doc, line
+    ask = None if wanted is None else np.isin(rows["ka"], wanted)
+    later, sooner, slack = [], [], []
     held = 0
+    more = np.zeros(0, int)
 
-    def thin() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs; unless ``everything``, of each later class the earliest ``FIRST``."""
-        x = np.concatenate(later) if later else np.zeros(0, int)
-        y = np.concatenate(sooner) if sooner else np.zeros(0, int)
-        order = np.lexsort((rows["kb"][y], rows["ka"][y], rows["line"][y], rows["doc"][y], rows["kb"][x], rows["ka"][x]))
-        x, y = x[order], y[order]
-        kx, ky = rows[["ka", "kb"]][x], rows[["ka", "kb"]][y]
+    def thin() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs, the closest first; unless ``wanted``, ``FIRST`` for each later class; and where there were more."""
+        x, y, z = (np.concatenate(v) if v else np.zeros(0, int) for v in (later, sooner, slack))
+        order = np.lexsort((rows["ka"][y], z, rows["ka"][x]))
+        x, y, z = x[order], y[order], z[order]
+        kx, ky = rows["ka"][x], rows["ka"][y]
         fresh = np.concatenate(([True], (kx[1:] != kx[:-1]) | (ky[1:] != ky[:-1])))[: len(x)]
-        x, y, kx = x[fresh], y[fresh], kx[fresh]
+        x, y, z, kx = x[fresh], y[fresh], z[fresh], kx[fresh]
         head = np.flatnonzero(np.concatenate(([True], kx[1:] != kx[:-1]))[: len(x)])
         nth = np.arange(len(x)) - np.repeat(head, np.diff(np.append(head, len(x))))
-        keep = np.ones(len(x), bool) if everything else nth < FIRST
-        return x[keep], y[keep], x[nth == FIRST]
+        keep = np.ones(len(x), bool) if ask is not None else nth < FIRST
+        over = np.zeros(0, int) if ask is not None else x[~keep]
+        return x[keep], y[keep], z[keep], over
 
-    more = np.zeros(0, int)
     for i, j in _windows(rows):
         ni, nj = rows["n"][i].astype(np.int64), rows["n"][j].astype(np.int64)
         common = least_common(ni, nj)
@@ -245,42 +269,71 @@ def candidates(rows: np.ndarray, everything: bool) -> tuple[np.ndarray, np.ndarr
         i, j, room = i[near], j[near], (ni + nj - 2 * common)[near]
         apart = np.bitwise_count(rows["kb"][i] ^ rows["kb"][j]).astype(np.int64) + np.bitwise_count(rows["kc"][i] ^ rows["kc"][j])
         near = apart <= room
-        i, j = i[near], j[near]
+        i, j, z = i[near], j[near], (apart - room)[near]
         swap = _earlier(rows, i, j)
-        later.append(np.where(swap, j, i))
-        sooner.append(np.where(swap, i, j))
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        if ask is not None:
+            i, j, z = i[ask[i]], j[ask[i]], z[ask[i]]
+        later.append(i)
+        sooner.append(j)
+        slack.append(z)
         held += len(i)
         if held > 4 * WINDOW_PAIRS:
-            x, y, m = thin()
-            later, sooner, more, held = [x], [y], np.concatenate((more, m)), 0
-    x, y, m = thin()
-    return rows[x], rows[y], rows[np.concatenate((more, m))]
+            x, y, z, over = thin()
+            later, sooner, slack, more, held = [x], [y], [z], np.concatenate((more, over)), 0
+    x, y, _, over = thin()
+    more = np.concatenate((more, over))
+    if len(more):
+        # One row for each class and word that had more.
+        more = more[np.unique(rows["ka"][more] ^ mix(rows["token"][more].astype(np.uint64)), return_index=True)[1]]
+    return rows[x], rows[y], rows[more]
+
+
+_PAIR = "kind int, part long, token long, ka long, kb long, doc long, line long, ea long, eb long, edoc long, eline long"
+PAIR, MORE, COPY = 0, 1, 2
+
 
+def _pair_rows(part: int, kind: np.ndarray, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    signed = lambda v: np.ascontiguousarray(v).view(np.int64)
+    token = x["token"].astype(np.int64) if "token" in x.dtype.names else np.zeros(len(x), np.int64)
+    return pd.DataFrame({
+        "kind": kind, "part": part, "token": token, "ka": signed(x["ka"]), "kb": signed(x["kb"]), "doc": x["doc"],
+        "line": x["line"].astype(np.int64), "ea": signed(y["ka"]), "eb": signed(y["kb"]), "edoc": y["doc"], "eline": y["line"].astype(np.int64),
+    })
+
+
+def _meet(parts: int):
+    """In a part of words, candidate pairs and classes that had more; in a part of classes, the lines after the first."""
 
-def _pairs(everything: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(frame["data"]), _ENTRY)
-        x, y, more = candidates(rows, everything)
-        x, y = np.concatenate((x, more)), np.concatenate((y, np.zeros(len(more), _ENTRY)))
-        return pd.DataFrame({
-            "ka": x["ka"].astype(np.uint64).view(np.int64),
-            "kb": x["kb"].astype(np.uint64).view(np.int64),
-            "doc": x["doc"].astype(np.int64), "line": x["line"].astype(np.int64),
-            "ea": y["ka"].astype(np.uint64).view(np.int64), "eb": y["kb"].astype(np.uint64).view(np.int64),
-            "edoc": y["doc"].astype(np.int64), "eline": y["line"].astype(np.int64),
-            "more": np.arange(len(x)) >= len(x) - len(more),
-        })
+        part, data = int(frame["part"].iloc[0]), b"".join(frame["data"])
+        if part < parts:
+            x, y, more = candidates(np.frombuffer(data, _ENTRY))
+            kind = np.repeat([PAIR, MORE], [len(x), len(more)])
+            return _pair_rows(part, kind, np.concatenate((x, more)), np.concatenate((y, more)))
+        lines = np.frombuffer(data, _LINE)
+        lines = lines[np.lexsort((lines["line"], lines["doc"], lines["kb"], lines["ka"]))]
+        copy = (lines["ka"][1:] == lines["ka"][:-1]) & (lines["kb"][1:] == lines["kb"][:-1])
+        # Lines at the first place of their class tie and stay.
+        heads = np.concatenate(([True], ~copy))
+        first = lines[np.flatnonzero(heads)[np.cumsum(heads) - 1]]
+        gone = lines[(lines["doc"] != first["doc"]) | (lines["line"] != first["line"])]
+        return _pair_rows(part, np.full(len(gone), COPY), gone, gone)
 
     return run
 
 
-_PAIR = "ka long, kb long, doc long, line long, ea long, eb long, edoc long, eline long, more boolean"
+def _meet_rest(packed: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    """All candidate pairs of the wanted classes in a part."""
+    rows = np.frombuffer(b"".join(packed["data"]), _ENTRY)
+    x, y, _ = candidates(rows, wanted["ka"].to_numpy(np.int64).view(np.uint64))
+    return _pair_rows(int(packed["part"].iloc[0]) if len(packed) else 0, np.full(len(x), PAIR), x, y)
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The sorted word hashes of wanted lines."""
     for frame in frames:
-        texts, ids = _texts(frame), _ids(frame)
+        texts, ids = row_texts(frame), row_ids(frame)
         wanted = frame["wanted"].tolist()
         for a, b in chunks(texts):
             hashes, line, doc, number = line_words(texts[a:b])
@@ -304,93 +357,90 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
             common = len(np.intersect1d(p, q, assume_unique=True))
             good[i] = common * DENOMINATOR >= NUMERATOR * (len(p) + len(q) - common)
-        yield frame.loc[good, ["ka", "kb"]]
-
-
-def _broadcast_if_few(df: DataFrame, size: F.Column) -> DataFrame:
-    """A broadcast hint after adding up the values to be sent; beyond the bound Spark shuffles."""
-    total = df.agg(F.sum(size + 8)).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_VALUES else df
-
-
-def _document_id() -> F.Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+        yield frame.loc[good, ["doc", "line"]]
 
 
 def _matched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Classes (``ka``, ``kb``) that truly match their earlier partner."""
+    """First lines (``doc``, ``line``) of classes that truly match their earlier partner."""
     ends = pairs.select("doc", "line").union(pairs.select("edoc", "eline")).distinct()
     wanted = ends.groupBy("doc").agg(F.collect_list("line").alias("wanted"))
-    wanted = _broadcast_if_few(wanted, F.size("wanted"))
-    texts = docs.select("doc_id", "text").join(wanted, _document_id() == F.col("doc")).select("doc_id", "text", "wanted")
+    wanted = broadcast_if_few(wanted, F.size("wanted"))
+    texts = docs.select("doc_id", "text").join(wanted, document_id() == F.col("doc")).select(F.col("doc").alias("doc_id"), "text", "wanted")
     sets = materialize(texts.mapInPandas(_sets, "doc long, line long, ka long, kb long, words binary"))
     sets = sets.dropDuplicates(["doc", "line", "ka", "kb"])
     early = sets.select(*[F.col(c).alias("e" + c) for c in ("doc", "line", "words")], F.col("ka").alias("ea"), F.col("kb").alias("eb"))
     both = (
         pairs.join(sets, ["doc", "line", "ka", "kb"]).join(early, ["edoc", "eline", "ea", "eb"])
-        .select("ka", "kb", "words", "ewords")
+        .select("doc", "line", "words", "ewords")
     )
-    return both.mapInPandas(_verify, "ka long, kb long").distinct()
+    return both.mapInPandas(_verify, "doc long, line long").distinct()
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
-    """``doc``, ``kept`` (numbers of the lines with words that stay); documents that keep none are absent."""
-    survey = materialize(docs.select("doc_id", "text").mapInPandas(
-        _survey, "cell int, n long, ka long, kb long, doc long, line long"
-    ))
-    counted = survey.where("cell >= 0").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * WIDTH rows
-    cells = np.zeros(2 * WIDTH, np.int64)
-    cells[counted["cell"]] = counted["n"]
+def lost_lines(docs: DataFrame) -> DataFrame:
+    """``doc``, ``lost``: the numbers of the lines that go, of documents that lose some."""
+    cells, _ = total_sketch(docs.select("text").mapInPandas(_count, "cell int, n long"))
     words = int(cells[:WIDTH].sum())
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / 4 / PART_ENTRIES))
-    packed = docs.select("doc_id", "text").mapInPandas(_entries(cells, parts), "part long, data binary")
-    packed = packed.repartition(parts, "part")
-    pairs = materialize(packed.groupBy("part").applyInPandas(_pairs(False), _PAIR)).drop_duplicates()
-    matched = materialize(_matched(docs, pairs.where("NOT more")))
-    open_classes = pairs.where("more").select("ka", "kb").distinct().join(matched, ["ka", "kb"], "left_anti")
-    if open_classes.take(1):
-        rest = packed.groupBy("part").applyInPandas(_pairs(True), _PAIR).join(open_classes, ["ka", "kb"], "left_semi")
-        matched = matched.union(_matched(docs, materialize(rest.drop_duplicates()))).distinct()
-    classes = survey.where("cell < 0").groupBy("ka", "kb").agg(F.min(F.struct("doc", "line")).alias("first"))
-    stay = classes.join(matched, ["ka", "kb"], "left_anti").select("first.doc", "first.line")
-    return stay.groupBy("doc").agg(F.collect_list("line").alias("kept"))
-
-
-def _rebuild(columns: list[str]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts, kept = _texts(frame), frame["kept"].tolist()
-            out, total, gone, left = list(texts), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            for a, b in chunks(texts):
-                _, line, doc, number = line_words(texts[a:b])
-                full = np.unique(line)
-                total[a:b] = np.bincount(doc[full], minlength=b - a) if len(full) else 0
-                for d in np.unique(doc[full]) if len(full) else ():
-                    own = set(number[full[doc[full] == d]].tolist())
-                    lose = own - set(map(int, kept[a + d] if kept[a + d] is not None else ()))
-                    gone[a + d], left[a + d] = len(lose), len(own) - len(lose)
-                    if lose:
-                        lines = texts[a + d].split("\n")
-                        out[a + d] = "\n".join(x for i, x in enumerate(lines) if i not in lose)
-            frame = frame.assign(text=out, n_lines=total, n_removed=gone)
-            yield frame[[*columns, "n_lines", "n_removed"]]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / 4 / PART_ENTRIES))
+    texts = docs.select(document_id().alias("doc_id"), "text")
+    packed = texts.mapInPandas(_entries(cells, parts), "part long, data binary")
+    met = materialize(packed.groupBy("part").applyInPandas(_meet(parts), _PAIR))
+    pairs = met.where(F.col("kind") == PAIR).drop("kind", "part", "token").distinct()
+    matched = materialize(_matched(docs, pairs))
+    rest = met.where(F.col("kind") == MORE).join(matched, ["doc", "line"], "left_anti").select("part", "token", "ka").distinct()
+    rest = materialize(rest)
+    if rest.take(1):
+        tokens = [r[0] for r in rest.select("token").distinct().limit(SOME_WORDS + 1).collect()]
+        only = np.array(tokens, np.uint32) if len(tokens) <= SOME_WORDS else None
+        again = texts.mapInPandas(_entries(cells, parts, only), "part long, data binary").where(F.col("part") < parts)
+        pairs = again.groupBy("part").cogroup(rest.groupBy("part")).applyInPandas(_meet_rest, _PAIR)
+        matched = matched.union(_matched(docs, materialize(pairs.drop("kind", "part", "token").distinct())))
+    gone = met.where(F.col("kind") == COPY).select("doc", "line").union(matched.select("doc", "line"))
+    return gone.groupBy("doc").agg(F.collect_set(F.col("line").cast("int")).alias("lost"))
+
+
+def _rebuild(lost_name: str):
+    """Takes the lost lines out; texts that lose none are passed on as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            lost, text = batch.column(names.index(lost_name)), batch.column(names.index("text"))
+            where = np.flatnonzero(pc.is_valid(lost).to_numpy(zero_copy_only=False))
+            lines = pc.if_else(pc.equal(pc.binary_length(text), 0), 0, pc.add(pc.count_substring(text, "\n"), 1))
+            gone = np.zeros(len(batch), np.int64)
+            if len(where):
+                mask, new = np.zeros(len(batch), bool), []
+                mask[where] = True
+                for t, numbers in zip(text.take(where).to_pylist(), lost.take(where).to_pylist()):
+                    numbers, whole = set(numbers), (t or "").split("\n")
+                    kept = [x for k, x in enumerate(whole) if k not in numbers]
+                    gone[where[len(new)]] = len(whole) - len(kept)
+                    new.append(None if t is None else "\n".join(kept))
+                text = pc.replace_with_mask(text, mask, pa.array(new, text.type))
+            columns = {name: batch.column(k) for k, name in enumerate(names) if name != lost_name}
+            columns |= {"text": text, "n_lines": pc.fill_null(lines, 0).cast(pa.int64()), "n_removed": pa.array(gone)}
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All rows with later matching lines taken out of ``text``; adds ``n_lines`` and ``n_removed``."""
-    kept = _broadcast_if_few(materialize(kept_lines(docs)), F.size("kept"))
-    columns = docs.columns
-    joined = docs.join(kept, _document_id() == F.col("doc"), "left").drop("doc")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long", "n_removed long"])
-    return joined.mapInPandas(_rebuild(columns), schema)
+    """All rows with later matching lines taken out of ``text``; adds ``n_lines`` and ``n_removed``, or replaces such columns."""
+    own, lost_name = free_name(docs, "own_id"), free_name(docs, "lost_lines")
+    lost = materialize(lost_lines(docs).select(F.col("doc").alias(own), F.col("lost").alias(lost_name)))
+    lost = broadcast_if_few(lost, F.size(lost_name))
+    joined = docs.withColumn(own, document_id()).join(lost, own, "left").drop(own)
+    kept = [f for f in docs.schema if f.name not in ("n_lines", "n_removed")]
+    schema = StructType([*kept, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    return joined.select(*[f.name for f in kept], lost_name).mapInArrow(_rebuild(lost_name), schema)
 
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
-    """Documents without later matching lines; those whose every line with words goes are dropped."""
-    return dedup_lines(docs).where("n_removed = 0 OR n_removed < n_lines").drop("n_lines", "n_removed")
+    """Documents without later matching lines, in the same columns; those that lose every line with a word are dropped."""
+    words = F.col("text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]")
+    extra = {n: free_name(docs, n + "_before") for n in ("n_lines", "n_removed") if n in docs.columns}
+    kept = dedup_lines(docs.withColumnsRenamed(extra)).where((F.col("n_removed") == 0) | words).drop("n_lines", "n_removed")
+    return kept.withColumnsRenamed({v: k for k, v in extra.items()}).select(*docs.columns)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

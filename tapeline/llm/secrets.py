@@ -117,8 +117,11 @@ def digest(findings: F.Column) -> list[F.Column]:
     )
     spans = F.array_sort(spans)
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return [*counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans")]
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return [*map(count, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans")]
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:

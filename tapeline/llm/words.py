@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 SHINGLE = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))

@@ -153,8 +153,11 @@ def test_secrets_by_blob(spark, documents):
     assert found == {("a", ("assign",)), ("b", ("assign",)), ("c", ()), ("d", ("access", "hex")), ("e", ()), ("f", ())} or ("d", ("hex", "access")) in found
 
 
-def test_secrets_match_plain_patterns(spark, documents):
-    rows = {r.doc_id: r for r in secrets.op8_secrets(spark, SMALL).collect()}
+def test_secrets_match_plain_patterns(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in secrets.op8_secrets(spark, folder).collect()}
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    assert sum(r.n_assign for r in rows.values()) > 0
     pattern = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
     for doc in documents.collect():
         spans = [("assign", m.start(), m.end()) for m in pattern.finditer(doc.text) if len(m[2]) >= 8]
@@ -162,7 +165,9 @@ def test_secrets_match_plain_patterns(spark, documents):
         spans += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", doc.text) if len(m[0]) >= 32]
         order = {"assign": 0, "access": 1, "hex": 2}
         text = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], order[s[0]])))
-        assert rows[doc.doc_id].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        row = rows[doc.doc_id]
+        assert row.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(s[0] == k for s in spans) for k in order)
 
 
 _WORDS = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
@@ -219,11 +224,6 @@ def test_line_dedup_edges(edges, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
-def plain_groups(rows):
-    """Smallest doc_id of each component of pairs with weighted similarity of 0.8 or more."""
-    return rows
-
-
 def test_near_groups_match_brute_force(spark, documents):
     rng = random.Random(5)
     rows = [(r.doc_id, r.text) for r in documents.where("doc_id < 120").collect()]
