@@ -47,16 +47,17 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
-# Columns holding portfolio cash, published in whole units.
-CASH_COLUMNS = [
-    "value", "peak", "final_value", "initial_value", "avg_trade_pnl", "avg_winning_pnl", "avg_losing_pnl",
-]
+# Digits of the columns that hold cash; totals in whole units, means to the cent.
+PLACES = {
+    "value": 0, "peak": 0, "final_value": 0, "initial_value": 0,
+    "avg_trade_pnl": 2, "avg_winning_pnl": 2, "avg_losing_pnl": 2,
+}
 
 
 def published(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round the double columns and drop the sign of zero."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    places = {c: 0 if c in CASH_COLUMNS else digits for c in doubles}
+    places = {c: PLACES.get(c, digits) for c in doubles}
     return df.withColumns({c: rounded(F.col(c), n) for c, n in places.items()}) if doubles else df
 
 
@@ -65,8 +66,7 @@ def _bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _indicators(spark: SparkSession, d: str, names: list[str] | None = None) -> DataFrame:
-    ticks = market.trade_ticks(spark, d)
-    return ind.with_indicators(_bars(spark, d), names, barsrc.days_covered(ticks, "ts"))
+    return ind.with_indicators(_bars(spark, d), names)
 
 
 def _only(df: DataFrame, names: list[str]) -> DataFrame:
@@ -87,7 +87,8 @@ def _rule_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signalled(spark: SparkSession, d: str) -> DataFrame:
-    return _rule_table(spark, d).fillna({"signal": 0}).select("ticker_code", "date", "close", "signal")
+    """Written once: sizes, folds and curves then read the narrow bars instead of the ticks."""
+    return materialize(_rule_table(spark, d).fillna({"signal": 0}).select("ticker_code", "date", "close", "signal"))
 
 
 # ---------------------------------------------------------------- scans and sources
@@ -448,7 +449,7 @@ def series_check(spark, d):
     """Ticks by order key: tickers repeat days and go back in time."""
     ticks = market.trade_ticks(spark, d).withColumn("date", F.to_date("ts"))
     # Four thousand orders per stretch; the sequence leaves 2^23 numbers for each.
-    return quality.series_check(ticks, "seq", stretch=4096 << 23)
+    return quality.series_check(ticks, "seq", F.floor(F.col("order_key") / 4096))
 
 
 @query

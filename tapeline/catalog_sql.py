@@ -13,7 +13,7 @@ _FEE, _SLIP = catalog.ACCOUNT.commission, catalog.ACCOUNT.slippage
 
 
 def r4(expr: str, name: str | None = None, digits: int = 4) -> str:
-    scale = 10 ** (0 if (name or expr) in catalog.CASH_COLUMNS else digits)
+    scale = 10 ** catalog.PLACES.get(name or expr, digits)
     return f"floor(({expr}) * {scale}.0::DOUBLE + 0.5) / {scale}.0::DOUBLE + 0.0 AS {name or expr}"
 
 
@@ -21,14 +21,20 @@ _OHLC = ", ".join(r4(c) for c in ("open", "high", "low", "close"))
 _PRICES = f"ticker_code, date, {_OHLC}, volume, {r4('adj_close')}"
 
 
+def _code(key: str) -> str:
+    text = f"CAST({key} AS VARCHAR)"
+    return f"CASE WHEN length({text}) >= 6 THEN {text} ELSE lpad({text}, 6, '0') END"
+
+
 def _ticker(key: str) -> str:
     suffixes = ", ".join(f"'{s}'" for s in ("", *catalog.market.SUFFIXES))
-    return f"lpad(CAST({key} AS VARCHAR), 6, '0') || ([{suffixes}])[{key} % 6 + 2]"
+    return f"({_code(key)}) || ([{suffixes}])[{key} % 6 + 2]"
 
 
 _TICKS = f"""ticks AS (
     SELECT {_ticker('l_suppkey')} AS ticker_code, l_shipdate AS ts,
-        l_orderkey * 8388608 + l_linenumber * 1048576 + l_partkey % 1048576 AS seq,
+        l_orderkey::HUGEINT * 100000000000000000000 + l_linenumber::HUGEINT * 1000000000000000 + l_partkey AS seq,
+        l_orderkey AS order_key,
         l_extendedprice / l_quantity AS price,
         l_extendedprice / l_quantity * (1.0::DOUBLE - l_discount) AS adj_price, l_quantity AS volume
     FROM lineitem)"""
@@ -41,8 +47,8 @@ def _resampled(bucket: str, ticks: str = "ticks") -> str:
 
 
 _BARS = f"{_TICKS}, bars AS ({_resampled('CAST(ts AS DATE)')})"
-_EVENTS = """event_ticks AS (
-    SELECT 'U' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS ticker_code, ts, ts AS seq,
+_EVENTS = f"""event_ticks AS (
+    SELECT 'U' || ({_code('user_id')}) AS ticker_code, ts, epoch_us(ts)::HUGEINT * 10000000000000000000 + event_id AS seq,
         value AS price, value AS adj_price, 1 AS volume FROM events)"""
 
 
@@ -63,10 +69,10 @@ _TICKERS = f"""tickers AS (
     SELECT {_ticker('s_suppkey')} AS ticker_code, s_name AS name,
         {_market(_ticker('s_suppkey'))} AS market, n_name AS sector
     FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey)"""
-_LISTING = """listing AS (
+_LISTING = f"""listing AS (
     SELECT CASE WHEN s_nationkey % 5 < 3 THEN 'KRX' WHEN s_nationkey % 5 = 3 THEN 'NYSE' ELSE 'AMEX' END AS exchange,
         s_suppkey AS pos,
-        CASE WHEN s_suppkey % 11 = 10 THEN ' nan ' ELSE ' ' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || ' ' END AS symbol,
+        CASE WHEN s_suppkey % 11 = 10 THEN ' nan ' ELSE ' ' || ({_code('s_suppkey')}) || ' ' END AS symbol,
         CASE s_nationkey % 5 WHEN 0 THEN 'KOSPI' WHEN 1 THEN 'Kosdaq Global' WHEN 2 THEN 'KONEX'
             WHEN 3 THEN 'NYSE' ELSE 'AMEX' END AS market
     FROM supplier)"""

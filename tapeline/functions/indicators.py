@@ -55,8 +55,8 @@ def check_columns(bars: DataFrame) -> None:
     if missing:
         raise ValueError(f"required columns {missing} not found; available: {bars.columns}")
     kind = bars.schema["date"].dataType
-    if not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        raise ValueError(f"'date' must be a date or timestamp, got {kind.simpleString()}")
+    if not isinstance(kind, T.DateType):
+        raise ValueError(f"'date' must be a date, got {kind.simpleString()}")
 
 
 def full_frame(agg: Column, counted: Column | str, window, rows: int) -> Column:
@@ -114,15 +114,11 @@ def stop_on(test: Column, value: str, message: str) -> Column:
     return F.when(test, stop.cast("double")).otherwise(F.col(value).cast("double"))
 
 
-def with_indicators(
-    bars: DataFrame, names: list[str] | None = None, max_days: int | None = None
-) -> DataFrame:
+def with_indicators(bars: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Add one column per indicator (all 21 by default), keeping the input columns.
 
     NULL bars give NULL indicators; the exponential means carry on over them.
-    ``max_days`` is a known bound on rows per ticker, such as the length of the date
-    range of a scan. When it fits in one block of ``functions.ewm``, the block step
-    is left out.
+    Days are dates, so that a ticker has one row a day at most.
 
     Columns are added in a few wide steps, not one by one: each step whose windows
     share a partition and order becomes one window operator.
@@ -144,7 +140,7 @@ def with_indicators(
     rates += [ewm.ema_rate(MACD_SIGNAL)] if signal else []
     rates += [ewm.wilder_rate(WILDER)] if want & {"rsi", "atr"} else []
     span = ewm.block_rows(rates) if rates else 0
-    block = "_blk" if rates and (max_days is None or max_days > span) else None
+    block = "_blk" if rates else None
 
     # Windows over the input columns.
     df = adjusted_bars(nan_to_null(bars, REQUIRED_COLUMNS))

@@ -45,8 +45,9 @@ def scaler(train: DataFrame, features: list[str]) -> SQLTransformer:
         *[F.avg(c).alias(f"m_{c}") for c in features],
         *[F.stddev_pop(c).alias(f"s_{c}") for c in features],
     ).first()
-    if stats[f"m_{features[0]}"] is None:
-        raise ValueError("no rows to train on")
+    empty = [c for c in features if stats[f"m_{c}"] is None]
+    if empty:
+        raise ValueError(f"no values to train on in {empty}")
     scaled = ", ".join(
         f"(`{c}` - {stats[f'm_{c}']!r}D) / {stats[f's_{c}'] or 1.0!r}D AS `z_{c}`" for c in features
     )
@@ -235,8 +236,8 @@ def _fold_accuracy(rows: DataFrame, names: list[str], problems: list[_Problem])
     """Accuracy of each problem on its own fold, in one aggregation."""
     hits, sizes = [], []
     for i, p in enumerate(problems):
-        z = F.lit(float(p.beta[0]))
-        for name, b in zip(names, p.beta[1:]):
+        z = F.lit(float(p.best[0]))
+        for name, b in zip(names, p.best[1:]):
             z = z + F.col(name) * float(b)
         right = (F.col("fold") == p.fold) & ((z > 0) == (F.col("label") == 1.0))
         hits.append(F.count_if(right).alias(f"h{i}"))
@@ -276,6 +277,9 @@ def grid_search(
                 _newton_step(problems[i], parts)
             if all(p.settled for p in problems):
                 break
+        unsettled = sum(not p.settled for p in problems)
+        if unsettled:
+            raise RuntimeError(f"{unsettled} of {len(problems)} fits did not settle in {max_passes} passes")
         share = _fold_accuracy(rows, names, problems)
         outcome = []
         for at, (c, weight) in enumerate(plans):

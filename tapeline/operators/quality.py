@@ -58,29 +58,27 @@ def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return per.withColumn("null_pct", ratio(F.col("null_cells") * 100.0, F.col("cells")))
 
 
-def series_check(bars: DataFrame, file_order: str, stretch: int = 65_536) -> DataFrame:
+def series_check(bars: DataFrame, file_order: str, stretch: Column | int = 65_536) -> DataFrame:
     """Per ticker: rows, distinct days, repeated days and days out of order.
 
     ``file_order`` numbers the rows as supplied. Unchecked input may repeat days
-    without bound, so a ticker is compared in stretches of the file, ``stretch`` order
-    numbers long, and only the ends of the stretches are compared per ticker.
+    without bound, so a ticker is compared in stretches of the file (``stretch`` order
+    numbers long, or numbered by a column that rises with the order), their ends in groups
+    of 4096 stretches, and only the ends of those groups per ticker.
     """
     if not isinstance(bars.schema["date"].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         raise ValueError(f"'date' must be a date or timestamp, got {bars.schema['date'].dataType.simpleString()}")
     at = F.col(file_order)
-    rows = bars.select("ticker_code", "date", at.alias("_at"), F.floor(at / stretch).alias("_stretch"))
+    number = F.floor(at / stretch) if isinstance(stretch, int) else stretch
+    rows = bars.select("ticker_code", "date", at.alias("_at"), number.cast("long").alias("_stretch"))
     # Rows with one order number are taken in date order.
-    inside = F.lag("date").over(Window.partitionBy("ticker_code", "_stretch").orderBy("_at", "date"))
-    place = F.struct("_at", "date")
-    stretches = rows.withColumn("_late", F.col("date") < inside).groupBy("ticker_code", "_stretch").agg(
-        F.count_if("_late").alias("_late"), F.min(place)["date"].alias("_first"),
-        F.max(place)["date"].alias("_last"),
-    )
-    previous = F.lag("_last").over(Window.partitionBy("ticker_code").orderBy("_stretch"))
-    turned = (F.col("_first") < previous).cast("long")
-    order = stretches.withColumn("_turned", F.coalesce(turned, F.lit(0))).groupBy("ticker_code").agg(
-        F.sum(F.col("_late") + F.col("_turned")).alias("out_of_order")
+    level = rows.select(
+        "ticker_code", "_stretch", F.struct("_at", "date").alias("_place"), F.lit(0).cast("long").alias("_late"),
+        F.col("date").alias("_first"), F.col("date").alias("_last"),
     )
+    for parent in (F.col("_stretch"), F.floor(F.col("_stretch") / 4096), F.lit(0)):
+        level = _joined_ends(level.withColumn("_group", parent.cast("long")))
+    order = level.select("ticker_code", F.col("_late").alias("out_of_order"))
     days = rows.groupBy("ticker_code", "date").agg(F.count("*").alias("_n"))
     counts = days.groupBy("ticker_code").agg(
         F.sum("_n").alias("n_rows"), F.count("*").alias("n_days"),
@@ -89,6 +87,19 @@ def series_check(bars: DataFrame, file_order: str, stretch: int = 65_536) -> Dat
     return counts.join(order, "ticker_code")
 
 
+def _joined_ends(parts: DataFrame) -> DataFrame:
+    """One row per ticker and group: late days inside and between its parts, first and last day."""
+    previous = F.lag("_last").over(Window.partitionBy("ticker_code", "_group").orderBy("_place"))
+    turned = F.coalesce((F.col("_first") < previous).cast("long"), F.lit(0))
+    ends = F.struct("_place", "_first", "_last")
+    return parts.withColumn("_turned", turned).groupBy("ticker_code", "_group").agg(
+        F.sum(F.col("_late") + F.col("_turned")).alias("_late"), F.min(ends).alias("_low"), F.max(ends).alias("_high"),
+    ).select(
+        "ticker_code", F.col("_group").alias("_stretch"), "_late", F.col("_low._place").alias("_place"),
+        F.col("_low._first").alias("_first"), F.col("_high._last").alias("_last"),
+    )
+
+
 def require_rows(df: DataFrame) -> DataFrame:
     """``df`` unchanged, or ValueError when it is empty."""
     if df.isEmpty():

@@ -17,10 +17,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.session import small_table
-
-# Tickers of a cut day are ranked in groups that share this many leading characters.
-_PREFIX = 5
+from tapeline.session import materialize, small_table
 
 
 @dataclass(frozen=True)
@@ -38,27 +35,27 @@ class Cut:
 def _tickers_at(df: DataFrame, places: list[tuple[date, int]]) -> list[str]:
     """For each (day, k), the ``k``-th ticker (from 1) of that day, in two jobs for all.
 
-    No day is put into one task: counts per prefix give each group its offset, and only
-    the groups that are hit get their rows numbered.
+    No day is put into one task: rows of the cut days are dealt out by range, counts per
+    range give each its offset, and only the ranges that are hit get their rows numbered.
     """
     spark = df.sparkSession
     wanted = small_table(spark, [(i, d, k) for i, (d, k) in enumerate(places)], "cut int, date date, k long")
     days = sorted({d for d, _ in places})
-    rows = df.where(F.col("date").isin(days)).select(
-        "date", "ticker_code", F.substring("ticker_code", 1, _PREFIX).alias("prefix")
-    )
-    up_to = Window.partitionBy("date").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("date", "prefix").agg(F.count("*").alias("size"))
+    ranged = df.where(F.col("date").isin(days)).select("date", "ticker_code").repartitionByRange("date", "ticker_code")
+    rows = materialize(ranged.withColumn("part", F.spark_partition_id()))
+    # One row per day and range: few, whatever the number of tickers.
+    up_to = Window.partitionBy("date").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("date", "part").agg(F.count("*").alias("size"))
     placed = sizes.withColumn("offset", F.coalesce(F.sum("size").over(up_to), F.lit(0)))
     # ``wanted`` has one row per cut.
     hit = placed.join(F.broadcast(wanted), "date").where(
         (F.col("offset") < F.col("k")) & (F.col("offset") + F.col("size") >= F.col("k"))
-    ).select("cut", "date", "prefix", (F.col("k") - F.col("offset")).alias("rank")).collect()
-    groups = F.broadcast(small_table(spark, hit, "cut int, date date, prefix string, rank long"))
-    w = Window.partitionBy("date", "prefix").orderBy("ticker_code")
-    inside = rows.join(groups.select("date", "prefix").distinct(), ["date", "prefix"], "left_semi")
+    ).select("cut", "date", "part", (F.col("k") - F.col("offset")).alias("rank")).collect()
+    groups = F.broadcast(small_table(spark, hit, "cut int, date date, part int, rank long"))
+    w = Window.partitionBy("date", "part").orderBy("ticker_code")
+    inside = rows.join(groups.select("date", "part").distinct(), ["date", "part"], "left_semi")
     numbered = inside.withColumn("rank", F.row_number().over(w))
-    found = numbered.join(groups, ["date", "prefix", "rank"]).select("cut", "ticker_code").collect()
+    found = numbered.join(groups, ["date", "part", "rank"]).select("cut", "ticker_code").collect()
     by_cut = {r["cut"]: r["ticker_code"] for r in found}
     return [by_cut[i] for i in range(len(places))]
 
@@ -83,12 +80,13 @@ def cuts_at(df: DataFrame, ranks: list[int], by_day: list[tuple[date, int]]) ->
 
 def with_split(df: DataFrame, test_share: float = 0.2) -> DataFrame:
     """Add ``split``: the last ``ceil(test_share n)`` rows are ``test``, the others ``train``."""
-    by_day = row_counts_by_day(df)
+    keys = materialize(df.select("date", "ticker_code"))  # counts and cuts then read two columns
+    by_day = row_counts_by_day(keys)
     total = sum(n for _, n in by_day)
     n_train = total - math.ceil(test_share * total)
     if n_train <= 0:
         return df.withColumn("split", F.lit("test"))
-    (cut,) = cuts_at(df, [n_train], by_day)
+    (cut,) = cuts_at(keys, [n_train], by_day)
     return df.withColumn("split", F.when(cut.before(), "train").otherwise("test"))
 
 
@@ -97,13 +95,14 @@ def with_folds(df: DataFrame, n_splits: int = 5) -> DataFrame:
 
     Split ``i`` trains on folds below ``i`` and tests on fold ``i``.
     """
-    by_day = row_counts_by_day(df)
+    keys = materialize(df.select("date", "ticker_code"))
+    by_day = row_counts_by_day(keys)
     total = sum(n for _, n in by_day)
     size = total // (n_splits + 1)
     if size == 0:
         raise ValueError(f"{total} rows are too few for {n_splits} splits")
     ranks = [total - size * (n_splits - i) for i in range(n_splits)]
-    cuts = cuts_at(df, ranks, by_day)
+    cuts = cuts_at(keys, ranks, by_day)
     fold = F.lit(n_splits)
     for number in reversed(range(n_splits)):
         fold = F.when(cuts[number].before(), number).otherwise(fold)

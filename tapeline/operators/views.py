@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.schemas import INDICATOR_NAMES, KEYS
@@ -50,13 +50,13 @@ def prices_with_indicators(prices: DataFrame, indicators: DataFrame) -> DataFram
 
 def bars_with_signals(bars: DataFrame, signals: DataFrame) -> DataFrame:
     """All bars of the tickers that have signals; a day without one gets signal 0."""
-    scored = signals.select("ticker_code").distinct()
-    joined = bars.join(scored, "ticker_code", "left_semi").join(
-        signals.select(*KEYS, "signal"), KEYS, "left"
-    )
-    return joined.fillna({"signal": 0})
+    marked = signals.select(*KEYS, "signal", F.lit(1).alias("_scored"))
+    joined = bars.join(marked, KEYS, "left")
+    scored = F.max("_scored").over(Window.partitionBy("ticker_code"))
+    return joined.withColumn("_scored", scored).where("_scored = 1").drop("_scored").fillna({"signal": 0})
 
 
 def without_data(requested: DataFrame, obtained: DataFrame) -> DataFrame:
     """Requested tickers for which nothing was obtained."""
-    return requested.select("ticker_code").join(obtained.select("ticker_code"), "ticker_code", "left_anti")
+    found = obtained.select("ticker_code").distinct()
+    return requested.select("ticker_code").join(found, "ticker_code", "left_anti")

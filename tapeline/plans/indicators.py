@@ -20,14 +20,13 @@ def trimmed_indicators(
 ) -> DataFrame:
     """Indicators for ``start`` to ``end`` inclusive, computed over a range widened by the look-back.
 
-    The widened range is a literal filter and reaches the scan. Its length bounds the
-    bars per ticker, which usually spares the block step of the exponential means.
+    The widened range is a literal filter and reaches the scan.
     """
     names = list(INDICATOR_NAMES) if names is None else names
     check_names(names)
     first = extended_start(start, lookback_rows(names))
     wide = within(bars, first, end)
-    return within(with_indicators(wide, names, max_days=(end - first).days + 1), start, None)
+    return within(with_indicators(wide, names), start, None)
 
 
 def full_table(

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A broadcast table is held whole on the driver and on every executor, so the
-# row limit is a few megabytes of narrow rows.
+# A broadcast table is held whole on the driver and on every executor.
 BROADCAST_ROW_LIMIT = 250_000
+BROADCAST_BYTE_LIMIT = 32 << 20
 
 
 def local_session(cores: int | str = "*", app: str = "tapeline", **conf: str) -> SparkSession:
@@ -82,11 +82,13 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows + 1`` rows.
+    """Hint a broadcast only after counting at most ``max_rows + 1`` rows and their bytes as text.
 
-    Beyond the limit the frame comes back without a hint and the join falls to
+    Beyond a limit the frame comes back without a hint and the join falls to
     Catalyst (sort-merge or shuffled hash, with AQE's skew handling).
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    width = F.length(F.to_json(F.struct(*df.columns)))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    if rows <= max_rows and size <= BROADCAST_BYTE_LIMIT:
         return F.broadcast(df)
     return df

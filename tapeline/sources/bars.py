@@ -60,15 +60,6 @@ def scan_bars(
     return picked if interval == "1d" else rollup_bars(picked, interval)
 
 
-def days_covered(df: DataFrame, column: str = "date") -> int:
-    """Calendar days between the first and last value: a bound on bars per ticker.
-
-    Reads one column; on a stored bar table the file footers answer it.
-    """
-    first, last = df.agg(F.min(F.to_date(column)), F.max(F.to_date(column))).first()
-    return 0 if first is None else (last - first).days + 1
-
-
 def _unit(interval: str) -> str:
     if interval not in INTERVALS:
         raise ValueError(f"unknown interval {interval!r}; one of {list(INTERVALS)}")

@@ -7,6 +7,8 @@ ticks with the user as ticker. Suppliers form the listing.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,19 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def padded_code(key: Column) -> Column:
+    """The key in six digits or more; longer keys stay whole."""
+    code = key.cast("string")
+    return F.when(F.length(code) >= 6, code).otherwise(F.lpad(code, 6, "0"))
+
+
+def wide(key: Column, digits: int = 0) -> Column:
+    """A whole number shifted left by ``digits`` decimal digits, in a fixed-width decimal."""
+    return (key.cast("decimal(19,0)") * F.lit(Decimal(10**digits))).cast("decimal(38,0)")
+
+
 def supplier_code(key: Column) -> Column:
-    return F.lpad(key.cast("string"), 6, "0")
+    return padded_code(key)
 
 
 def supplier_ticker(key: Column) -> Column:
@@ -35,14 +48,18 @@ def _by_kind(key: Column, values: list[str]) -> Column:
 
 
 def trade_ticks(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as ticks; order, line and part give the sequence within a day."""
+    """Line items as ticks; order, line and part give the sequence within a day.
+
+    They take their own digits of ``seq``: 5 for the line, 15 for the part, the rest for the order.
+    """
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    sequence = F.col("l_orderkey") * (1 << 23) + F.col("l_linenumber") * (1 << 20)
+    sequence = wide(F.col("l_orderkey"), 20) + wide(F.col("l_linenumber"), 15) + wide(F.col("l_partkey"))
     return read_table(spark, folder, "lineitem").select(
         supplier_ticker(F.col("l_suppkey")).alias("ticker_code"),
         F.col("l_suppkey").alias("ticker_id"),
         F.col("l_shipdate").alias("ts"),
-        (sequence + F.col("l_partkey") % (1 << 20)).alias("seq"),
+        sequence.cast("decimal(38,0)").alias("seq"),
+        F.col("l_orderkey").alias("order_key"),
         price.alias("price"),
         (price * (F.lit(1.0) - F.col("l_discount"))).alias("adj_price"),
         F.col("l_quantity").alias("volume"),
@@ -51,9 +68,9 @@ def trade_ticks(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_ticks(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "events").select(
-        F.concat(F.lit("U"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("ticker_code"),
+        F.concat(F.lit("U"), padded_code(F.col("user_id"))).alias("ticker_code"),
         "ts",
-        F.col("ts").alias("seq"),
+        (wide(F.unix_micros(F.col("ts").cast("timestamp")), 19) + wide(F.col("event_id"))).cast("decimal(38,0)").alias("seq"),
         F.col("value").alias("price"),
         F.col("value").alias("adj_price"),
         F.lit(1).alias("volume"),

@@ -12,6 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as registry
+from tapeline import catalog, catalog_sql
 from check import connect, differences
 
 SMALL = "/root/testdata/sf0.001"
@@ -29,7 +30,7 @@ SAMPLE = [
 
 
 def test_every_query_has_its_twin():
-    assert set(registry.queries()) - set(SQL) == ROWS_ONLY and set(SQL) <= set(registry.queries())
+    assert set(catalog.all_queries()) - set(SQL) == ROWS_ONLY and set(SQL) <= set(catalog.all_queries())
 
 
 @pytest.fixture(scope="module")
