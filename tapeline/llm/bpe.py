@@ -44,6 +44,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 CACHE_WORDS = 300_000
 CACHE_LENGTH = 200
+CACHE_ARCS = 500_000
 
 
 def default_path() -> str:
@@ -168,7 +169,7 @@ class Automaton:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
             self.words[word] = ids
-        if len(self.arcs) > 4_000_000:
+        if len(self.arcs) > CACHE_ARCS:
             self.arcs.clear()
         return ids
 

@@ -46,7 +46,7 @@ from tapeline.session import materialize
 
 NUMERATOR, DENOMINATOR = 4, 5
 FIRST = 8
-FLUSH = 64  # records of this many chunks go out together
+FLUSH = 32  # records of this many chunks go out together
 PART_ENTRIES = 400_000
 WINDOW_PAIRS = 1 << 20
 
