@@ -29,7 +29,7 @@ def period_range(period: str, now: date) -> tuple[date, date]:
         return date(1970, 1, 1), now
     match = re.fullmatch(PERIOD_PATTERN, period)
     if match is None:
-        raise ValueError(f"Invalid period format: {period!r}; expected e.g. '1y', '6mo', '5d'")
+        raise ValueError(f"period {period!r} is not of the form 1y, 6mo or 5d")
     count, unit = int(match[1]), match[2]
     if unit == "d":
         return now - timedelta(days=count), now

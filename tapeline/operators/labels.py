@@ -17,7 +17,7 @@ def forward_label(
     """
     for c in (price, "date"):
         if c not in bars.columns:
-            raise ValueError(f"Column '{c}' not found in DataFrame")
+            raise ValueError(f"no column {c!r} to label from")
     w = Window.partitionBy("ticker_code").orderBy("date")
     later = F.lead(price, horizon).over(w)
     has_future = F.lead(F.lit(1), horizon).over(w).isNotNull()

@@ -103,7 +103,7 @@ def _joined_ends(parts: DataFrame) -> DataFrame:
 def require_rows(df: DataFrame) -> DataFrame:
     """``df`` unchanged, or ValueError when it is empty."""
     if df.isEmpty():
-        raise ValueError("Cannot calculate indicators: empty dataframe")
+        raise ValueError("no rows to compute on")
     return df
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# The indicator columns, in storage order.
+# The indicator columns, in registry order.
 INDICATOR_NAMES = [
     "ma_5", "ma_10", "ma_20", "ma_50", "ma_60", "ma_100", "ma_120", "ma_200",
     "macd", "macd_signal", "macd_hist", "rsi",

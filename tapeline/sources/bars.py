@@ -54,7 +54,7 @@ def scan_bars(
     """Bars of the tickers in ``[start, end)``; tickers without rows are simply absent."""
     first, stop = parse_day(start), parse_day(end)
     if first >= stop:
-        raise ValueError(f"start date {start} cannot be later than end date {end}")
+        raise ValueError(f"empty range: {start} to {end}")
     picked = of_tickers(bars, tickers)
     picked = picked.where((F.col("date") >= F.lit(first)) & (F.col("date") < F.lit(stop)))
     return picked if interval == "1d" else rollup_bars(picked, interval)
