@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WIDTH = 1 << 16
 NO_ID = -(1 << 63)
 BROADCAST_VALUES = 8_000_000
+BATCH_ROWS = 1_000
 
 
 def row_ids(frame: pd.DataFrame) -> np.ndarray:
@@ -25,6 +26,17 @@ def document_id() -> F.Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
 
+def bound_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after lowering the session's Arrow batches to ``BATCH_ROWS`` rows; a smaller setting stays.
+
+    A batch is held several times over (JVM buffers, Arrow, Python), and whole texts may be long.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def map_texts(docs: DataFrame, make: Callable[[list[str | None]], dict], schema: str) -> DataFrame:
     """``doc_id``, passed on as it is, beside the columns that ``make`` gets from a list of texts."""
 
@@ -34,7 +46,7 @@ def map_texts(docs: DataFrame, make: Callable[[list[str | None]], dict], schema:
                 made = {k: pa.array(v) for k, v in make(batch.column(1).to_pylist()).items()}
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **made})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {schema}")
+    return bound_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {schema}")
 
 
 def filter_texts(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
@@ -44,7 +56,7 @@ def filter_texts(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray]
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index("text")).to_pylist())))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bound_batches(docs).mapInArrow(run, docs.schema)
 
 
 def free_name(docs: DataFrame, name: str) -> str:

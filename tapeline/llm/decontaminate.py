@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import filter_texts
+from tapeline.llm.common import bound_batches, filter_texts
 from tapeline.llm.words import SHINGLE, chunks, doc_words, mix, shingles
 from tapeline.session import materialize
 
@@ -216,7 +216,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     first, *others = (list(column) for column in zip(*rows))
                     yield pa.RecordBatch.from_pydict(dict(zip(names, [pa.array(first, pa.int64()), *map(pa.array, others)])))
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
+        out = out.unionByName(bound_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
     return out
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import filter_texts, map_texts
+from tapeline.llm.common import bound_batches, filter_texts, map_texts
 from tapeline.llm.words import chunks
 
 DIM = 1 << 14
@@ -144,7 +144,7 @@ def _hits(model: LanguageModel):
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     """Learn from ``text`` and ``lang`` of rows outside the held-out fifth; about ``fit_rows`` of them."""
-    labelled = docs.where(~held_out()).where("lang IS NOT NULL").where("text IS NOT NULL")
+    labelled = bound_batches(docs).where(~held_out()).where("lang IS NOT NULL").where("text IS NOT NULL")
     total = labelled.count()
     every = max(1, total // fit_rows)
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text", "lang")

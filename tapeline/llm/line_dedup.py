@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tapeline.llm.common import WIDTH, broadcast_if_few, document_id, free_name, row_ids, row_texts, sketch_slots, total_sketch
+from tapeline.llm.common import WIDTH, bound_batches, broadcast_if_few, document_id, free_name, row_ids, row_texts, sketch_slots, total_sketch
 from tapeline.llm.words import chunks, doc_words, hash_words, mix
 from tapeline.session import materialize
 
@@ -378,7 +378,7 @@ def _matched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def lost_lines(docs: DataFrame) -> DataFrame:
     """``doc``, ``lost``: the numbers of the lines that go, of documents that lose some."""
-    cells, _ = total_sketch(docs.select("text").mapInPandas(_count, "cell int, n long"))
+    cells, _ = total_sketch(bound_batches(docs).select("text").mapInPandas(_count, "cell int, n long"))
     words = int(cells[:WIDTH].sum())
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / 4 / PART_ENTRIES))
     texts = docs.select(document_id().alias("doc_id"), "text")

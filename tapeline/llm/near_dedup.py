@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import NO_ID, WIDTH, broadcast_if_few, document_id, free_name, row_ids, row_texts, sketch_slots, total_sketch
+from tapeline.llm.common import NO_ID, WIDTH, bound_batches, broadcast_if_few, document_id, free_name, row_ids, row_texts, sketch_slots, total_sketch
 from tapeline.llm.words import SHINGLE, chunks, doc_words, mix, shingles
 from tapeline.session import materialize
 
@@ -361,7 +361,7 @@ def _links(docs: DataFrame, signed: DataFrame, weights: Weights) -> tuple[DataFr
 
 def _grouped(docs: DataFrame) -> DataFrame:
     """``doc``, ``ka``, ``kb``, ``class`` (smallest ``doc`` of the group) and ``words`` of every row."""
-    counted = docs.select("text").mapInPandas(_document_frequencies, "cell int, n long")
+    counted = bound_batches(docs).select("text").mapInPandas(_document_frequencies, "cell int, n long")
     cells, documents = total_sketch(counted)
     weights = Weights(cells, documents)
     signed = materialize(docs.select(document_id().alias("doc_id"), "text").mapInPandas(
