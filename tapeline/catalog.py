@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeline import schemas
 from tapeline.functions import indicators as ind
 from tapeline.functions.markets import exchange_code, infer_market
 from tapeline.functions.numeric import nan_to_null, rounded, to_double
 from tapeline.functions.periods import period_range
 from tapeline.operators import equity, gaps, keyed, labels, learn, positions, quality, timesplit, views
 from tapeline.plans import evaluation, training
-from tapeline.plans.indicators import full_table, trimmed_indicators
-from tapeline.plans.prices import fetched_bars
-from tapeline.session import materialize
+from tapeline.plans.indicators import IndicatorRun, full_table, refresh_indicators, trimmed_indicators
+from tapeline.plans.prices import Paths, fetched_bars
+from tapeline.session import materialize, new_folder
 from tapeline.sources import bars as barsrc
 from tapeline.sources import calendars, listings, store
 from tapeline.sources import market_tables as market
@@ -278,6 +279,68 @@ def upsert_partial_indicators(spark, d):
     return published(merged.select("ticker_code", "date", "ma_5", "bb_mid", "obv", "calculated_version"))
 
 
+def _stored_prices(spark: SparkSession, d: str, update_if_exists: bool = True) -> str:
+    """The old bars saved, then the new ones over them; the path of the stored table."""
+    path = new_folder(spark)
+    store.save_prices(spark, path, _old_prices(spark, d))
+    store.save_prices(spark, path, _new_prices(spark, d), update_if_exists)
+    return path
+
+
+@query
+def stored_prices(spark, d):
+    """Two saves read back in order."""
+    return published(store.load_prices(spark, _stored_prices(spark, d), market.tickers(spark, d), ordered=True))
+
+
+@query
+def stored_new_prices(spark, d):
+    """The second save only adds keys that are not stored yet."""
+    path = _stored_prices(spark, d, update_if_exists=False)
+    return published(store.load_prices(spark, path, market.tickers(spark, d), ordered=True))
+
+
+@query
+def stored_indicators(spark, d):
+    """Two saves of different indicators, read back in order."""
+    path, table = new_folder(spark), materialize(_indicators(spark, d, ["ma_5", "bb_mid", "obv"]))
+    store.save_indicators(spark, path, barsrc.within(table, None, OLD_END).select("ticker_code", "date", "ma_5", "bb_mid"), "v0.9")
+    doubled = (F.col("bb_mid") * 2.0).alias("bb_mid")
+    store.save_indicators(spark, path, barsrc.within(table, NEW_START, None).select("ticker_code", "date", doubled, "obv"))
+    rows = store.load_indicators(spark, path, market.tickers(spark, d), ordered=True)
+    return _only(rows, ["ma_5", "bb_mid", "obv"])
+
+
+@query
+def stored_delete(spark, d):
+    """Bars left after the tickers of a market were deleted from the stored tables."""
+    prices, tickers = _stored_prices(spark, d), new_folder(spark)
+    store.write_tickers(spark, tickers, store.load_tickers(market.tickers(spark, d)))
+    gone = market.tickers(spark, d).where(F.col("market") == "TOKYO")
+    store.delete_tickers(spark, gone, tickers, {prices: schemas.PRICES})
+    return published(store.load_prices(spark, prices, store.read_tickers(spark, tickers)))
+
+
+def _indicator_run(spark: SparkSession, d: str) -> tuple[Paths, IndicatorRun]:
+    """Indicators of a date range computed from stored prices and stored."""
+    paths = Paths(tickers=new_folder(spark), prices=new_folder(spark), indicators=new_folder(spark))
+    store.save_prices(spark, paths.prices, _bars(spark, d))
+    names = ["ma_5", "macd_hist", "bb_mid"]
+    return paths, refresh_indicators(spark, paths, market.tickers(spark, d), RANGE_START, RANGE_END, names)
+
+
+@query
+def indicator_refresh(spark, d):
+    paths, _ = _indicator_run(spark, d)
+    rows = store.load_indicators(spark, paths.indicators, market.tickers(spark, d), RANGE_START, RANGE_END)
+    return _only(rows, ["ma_5", "macd_hist", "bb_mid"])
+
+
+@query
+def indicator_refresh_nulls(spark, d):
+    return _indicator_run(spark, d)[1].nulls
+
+
 @query
 def latest_price_per_key(spark, d):
     """A batch with repeated keys, resolved to the last row by a tie-break column."""
@@ -632,6 +695,54 @@ def model_metrics(spark, d):
     return published(evaluation.evaluate_model(table, model).metrics)
 
 
+PAIR = ["rsi", "stoch_k"]
+
+
+def _pair_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, learn.SignalModel]:
+    """Scorable bars, the labelled ones among them, and a model of two features."""
+    table = _indicators(spark, d, PAIR).dropna(subset=PAIR)
+    table = materialize(table.select("ticker_code", "date", "close", "adj_close", *PAIR))
+    rows = labels.training_rows(labels.forward_label(table), PAIR)
+    return table, rows, learn.fit_model(rows, PAIR, learn.Candidate(1.0, None, 1000))
+
+
+def _pair_scores(table: DataFrame, model: learn.SignalModel) -> DataFrame:
+    return published(model.predict(table).select("ticker_code", "date", "p1", "prediction"), 3)
+
+
+@query
+def pair_model_scores(spark, d):
+    table, _, model = _pair_model(spark, d)
+    return _pair_scores(table, model)
+
+
+@query
+def saved_model_scores(spark, d):
+    """The model saved and loaded before it scores."""
+    table, _, model = _pair_model(spark, d)
+    path = new_folder(spark)
+    model.save(path)
+    return _pair_scores(table, learn.SignalModel.load(spark, path))
+
+
+@query
+def pair_model_signals(spark, d):
+    table, _, model = _pair_model(spark, d)
+    return learn.model_signals(table, model)
+
+
+@query
+def pair_model_report(spark, d):
+    _, rows, model = _pair_model(spark, d)
+    return published(learn.classification_report(model.predict(rows)))
+
+
+@query
+def pair_model_metrics(spark, d):
+    table, _, model = _pair_model(spark, d)
+    return published(evaluation.evaluate_model(table, model).metrics)
+
+
 # ---------------------------------------------------------------- signals and positions
 
 @query
@@ -725,6 +836,14 @@ def perf_metrics(spark, d):
     return published(evaluation.evaluate_signals(_signalled(spark, d)).metrics)
 
 
+@query
+def metrics_file(spark, d):
+    """The metrics record written as CSV and read back."""
+    record, path = evaluation.evaluate_signals(_signalled(spark, d)).metrics, new_folder(spark)
+    store.write_metrics(record, path)
+    return published(spark.read.schema(record.schema).option("header", "true").csv(path))
+
+
 def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     signalled = _signalled(spark, d)
     mine = evaluation.evaluate_signals(signalled).metrics

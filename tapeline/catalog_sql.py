@@ -229,8 +229,8 @@ _RULE = f"""{_BARS}, s1 AS (SELECT *, row_number() {_LAG} AS k, avg(adj_close) {
     sig AS MATERIALIZED (SELECT ticker_code, date, close, k, coalesce(raw, 0) AS signal FROM rule)"""
 
 
-def _positions(rules) -> str:
-    """The state machine of the rules as a recursion over bar numbers.
+def _positions(rules, signalled: str = _RULE) -> str:
+    """The state machine of the rules as a recursion over bar numbers of ``sig``, which ``signalled`` defines.
 
     ``st`` holds the state after each bar and, on exit bars, the finished trade.
     """
@@ -252,7 +252,7 @@ def _positions(rules) -> str:
         return f"""CASE WHEN {test} THEN b.date END, CASE WHEN {test} THEN b.close * {1 + _SLIP} END,
             CASE WHEN {test} THEN CAST(floor(b.cash / b.close) AS BIGINT) END, 0"""
 
-    return f"""{_RULE}, feed AS MATERIALIZED (SELECT *, {share} * {_CASH} AS cash FROM sig),
+    return f"""{signalled}, feed AS MATERIALIZED (SELECT *, {share} * {_CASH} AS cash FROM sig),
     st(ticker_code, k, entry_date, fill, size, held, done_entry, done_date, done_buy, done_sell, done_size, done_held, done_why) AS (
         SELECT b.ticker_code, b.k, {enter(opens)}, NULL::DATE, NULL::DATE, NULL::DOUBLE, NULL::DOUBLE,
             NULL::BIGINT, NULL::INTEGER, NULL::VARCHAR
@@ -363,8 +363,13 @@ def _versus() -> str:
         SELECT metric, {r4('s', 'strategy')}, {r4('t', 'benchmark')}, {r4('s - t', 'difference')} FROM pairs"""
 
 
-def _report() -> str:
-    """Precision, recall and F1 of the rule against the label, written out per class."""
+def _rule_scored() -> str:
+    return f"""{_RULE}, {_LABELS.format('rule')},
+        scored AS (SELECT * FROM labelled WHERE raw IS NOT NULL AND label IS NOT NULL)"""
+
+
+def _report(scored: str) -> str:
+    """Precision, recall and F1 of ``raw`` against the label, written out per class."""
     def measures(cls: str) -> str:
         return f"""SELECT '{cls}' AS row, count(*) FILTER (WHERE label = {cls}) AS support,
             coalesce(count(*) FILTER (WHERE label = {cls} AND raw = {cls})::DOUBLE / nullif(count(*) FILTER (WHERE raw = {cls}), 0), 0) AS precision,
@@ -375,8 +380,7 @@ def _report() -> str:
         f"SELECT '{kind} avg', {', '.join(how.format(m) for m in ('precision', 'recall', 'f1'))}, CAST(sum(support) AS BIGINT) FROM per"
         for kind, how in (("macro", "avg({})"), ("weighted", "sum({} * support) / sum(support)"))
     )
-    return f"""WITH {_RULE}, {_LABELS.format('rule')},
-        scored AS (SELECT * FROM labelled WHERE raw IS NOT NULL AND label IS NOT NULL),
+    return f"""WITH {scored},
         classes AS ({measures('0')} UNION ALL {measures('1')}),
         per AS (SELECT row, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1, support FROM classes),
         hits AS (SELECT avg(CASE WHEN raw = label THEN 1.0::DOUBLE ELSE 0 END) AS share, count(*) AS n FROM scored),
@@ -384,6 +388,37 @@ def _report() -> str:
         SELECT row, {_pick(['precision', 'recall', 'f1'])}, support FROM lines"""
 
 
+def _pair_model() -> str:
+    """A logistic model of two standardised features by eight Newton steps, then the scores ``p``.
+
+    ``h..`` is the curvature and ``g.`` the slope of the summed loss with half the squared coefficients added.
+    """
+    a, b = catalog.PAIR
+    score = "1.0::DOUBLE / (1.0::DOUBLE + exp(-(b0 + b1 * za + b2 * zb)))"
+    steps = ["w0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"]
+    for i in range(8):
+        steps.append(f"""s{i} AS MATERIALIZED (SELECT b0, b1, b2, sum(p - label) AS g0, sum((p - label) * za) + b1 AS g1,
+            sum((p - label) * zb) + b2 AS g2, sum(v) AS h00, sum(v * za) AS h01, sum(v * zb) AS h02,
+            sum(v * za * za) + 1 AS h11, sum(v * za * zb) AS h12, sum(v * zb * zb) + 1 AS h22
+            FROM (SELECT *, p * (1 - p) AS v FROM (SELECT *, {score} AS p FROM fed, w{i})) GROUP BY b0, b1, b2)""")
+        steps.append(f"""w{i + 1} AS MATERIALIZED (SELECT
+            b0 - ((h11 * h22 - h12 * h12) * g0 + (h02 * h12 - h01 * h22) * g1 + (h01 * h12 - h02 * h11) * g2) / det AS b0,
+            b1 - ((h02 * h12 - h01 * h22) * g0 + (h00 * h22 - h02 * h02) * g1 + (h01 * h02 - h00 * h12) * g2) / det AS b1,
+            b2 - ((h01 * h12 - h02 * h11) * g0 + (h01 * h02 - h00 * h12) * g1 + (h00 * h11 - h01 * h01) * g2) / det AS b2
+            FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h02 * h12) + h02 * (h01 * h12 - h02 * h11) AS det
+                FROM s{i}))""")
+    return f"""{_IND}, whole AS (SELECT ticker_code, date, close, adj_close, {a}, {b} FROM ind WHERE {a} IS NOT NULL AND {b} IS NOT NULL),
+        {_LABELS.format('whole')},
+        scale AS (SELECT avg({a}) AS ma, stddev_pop({a}) AS sa, avg({b}) AS mb, stddev_pop({b}) AS sb FROM labelled WHERE label IS NOT NULL),
+        scaled AS MATERIALIZED (SELECT ticker_code, date, close, label, ({a} - ma) / sa AS za, ({b} - mb) / sb AS zb FROM labelled, scale),
+        fed AS MATERIALIZED (SELECT * FROM scaled WHERE label IS NOT NULL), {', '.join(steps)},
+        pair_scores AS MATERIALIZED (SELECT *, {score} AS p FROM scaled, w8)"""
+
+
+_PAIR_SIGNALS = f"""{_pair_model()}, sig AS MATERIALIZED (
+    SELECT ticker_code, date, close, row_number() {_LAG} AS k, CAST(p >= 0.57 AS INTEGER) AS signal FROM pair_scores)"""
+
+
 def _standardized(names: list[str]) -> str:
     cols = ", ".join(r4(f"({n} - avg({n}) OVER ()) / stddev_pop({n}) OVER ()", f"z_{n}") for n in names)
     complete = " AND ".join(f"{n} IS NOT NULL" for n in names)
@@ -524,7 +559,7 @@ def statements() -> dict[str, str]:
             CASE WHEN place <= n - CAST(ceil(0.2 * n) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM ranked""",
         "ts_folds": f"""WITH {_RANKED} SELECT ticker_code, date, CAST(greatest(0, 5 - (n - place) // (n // 6)) AS INTEGER) AS fold FROM ranked""",
         "standardized_features": _standardized(["ma_5", "ma_20", "bb_mid"]),
-        "rule_report": _report(),
+        "rule_report": _report(_rule_scored()),
         "rule_accuracy": f"""WITH {_RULE}, {_LABELS.format('rule')} SELECT
             {r4('avg(CASE WHEN raw = label THEN 1.0::DOUBLE ELSE 0 END)', 'test_accuracy')}, count(*) AS n_rows
             FROM labelled WHERE raw IS NOT NULL AND label IS NOT NULL""",
@@ -566,6 +601,24 @@ def statements() -> dict[str, str]:
             UNION ALL SELECT strategy, {_metric_list(KEY_METRICS)} FROM tc, tt""",
         "strategy_vs_benchmark": _versus(),
     }
+    sql["stored_prices"] = f"SELECT * EXCLUDE (retrieved_year) FROM ({sql['upsert_prices']})"
+    sql["stored_new_prices"] = f"SELECT * EXCLUDE (retrieved_year) FROM ({sql['insert_ignore_prices']})"
+    sql["stored_delete"] = f"{sql['stored_prices']} WHERE ticker_code NOT LIKE '%.T'"
+    sql["stored_indicators"] = f"SELECT * EXCLUDE (calculated_version) FROM ({sql['upsert_partial_indicators']})"
+    sql["metrics_file"] = sql["perf_metrics"]
+    trimmed = ["ma_5", "macd_hist", "bb_mid"]
+    sql["indicator_refresh"] = _trimmed(trimmed, 34)
+    sql["indicator_refresh_nulls"] = f"""SELECT count(*) AS n_rows, 0::BIGINT AS ticker_code, 0::BIGINT AS date,
+        {', '.join(f'count(*) - count({c}) AS {c}' for c in trimmed)} FROM ({sql['indicator_refresh']})"""
+    sql["pair_model_scores"] = f"""WITH {_pair_model()} SELECT ticker_code, date, {r4('p', 'p1', 3)},
+        CAST(p > 0.5 AS DOUBLE) AS prediction FROM pair_scores"""
+    sql["saved_model_scores"] = sql["pair_model_scores"]
+    sql["pair_model_signals"] = f"WITH {_PAIR_SIGNALS} SELECT ticker_code, date, signal FROM sig"
+    sql["pair_model_report"] = _report(f"""{_pair_model()}, scored AS (
+        SELECT label, CAST(p > 0.5 AS INTEGER) AS raw FROM pair_scores WHERE label IS NOT NULL)""")
+    curve = _STRATEGY_CURVE.replace("FROM bars)", "FROM sig)")
+    sql["pair_model_metrics"] = f"""{_RECURSIVE} {_positions(catalog.RULES, _PAIR_SIGNALS)}, {curve}, {_curve_figures('mine', 'mc')},
+        {_trade_figures('closed', 'mt')} SELECT strategy, {_metric_list(METRIC_COLUMNS)} FROM mc, mt"""
     sql["trimmed_range_indicators"] = _trimmed(["ma_5", "macd_hist", "bb_mid"], 34)
     sql["price_refresh"] = _price_refresh()
     sql["full_refresh"] = _full_refresh()

@@ -125,7 +125,7 @@ def _fit(rows: DataFrame, candidate: Candidate, counts: dict[float, int]) -> Log
     n = sum(counts.values())
     estimator = LogisticRegression(
         regParam=1.0 / (candidate.c * n), elasticNetParam=0.0, standardization=False,
-        maxIter=candidate.max_iter, featuresCol="features", labelCol="label",
+        maxIter=candidate.max_iter, tol=1e-12, featuresCol="features", labelCol="label",
     )
     if candidate.class_weight == "balanced":
         weight = F.lit(None).cast("double")
@@ -352,8 +352,8 @@ def scorable(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def model_signals(
-    df: DataFrame, model: SignalModel, threshold: float = BACKTEST_THRESHOLD
+    df: DataFrame, model: SignalModel, threshold: float = BACKTEST_THRESHOLD, keep: list[str] | None = None
 ) -> DataFrame:
-    """``(ticker_code, date, signal)`` for every scorable ticker."""
+    """``(ticker_code, date, signal)`` for every scorable ticker, with the columns ``keep`` before the signal."""
     scored = model.predict(scorable(df, model.features), threshold)
-    return scored.select("ticker_code", "date", F.col("prediction").cast("int").alias("signal"))
+    return scored.select("ticker_code", "date", *(keep or []), F.col("prediction").cast("int").alias("signal"))

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from tapeline.operators import equity
 from tapeline.operators.learn import BACKTEST_THRESHOLD, SignalModel, model_signals
 from tapeline.operators.positions import Account, Rules, closed_trades, positions
-from tapeline.operators.views import bars_with_signals
 from tapeline.session import materialize, small_table
 from tapeline.sources.store import write_metrics
 
@@ -54,9 +53,8 @@ def evaluate_model(
     threshold: float = BACKTEST_THRESHOLD, csv_path: str | None = None,
 ) -> Evaluation:
     """Score a table of bars and indicators, replay the signals, optionally write the metrics CSV."""
-    signals = model_signals(table, model, threshold)
-    bars = bars_with_signals(table.select("ticker_code", "date", "close"), signals)
-    result = evaluate_signals(bars, rules, account)
+    # Scored in place, so bars and signals need no join; sizes, folds and curves read what is written here.
+    result = evaluate_signals(materialize(model_signals(table, model, threshold, ["close"])), rules, account)
     if csv_path:
         write_metrics(result.metrics, csv_path)
     return result

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.indicators import check_names, lookback_rows, with_indicators
 from tapeline.functions.periods import extended_start, resolve_range
+from tapeline.operators.quality import null_counts
 from tapeline.plans.prices import Paths, fetched_bars, refresh_prices
-from tapeline.schemas import INDICATOR_NAMES
+from tapeline.schemas import INDICATOR_NAMES, KEYS
+from tapeline.session import materialize
 from tapeline.sources import store
 from tapeline.sources.bars import within
 
@@ -44,6 +47,29 @@ def full_table(
     return trimmed_indicators(bars, start, end - timedelta(days=1), names)
 
 
+@dataclass
+class IndicatorRun:
+    """Row counts by ticker, and the NULLs of each column after the warm-up was trimmed."""
+
+    counts: DataFrame
+    nulls: DataFrame
+
+
+def refresh_indicators(
+    spark: SparkSession, paths: Paths, tickers: list[str] | DataFrame, first: date, until: date,
+    names: list[str] | None = None, version: str = "v1.0",
+) -> IndicatorRun:
+    """Compute the indicators of stored prices from ``first`` to ``until`` inclusive and store them."""
+    names = list(INDICATOR_NAMES) if names is None else names
+    check_names(names)
+    wide = extended_start(first, lookback_rows(names))
+    prices = store.load_prices(spark, paths.prices, tickers, wide, until)
+    # Read for the NULL report and for the save.
+    computed = materialize(trimmed_indicators(prices, first, until, names).select(*KEYS, *names))
+    counts = store.save_indicators(spark, paths.indicators, computed, version)
+    return IndicatorRun(counts, null_counts(computed))
+
+
 def refresh_all(
     spark: SparkSession, paths: Paths, source: DataFrame, sessions: DataFrame,
     tickers: list[str] | DataFrame, start: str | None = None, end: str | None = None,
@@ -66,9 +92,7 @@ def refresh_all(
         interval=interval, update_if_exists=update_if_exists,
     )
     until = last - timedelta(days=1)
-    prices = store.load_prices(spark, paths.prices, tickers, wide, until)
-    computed = trimmed_indicators(prices, first, until, names)
-    store.save_indicators(spark, paths.indicators, computed.select("ticker_code", "date", *names), version)
+    refresh_indicators(spark, paths, tickers, first, until, names, version)
     stored = store.load_indicators(spark, paths.indicators, tickers, first, until)
     bars = store.load_prices(spark, paths.prices, tickers, first, until)
     return bars.join(stored.select("ticker_code", "date", *names), ["ticker_code", "date"])

@@ -54,6 +54,11 @@ def _application_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tapeline-{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A fresh path in the shared folder; ``drop_materialized`` clears what is written there."""
+    return f"{_application_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def drop_materialized(spark: SparkSession) -> None:
     """Delete the tables that this application wrote with ``materialize``."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
@@ -68,7 +73,7 @@ def materialize(df: DataFrame) -> DataFrame:
     such tables of the application.
     """
     spark = df.sparkSession
-    path = f"{_application_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -102,24 +102,29 @@ def save_indicators(spark: SparkSession, path: str, incoming: DataFrame, version
 
 def load_prices(
     spark: SparkSession, path: str, tickers: list[str] | DataFrame,
-    start: date | str | None = None, end: date | str | None = None,
+    start: date | str | None = None, end: date | str | None = None, ordered: bool = False,
 ) -> DataFrame:
-    """Seven price columns of the tickers, both range ends inclusive and optional."""
+    """Seven price columns of the tickers, both range ends inclusive and optional.
+
+    ``ordered`` sorts by ticker and date, which costs a range shuffle; series jobs do not need it.
+    """
     rows = _in_years(read_fact(spark, path, schemas.PRICES), start, end)
-    return within(of_tickers(rows, tickers), start, end).select(
+    found = within(of_tickers(rows, tickers), start, end).select(
         *schemas.KEYS, *schemas.PRICE_VALUE_COLUMNS
     )
+    return found.orderBy(*schemas.KEYS) if ordered else found
 
 
 def load_indicators(
     spark: SparkSession, path: str, tickers: list[str] | DataFrame,
-    start: date | str | None = None, end: date | str | None = None,
+    start: date | str | None = None, end: date | str | None = None, ordered: bool = False,
 ) -> DataFrame:
     """The 21 indicator columns, with the contract of ``load_prices``."""
     rows = _in_years(read_fact(spark, path, schemas.INDICATORS), start, end)
-    return within(of_tickers(rows, tickers), start, end).select(
+    found = within(of_tickers(rows, tickers), start, end).select(
         *schemas.KEYS, *schemas.INDICATOR_NAMES
     )
+    return found.orderBy(*schemas.KEYS) if ordered else found
 
 
 def load_tickers(tickers: DataFrame, codes: list[str] | None = None) -> DataFrame:
