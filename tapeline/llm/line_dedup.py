@@ -10,13 +10,14 @@ have gone. The join finds every class with an earlier match:
    lines share one of their rarest ``n - ceil(4n/5) + 1`` words. Those entries go to parts by
    word; in a part, entries of one word meet within their length window and pass the
    positional filter and a 128-bit parity bitmap (its difference never exceeds that of the sets).
-   The same pass sends each line to a part by its class, which names the lines after the first.
+   The same pass names lines after the first of their class: at once within a batch of chunks,
+   and between batches in a part by class, which gets one line of a class from each batch.
 3. Surviving pairs are verified on the full sets of word hashes.
 
 A class first sends, from each part, only the ``FIRST`` earlier candidates with the closest bitmaps.
-Classes without a match that had more send all the rest in a second run, restricted to the
-words concerned, so that thousands of variants of one line cost thousands of pairs, not
-millions, and no match is lost.
+If it had more, the part keeps the entries of that word; classes without a match then send
+all the rest from those, so that thousands of variants of one line cost thousands of pairs,
+not millions, and no match is lost.
 
 Data between the steps is packed: one row per chunk of text and part. The number of parts follows
 the number of words, and an entry carries no text. Documents are joined with the numbers of
@@ -50,7 +51,7 @@ FLUSH = 32  # records of this many chunks go out together
 PART_ENTRIES = 400_000
 WINDOW_PAIRS = 1 << 20
 
-SOME_WORDS = 1_000_000
+KEPT_ENTRIES = 10_000  # in one row
 _LINE = np.dtype([("ka", "<u8"), ("kb", "<u8"), ("doc", "<i8"), ("line", "<u4")])
 _ENTRY = np.dtype([
     ("token", "<u4"), ("n", "<u4"), ("ka", "<u8"), ("kb", "<u8"), ("kc", "<u8"),
@@ -123,58 +124,88 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"cell": used, "n": cells[used]})
 
 
-def _packed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-    """One row per part for the records of several chunks; parts of words and of classes never mix."""
-    for kind in (_LINE, _ENTRY):
-        own = [pair for pair in held if pair[1].dtype == kind]
-        if not own:
+def _later_copies(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines by class, document and number: those that begin a class, and those after its first place.
+
+    Lines at the first place of their class tie and stay.
+    """
+    copy = (lines["ka"][1:] == lines["ka"][:-1]) & (lines["kb"][1:] == lines["kb"][:-1])
+    heads = np.concatenate(([True], ~copy))
+    first = lines[np.flatnonzero(heads)[np.cumsum(heads) - 1]]
+    return heads, (lines["doc"] != first["doc"]) | (lines["line"] != first["line"])
+
+
+def _by_class(lines: np.ndarray) -> np.ndarray:
+    return lines[np.lexsort((lines["line"], lines["doc"], lines["kb"], lines["ka"]))]
+
+
+def _earliest(entries: np.ndarray) -> np.ndarray:
+    """One entry for each word and class, that of its earliest line."""
+    key = entries["ka"] ^ mix(entries["token"].astype(np.uint64))
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    again = np.zeros(len(order), bool)
+    again[1:] |= same
+    again[:-1] |= same
+    if not again.any():
+        return entries
+    rows = entries[order[again]]
+    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["kb"], rows["ka"], rows["token"]))]
+    repeated = (rows["token"][1:] == rows["token"][:-1]) & (rows["ka"][1:] == rows["ka"][:-1]) & (rows["kb"][1:] == rows["kb"][:-1])
+    return np.concatenate((entries[order[~again]], rows[np.concatenate(([True], ~repeated))]))
+
+
+def _packed(lines: list[np.ndarray], entries: list[np.ndarray], parts: int) -> Iterator[pd.DataFrame]:
+    """One row per part for the records of several chunks.
+
+    Entries go to parts of words (from 0), the first line of each class to parts of classes
+    (from ``parts``), and lines that are sure to go to parts of any lines (from ``2 * parts``):
+    a frequent line or word sends one record from each batch of chunks to its part.
+    """
+    dealt = []
+    if lines:
+        rows = _by_class(np.concatenate(lines))
+        heads, gone = _later_copies(rows)
+        dealt.append(((rows["ka"][heads] % np.uint64(parts)).astype(np.int64) + parts, rows[heads]))
+        dealt.append(((rows["doc"][gone] + rows["line"][gone]) % parts + 2 * parts, rows[gone]))
+    if entries:
+        rows = _earliest(np.concatenate(entries))
+        dealt.append(((mix(rows["token"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), rows))
+    for part, rows in dealt:
+        if not len(rows):
             continue
-        part, rows = np.concatenate([p for p, _ in own]), np.concatenate([r for _, r in own])
         order = np.argsort(part, kind="stable")
         part, rows = part[order], rows[order]
-        edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else [0]
+        edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
         yield pd.DataFrame({
             "part": [int(part[i]) for i in edges[:-1]],
             "data": [rows[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:])],
         })
 
 
-def _entries(cells: np.ndarray, parts: int, only: np.ndarray | None = None):
-    """Prefix entries of all lines by word (parts from 0), and the lines by class (parts from ``parts``).
-
-    With ``only``, just the entries of those words.
-    """
+def _entries(cells: np.ndarray, parts: int):
+    """Prefix entries of all lines by word, and the lines by class."""
     rank_of = np.minimum(64 * np.log2(cells + 1.0), 4095).astype(np.uint16)
-    near = np.zeros(1 << 16, bool)
-    if only is not None:
-        near[only >> np.uint32(16)] = True
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held_lines, held = [], []
         for frame in frames:
             texts, ids = row_texts(frame), row_ids(frame)
             for a, b in chunks(texts):
                 if len(held) >= FLUSH:
-                    yield from _packed(held)
-                    held = []
+                    yield from _packed(held_lines, held, parts)
+                    held_lines, held = [], []
                 hashes, line, doc, number = line_words(texts[a:b])
-                if only is not None:
-                    # Lines without a word that is asked for are left out before any sorting.
-                    asked = near[(hashes >> np.uint64(48)).astype(np.int64)]
-                    asked[asked] = np.isin((hashes[asked] >> np.uint64(32)).astype(np.uint32), only)
-                    keep = np.zeros(len(doc), bool)
-                    keep[line[asked]] = True
-                    hashes, line = hashes[keep[line]], line[keep[line]]
                 if not len(hashes):
                     continue
                 one, two = sketch_slots(hashes)
                 h, starts, at = line_sets(hashes, line, np.minimum(rank_of[one], rank_of[two]))
                 ka, kb, kc = identities(h, starts)
                 where, number = ids[a:b][doc[at]], number[at]
-                if only is None:
-                    lines = np.empty(len(ka), _LINE)
-                    lines["ka"], lines["kb"], lines["doc"], lines["line"] = ka, kb, where, number
-                    held.append(((ka % np.uint64(parts)).astype(np.int64) + parts, lines))
+                lines = np.empty(len(ka), _LINE)
+                lines["ka"], lines["kb"], lines["doc"], lines["line"] = ka, kb, where, number
+                held_lines.append(lines)
                 n = np.diff(np.append(starts, len(h)))
                 # Sets of under four words match equal sets only; a chunk sends the earliest line of each class.
                 order = np.lexsort((number, where, kb, ka))
@@ -188,16 +219,14 @@ def _entries(cells: np.ndarray, parts: int, only: np.ndarray | None = None):
                 word = h[starts[row] + place]
                 one, two = sketch_slots(word)
                 shared = np.minimum(cells[one], cells[two]) > 1  # a word seen once is in one line
-                if only is not None:
-                    shared &= np.isin((word >> np.uint64(32)).astype(np.uint32), only)
                 row, place, word = row[shared], place[shared], word[shared]
                 out = np.empty(len(row), _ENTRY)
                 out["token"] = (word >> np.uint64(32)).astype(np.uint32)
                 out["n"], out["at"] = n[row], place
                 out["ka"], out["kb"], out["kc"] = ka[row], kb[row], kc[row]
                 out["doc"], out["line"] = where[row], number[row]
-                held.append(((word % np.uint64(parts)).astype(np.int64), out))
-        yield from _packed(held)
+                held.append(out)
+        yield from _packed(held_lines, held, parts)
 
     return run
 
@@ -289,45 +318,61 @@ def candidates(rows: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.n
     return rows[x], rows[y], rows[more]
 
 
-_PAIR = "kind int, part long, token long, ka long, kb long, doc long, line long, ea long, eb long, edoc long, eline long"
-PAIR, MORE, COPY = 0, 1, 2
+_ENDS = ["ka", "kb", "doc", "line", "ea", "eb", "edoc", "eline"]
+_PAIR = ", ".join(f"{c} long" for c in _ENDS)
+_MET = f"kind int, part long, token long, {_PAIR}, data binary"
+PAIR, MORE, COPY, KEPT = 0, 1, 2, 3
 
 
-def _pair_rows(part: int, kind: np.ndarray, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+def _pair_rows(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
     signed = lambda v: np.ascontiguousarray(v).view(np.int64)
-    token = x["token"].astype(np.int64) if "token" in x.dtype.names else np.zeros(len(x), np.int64)
     return pd.DataFrame({
-        "kind": kind, "part": part, "token": token, "ka": signed(x["ka"]), "kb": signed(x["kb"]), "doc": x["doc"],
-        "line": x["line"].astype(np.int64), "ea": signed(y["ka"]), "eb": signed(y["kb"]), "edoc": y["doc"], "eline": y["line"].astype(np.int64),
+        "ka": signed(x["ka"]), "kb": signed(x["kb"]), "doc": x["doc"], "line": x["line"].astype(np.int64),
+        "ea": signed(y["ka"]), "eb": signed(y["kb"]), "edoc": y["doc"], "eline": y["line"].astype(np.int64),
     })
 
 
+def _met_rows(part: int, kind: np.ndarray | int, token: np.ndarray | int, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    made = _pair_rows(x, y)
+    made.insert(0, "token", token)
+    made.insert(0, "part", part)
+    made.insert(0, "kind", kind)
+    made["data"] = None
+    return made
+
+
 def _meet(parts: int):
-    """In a part of words, candidate pairs and classes that had more; in a part of classes, the lines after the first."""
+    """From a part of words: candidate pairs, classes that had more, and the entries of their words; else: lines after the first."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         part, data = int(frame["part"].iloc[0]), b"".join(frame["data"])
-        if part < parts:
-            x, y, more = candidates(np.frombuffer(data, _ENTRY))
-            kind = np.repeat([PAIR, MORE], [len(x), len(more)])
-            return _pair_rows(part, kind, np.concatenate((x, more)), np.concatenate((y, more)))
-        lines = np.frombuffer(data, _LINE)
-        lines = lines[np.lexsort((lines["line"], lines["doc"], lines["kb"], lines["ka"]))]
-        copy = (lines["ka"][1:] == lines["ka"][:-1]) & (lines["kb"][1:] == lines["kb"][:-1])
-        # Lines at the first place of their class tie and stay.
-        heads = np.concatenate(([True], ~copy))
-        first = lines[np.flatnonzero(heads)[np.cumsum(heads) - 1]]
-        gone = lines[(lines["doc"] != first["doc"]) | (lines["line"] != first["line"])]
-        return _pair_rows(part, np.full(len(gone), COPY), gone, gone)
+        if part >= parts:
+            lines = np.frombuffer(data, _LINE)
+            if part < 2 * parts:
+                lines = _by_class(lines)
+                lines = lines[_later_copies(lines)[1]]
+            return _met_rows(part, COPY, 0, lines, lines)
+        rows = np.frombuffer(data, _ENTRY)
+        x, y, more = candidates(rows)
+        kind = np.repeat([PAIR, MORE], [len(x), len(more)])
+        x, y = np.concatenate((x, more)), np.concatenate((y, more))
+        met = _met_rows(part, kind, x["token"].astype(np.int64), x, y)
+        if not len(more):
+            return met
+        rows = rows[np.isin(rows["token"], more["token"])]
+        kept = [rows[i : i + KEPT_ENTRIES] for i in range(0, len(rows), KEPT_ENTRIES)]
+        saved = pd.DataFrame({"kind": KEPT, "part": part, "token": 0, **dict.fromkeys(_ENDS, 0), "data": [k.tobytes() for k in kept]})
+        return pd.concat((met, saved), ignore_index=True)
 
     return run
 
 
-def _meet_rest(packed: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-    """All candidate pairs of the wanted classes in a part."""
-    rows = np.frombuffer(b"".join(packed["data"]), _ENTRY)
+def _meet_rest(kept: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    """All candidate pairs of the wanted classes and words in a part."""
+    rows = np.frombuffer(b"".join(kept["data"]), _ENTRY)
+    rows = rows[np.isin(rows["token"], wanted["token"].to_numpy(np.int64))]
     x, y, _ = candidates(rows, wanted["ka"].to_numpy(np.int64).view(np.uint64))
-    return _pair_rows(int(packed["part"].iloc[0]) if len(packed) else 0, np.full(len(x), PAIR), x, y)
+    return _pair_rows(x, y)
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -360,10 +405,15 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.loc[good, ["doc", "line"]]
 
 
+def _distinct(pairs: DataFrame) -> DataFrame:
+    """A pair comes once from each part in which it met; within a part it is distinct already."""
+    return pairs.repartition("ka", "doc", "line").distinct()
+
+
 def _matched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """First lines (``doc``, ``line``) of classes that truly match their earlier partner."""
     ends = pairs.select("doc", "line").union(pairs.select("edoc", "eline")).distinct()
-    wanted = ends.groupBy("doc").agg(F.collect_list("line").alias("wanted"))
+    wanted = materialize(ends.groupBy("doc").agg(F.collect_list("line").alias("wanted")))
     wanted = broadcast_if_few(wanted, F.size("wanted"))
     texts = docs.select("doc_id", "text").join(wanted, document_id() == F.col("doc")).select(F.col("doc").alias("doc_id"), "text", "wanted")
     sets = materialize(texts.mapInPandas(_sets, "doc long, line long, ka long, kb long, words binary"))
@@ -383,19 +433,18 @@ def lost_lines(docs: DataFrame) -> DataFrame:
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / 4 / PART_ENTRIES))
     texts = docs.select(document_id().alias("doc_id"), "text")
     packed = texts.mapInPandas(_entries(cells, parts), "part long, data binary")
-    met = materialize(packed.groupBy("part").applyInPandas(_meet(parts), _PAIR))
-    pairs = met.where(F.col("kind") == PAIR).drop("kind", "part", "token").distinct()
+    met = materialize(packed.groupBy("part").applyInPandas(_meet(parts), _MET))
+    pairs = materialize(_distinct(met.where(F.col("kind") == PAIR).select(_ENDS)))
     matched = materialize(_matched(docs, pairs))
-    rest = met.where(F.col("kind") == MORE).join(matched, ["doc", "line"], "left_anti").select("part", "token", "ka").distinct()
-    rest = materialize(rest)
+    more = met.where(F.col("kind") == MORE).select("part", "token", "ka", "doc", "line")
+    rest = materialize(more.join(matched, ["doc", "line"], "left_anti").select("part", "token", "ka"))
     if rest.take(1):
-        tokens = [r[0] for r in rest.select("token").distinct().limit(SOME_WORDS + 1).collect()]
-        only = np.array(tokens, np.uint32) if len(tokens) <= SOME_WORDS else None
-        again = texts.mapInPandas(_entries(cells, parts, only), "part long, data binary").where(F.col("part") < parts)
-        pairs = again.groupBy("part").cogroup(rest.groupBy("part")).applyInPandas(_meet_rest, _PAIR)
-        matched = matched.union(_matched(docs, materialize(pairs.drop("kind", "part", "token").distinct())))
+        kept = met.where(F.col("kind") == KEPT).select("part", "data")
+        pairs = kept.groupBy("part").cogroup(rest.groupBy("part")).applyInPandas(_meet_rest, _PAIR)
+        matched = matched.union(_matched(docs, materialize(_distinct(pairs))))
     gone = met.where(F.col("kind") == COPY).select("doc", "line").union(matched.select("doc", "line"))
-    return gone.groupBy("doc").agg(F.collect_set(F.col("line").cast("int")).alias("lost"))
+    # Rows hardly repeat within a task, so they are dealt first and gathered once, in few tasks.
+    return gone.repartition("doc").groupBy("doc").agg(F.collect_set(F.col("line").cast("int")).alias("lost"))
 
 
 def _rebuild(lost_name: str):
