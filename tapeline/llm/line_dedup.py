@@ -407,7 +407,7 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _distinct(pairs: DataFrame) -> DataFrame:
     """A pair comes once from each part in which it met; within a part it is distinct already."""
-    return pairs.repartition("ka", "doc", "line").distinct()
+    return pairs.repartition(*_ENDS).distinct()
 
 
 def _matched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
