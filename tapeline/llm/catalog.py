@@ -15,9 +15,11 @@ from tapeline.llm.line_dedup import op5_line_dedup
 from tapeline.llm.near_dedup import op1_near_dedup
 from tapeline.llm.pii import op7_pii
 from tapeline.llm.secrets import op8_secrets
+from tapeline.llm.token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
     "op4_ann": op4_ann,
     "op5_line_dedup": op5_line_dedup,
