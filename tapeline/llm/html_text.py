@@ -12,7 +12,8 @@ notices, adverts, forms and reader comments around the article. Training takes p
 the driver with a fixed seed; extraction is one narrow pass over all pages.
 
 Defined results: NULL and empty pages give an empty text; script, style, comment and head
-content is never text; unclosed tags end with their block; every row gives one row; pages of any
+content is never text; a script ends at its own end tag whatever stands in it; a head left open ends at the
+first text or element that cannot stand in a head; unclosed tags end with their block; every row gives one row; pages of any
 length are read whole (over ``WINDOW`` blocks in overlapping windows).
 """
 
@@ -46,6 +47,9 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript svg math iframe object textarea title head".split())
+# Of those, the ones whose content holds no tags and no comments, and what may stand in a head.
+PLAIN = frozenset("script style noscript iframe textarea title".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 # Elements whose start ends an open paragraph or an open element of their own kind.
 SELF_CLOSING = frozenset("p li dd dt option tr td th".split())
 
@@ -53,6 +57,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in PLAIN}
+_SCRIPT = re.compile(r"<!--|-->|<script(?=[\s/>])|</script(?=[\s/>])[^>]*>?", re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"\w+")
 
@@ -70,6 +76,30 @@ class Block:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
+def _plain_end(page: str, at: int, name: str) -> int:
+    """Where an element of ``PLAIN`` ends whose content begins at ``at``; the end of the page if it stays open."""
+    end = _END[name].search(page, at)
+    if end is None:
+        return len(page)
+    if name == "script" and (note := page.find("<!--", at, end.start())) >= 0 and (close := page.find("-->", end.end())) >= 0:
+        # A script that is written out inside a comment within a script does not end the outer one.
+        noted = inner = False
+        for m in _SCRIPT.finditer(page, note, close + 3):
+            if m[0] == "<!--":
+                noted = True
+            elif m[0] == "-->":
+                noted = inner = False
+            elif m[0][1] != "/":
+                inner = noted
+            elif inner:
+                inner = False
+            else:
+                return m.end()
+        after = _END[name].search(page, close)
+        return after.end() if after else end.end()
+    return end.end()
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks with text, in page order."""
     if not page:
@@ -77,7 +107,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     current: Block | None = None
-    at, skip, links = 0, None, 0
+    at, skip, head, links = 0, None, False, 0
 
     def text(piece: str) -> None:
         nonlocal current
@@ -89,23 +119,30 @@ def blocks(page: str | None) -> list[Block]:
         current.parts.append(piece)
         current.linked += len(piece) if links else 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and skip is None:
+    while m := _TOKEN.search(page, at):
+        if page[at : m.start()].strip():
+            head = head and skip is not None  # HTML ends an open head at text
+        if m.start() > at and skip is None and not head:
             text(page[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
         closing = bool(m[1] or m[4])
+        opens = not closing and not (m[3] or m[6] or "").rstrip().endswith("/")
+        if opens and name in PLAIN:
+            at = _plain_end(page, at, name)
+            continue
         if skip is not None:
-            if closing and name == skip or skip == "head" and name == "body" and not closing:
-                skip = None
-                if closing:
-                    continue
-            else:
-                continue
+            skip = None if closing and name == skip else skip
+            continue
+        if name == "head":
+            head = opens
+            continue
+        # An open head also ends at the first element that cannot stand in it.
+        head = head and (name in HEAD or closing and name not in ("body", "html"))
         if name in RAW:
-            skip = None if closing or (m[3] or m[6] or "").rstrip().endswith("/") else name
+            skip = name if opens and name not in PLAIN else None
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -123,7 +160,7 @@ def blocks(page: str | None) -> list[Block]:
                     stack.pop()
             words = [w.lower() for g in _NAMES.findall(m[3] or m[6] or "") for w in _WORD.findall(" ".join(g))]
             stack.append((name, (name, *(f".{w}" for w in words))))
-    if at < len(page) and skip is None:
+    if at < len(page) and skip is None and (not head or page[at:].strip()):
         text(page[at:])
     return [b for b in out if b.text]
 

@@ -371,6 +371,25 @@ def test_page_edges(spark):
     assert html_text.extract(odd.limit(0), model).count() == 0
 
 
+def test_scripts_and_open_heads_hide_nothing():
+    text = lambda page: [b.text for b in html_text.blocks(page)]
+    body = "<article><p>Body</p></article>"
+    for script in (
+        "<script>for(var i=0;i<n;i++){f(i)}</script>", '<script>var s="<!--";</script>', '<script>var s="<!--<script>";</script>',
+        "<SCRIPT type='x'>if(a<b){}</ScRiPt >", "<style>a{content:'<!--'}</style>", "<title>a <b and <!-- c</title>",
+        "<script><!--\ndocument.write('<script src=x></script>');\n//--></script>", "<script>x</scripts><p>no</p></script>",
+        "<svg><style>a<b{}</style><text>no</text></svg>", "<textarea><p>no</textarea>", "<script>a<b</script><script>c<d</script>",
+    ):
+        assert text(script + body) == text(f"<head>{script}</head>" + body) == text(script + body + script) == ["Body"], script
+    for head in (
+        "<head><title>t</title>", "<html><head><meta charset=u><link rel=x><script>i<n</script>", "<head><template><p>no</p></template>",
+        "<head><title>t</title></head>", "<head><style>p{}</style><body>", "<head><noscript><p>no</p></noscript>\n",
+    ):
+        assert text(head + body) == ["Body"], head
+    assert text("<head><title>t</title>Plain <b>words</b>") == ["Plain words"]
+    assert text("<script>never closed <p>no</p>") == text("<head><title>t</title>") == []
+
+
 def test_page_layouts_held_out(spark):
     """Layouts with other seeds than in training: menus, notices, forms and comments go."""
     pages = [r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
