@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,6 +38,7 @@ SAMPLE_PAGES, SAMPLE_CHARS = 200, 100_000
 LAYOUTS = 4
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 TRAIN_BLOCKS = 160
+LONG = 200
 WINDOW, CONTEXT = 20_000, 200
 
 # Fixed values of HTML: elements that begin and end blocks, that have no content, and whose content is no text.
@@ -190,11 +192,12 @@ def features(page: list[Block], texts: list[str]) -> np.ndarray:
     out = np.zeros((len(page), DIM), np.float32)
     for row, block, text in zip(out, page, texts):
         row[:PATH_DIM] = _path_vector(block.path)
-        words = text.lower().split()[:200]
-        for w in words:
+        words = text.lower().split()
+        for w, n in Counter(words).items():
             i, sign = _bucket(w, WORD_DIM)
-            row[PATH_DIM + i] += sign
-        row[PATH_DIM : PATH_DIM + WORD_DIM] /= 3.0 * max(1.0, np.sqrt(len(words)))
+            row[PATH_DIM + i] += sign * n
+        # Frequent words add up with the length: from LONG words on the measure is their mean, so that long blocks look like others.
+        row[PATH_DIM : PATH_DIM + WORD_DIM] /= 3.0 * max(1.0, np.sqrt(len(words)), len(words) / np.sqrt(LONG))
         ends = sum(text.count(c) for c in ".,;!?")
         row[-PLAIN_DIM:] = (
             np.log1p(len(text)) / 5, np.log1p(len(words)) / 4, block.linked / (len(text) + block.linked + 1) * 2,

@@ -390,6 +390,23 @@ def test_scripts_and_open_heads_hide_nothing():
     assert text("<script>never closed <p>no</p>") == text("<head><title>t</title>") == []
 
 
+def test_an_article_in_one_block_is_judged_by_all_its_words(spark):
+    pages = [r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    sentence = "A sentence of plain text, of some length, that says what it says. "
+    block = lambda n: html_text.Block(("div",), [sentence * n])
+    short, long = html_text.features([block(15), block(1700)], [block(15).text, block(1700).text])
+    words = slice(html_text.PATH_DIM, html_text.PATH_DIM + html_text.WORD_DIM)
+    assert np.allclose(long[-3], short[-3], atol=0.01) and np.allclose(long[words], short[words] * np.sqrt(200 / 195), atol=0.01)
+    assert long[-5] > short[-5] + 1
+    (tail,) = html_text.features([block(1)], [sentence * 17 + "other " * 20_000])
+    assert not np.allclose(tail[words], short[words], atol=0.1)
+    body = sentence * 1700  # over 20,000 words
+    odd = [(i, "u", f"<nav><ul><li><a href=/>Home</a></li></ul></nav>{shell.format(body)}<footer>Contact</footer>") for i, shell in enumerate(
+        ("<article>{}</article>", "<article><p>{}</p></article>", '<div class="content">{}</div>', "<main><pre>{}</pre></main>"))]
+    rows = html_text.extract(spark.createDataFrame(odd, "page_id long, url string, html string"), html_text.train(pages)).collect()
+    assert [r.text for r in rows] == [body.strip()] * len(odd)
+
+
 def test_page_layouts_held_out(spark):
     """Layouts with other seeds than in training: menus, notices, forms and comments go."""
     pages = [r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
