@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words; two lines match at a Jaccard similarity of 4/5 or more.
-Lines with equal sets form one class. A line goes when an earlier line (by ``doc_id``, then
-line number) is of its class or of a class that matches its own; that earlier line may itself
+Lines with equal sets form one class. A line goes when an earlier line (by ``doc_id``, hash of
+the row's text, then line number) is of its class or of a class that matches its own; that earlier line may itself
 have gone. The join finds every class with an earlier match:
 
 1. One pass counts words in a fixed-size count-min sketch.
@@ -21,11 +21,11 @@ not millions, and no match is lost.
 
 Data between the steps is packed: one row per chunk of text and part. The number of parts follows
 the number of words, and an entry carries no text. Documents are joined with the numbers of
-the lines that go, by broadcast if those were counted to be few, else by shuffle.
+the lines that go, on id and hash of the text, by broadcast if those were counted to be few, else by shuffle.
 
 Defined results: NULL and empty texts stay as they are; lines without a word always stay; rows
-with equal ``doc_id`` are judged alike (lines of equal number tie, and ties stay); NULL ``doc_id``
-comes first; other columns pass through.
+with equal ``doc_id`` are told apart by their text; rows equal in both are judged alike (lines of
+equal number tie, and ties stay); NULL ``doc_id`` comes first; other columns pass through.
 """
 
 from __future__ import annotations
@@ -52,13 +52,18 @@ PART_ENTRIES = 400_000
 WINDOW_PAIRS = 1 << 20
 
 KEPT_ENTRIES = 10_000  # in one row
-_LINE = np.dtype([("ka", "<u8"), ("kb", "<u8"), ("doc", "<i8"), ("line", "<u4")])
+_LINE = np.dtype([("ka", "<u8"), ("kb", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("line", "<u4")])
 _ENTRY = np.dtype([
     ("token", "<u4"), ("n", "<u4"), ("ka", "<u8"), ("kb", "<u8"), ("kc", "<u8"),
-    ("doc", "<i8"), ("line", "<u4"), ("at", "<u4"),
+    ("doc", "<i8"), ("row", "<i8"), ("line", "<u4"), ("at", "<u4"),
 ])
 
 
+def text_hash() -> F.Column:
+    """Tells rows of one ``doc_id`` apart, and orders them."""
+    return F.xxhash64("text")
+
+
 def least_common(a, b):
     """The words that two sets of these sizes share at least when they match."""
     top, bottom = NUMERATOR, NUMERATOR + DENOMINATOR
@@ -125,18 +130,18 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _later_copies(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of lines by class, document and number: those that begin a class, and those after its first place.
+    """Of lines by class, document, row and number: those that begin a class, and those after its first place.
 
     Lines at the first place of their class tie and stay.
     """
     copy = (lines["ka"][1:] == lines["ka"][:-1]) & (lines["kb"][1:] == lines["kb"][:-1])
     heads = np.concatenate(([True], ~copy))
     first = lines[np.flatnonzero(heads)[np.cumsum(heads) - 1]]
-    return heads, (lines["doc"] != first["doc"]) | (lines["line"] != first["line"])
+    return heads, (lines["doc"] != first["doc"]) | (lines["row"] != first["row"]) | (lines["line"] != first["line"])
 
 
 def _by_class(lines: np.ndarray) -> np.ndarray:
-    return lines[np.lexsort((lines["line"], lines["doc"], lines["kb"], lines["ka"]))]
+    return lines[np.lexsort((lines["line"], lines["row"], lines["doc"], lines["kb"], lines["ka"]))]
 
 
 def _earliest(entries: np.ndarray) -> np.ndarray:
@@ -151,7 +156,7 @@ def _earliest(entries: np.ndarray) -> np.ndarray:
     if not again.any():
         return entries
     rows = entries[order[again]]
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["kb"], rows["ka"], rows["token"]))]
+    rows = rows[np.lexsort((rows["line"], rows["row"], rows["doc"], rows["kb"], rows["ka"], rows["token"]))]
     repeated = (rows["token"][1:] == rows["token"][:-1]) & (rows["ka"][1:] == rows["ka"][:-1]) & (rows["kb"][1:] == rows["kb"][:-1])
     return np.concatenate((entries[order[~again]], rows[np.concatenate(([True], ~repeated))]))
 
@@ -168,7 +173,7 @@ def _packed(lines: list[np.ndarray], entries: list[np.ndarray], parts: int) -> I
         rows = _by_class(np.concatenate(lines))
         heads, gone = _later_copies(rows)
         dealt.append(((rows["ka"][heads] % np.uint64(parts)).astype(np.int64) + parts, rows[heads]))
-        dealt.append(((rows["doc"][gone] + rows["line"][gone]) % parts + 2 * parts, rows[gone]))
+        dealt.append(((rows["doc"][gone] + rows["row"][gone] + rows["line"][gone]) % parts + 2 * parts, rows[gone]))
     if entries:
         rows = _earliest(np.concatenate(entries))
         dealt.append(((mix(rows["token"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), rows))
@@ -191,7 +196,7 @@ def _entries(cells: np.ndarray, parts: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held_lines, held = [], []
         for frame in frames:
-            texts, ids = row_texts(frame), row_ids(frame)
+            texts, ids, row_hashes = row_texts(frame), row_ids(frame), frame["row"].to_numpy(np.int64)
             for a, b in chunks(texts):
                 if len(held) >= FLUSH:
                     yield from _packed(held_lines, held, parts)
@@ -202,13 +207,13 @@ def _entries(cells: np.ndarray, parts: int):
                 one, two = sketch_slots(hashes)
                 h, starts, at = line_sets(hashes, line, np.minimum(rank_of[one], rank_of[two]))
                 ka, kb, kc = identities(h, starts)
-                where, number = ids[a:b][doc[at]], number[at]
+                where, which, number = ids[a:b][doc[at]], row_hashes[a:b][doc[at]], number[at]
                 lines = np.empty(len(ka), _LINE)
-                lines["ka"], lines["kb"], lines["doc"], lines["line"] = ka, kb, where, number
+                lines["ka"], lines["kb"], lines["doc"], lines["row"], lines["line"] = ka, kb, where, which, number
                 held_lines.append(lines)
                 n = np.diff(np.append(starts, len(h)))
                 # Sets of under four words match equal sets only; a chunk sends the earliest line of each class.
-                order = np.lexsort((number, where, kb, ka))
+                order = np.lexsort((number, which, where, kb, ka))
                 fresh = (ka[order][1:] != ka[order][:-1]) | (kb[order][1:] != kb[order][:-1])
                 fit = np.zeros(len(n), bool)
                 fit[order[np.concatenate(([True], fresh))]] = True
@@ -224,7 +229,7 @@ def _entries(cells: np.ndarray, parts: int):
                 out["token"] = (word >> np.uint64(32)).astype(np.uint32)
                 out["n"], out["at"] = n[row], place
                 out["ka"], out["kb"], out["kc"] = ka[row], kb[row], kc[row]
-                out["doc"], out["line"] = where[row], number[row]
+                out["doc"], out["row"], out["line"] = where[row], which[row], number[row]
                 held.append(out)
         yield from _packed(held_lines, held, parts)
 
@@ -251,8 +256,8 @@ def _windows(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _earlier(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d, e = rows["doc"][a], rows["doc"][b]
-    return (d < e) | ((d == e) & (rows["line"][a] < rows["line"][b]))
+    d, e, f, g = rows["doc"][a], rows["doc"][b], rows["row"][a], rows["row"][b]
+    return (d < e) | ((d == e) & ((f < g) | ((f == g) & (rows["line"][a] < rows["line"][b]))))
 
 
 def candidates(rows: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,9 +273,12 @@ def candidates(rows: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.n
         heads = np.flatnonzero(np.concatenate(([True], ~repeated)))
         size = np.diff(np.append(heads, len(rows)))
         doc = np.minimum.reduceat(rows["doc"], heads)
-        line = np.minimum.reduceat(np.where(rows["doc"] == np.repeat(doc, size), rows["line"], np.uint32(0xFFFFFFFF)), heads)
+        first = rows["doc"] == np.repeat(doc, size)
+        row = np.minimum.reduceat(np.where(first, rows["row"], np.int64((1 << 63) - 1)), heads)
+        first &= rows["row"] == np.repeat(row, size)
+        line = np.minimum.reduceat(np.where(first, rows["line"], np.uint32(0xFFFFFFFF)), heads)
         rows = rows[heads].copy()
-        rows["doc"], rows["line"] = doc, line
+        rows["doc"], rows["row"], rows["line"] = doc, row, line
     ask = None if wanted is None else np.isin(rows["ka"], wanted)
     later, sooner, slack = [], [], []
     held = 0
@@ -318,7 +326,8 @@ def candidates(rows: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.n
     return rows[x], rows[y], rows[more]
 
 
-_ENDS = ["ka", "kb", "doc", "line", "ea", "eb", "edoc", "eline"]
+_PLACE = ["doc", "row", "line"]
+_ENDS = ["ka", "kb", *_PLACE, "ea", "eb", "edoc", "erow", "eline"]
 _PAIR = ", ".join(f"{c} long" for c in _ENDS)
 _MET = f"kind int, part long, token long, {_PAIR}, data binary"
 PAIR, MORE, COPY, KEPT = 0, 1, 2, 3
@@ -327,8 +336,8 @@ PAIR, MORE, COPY, KEPT = 0, 1, 2, 3
 def _pair_rows(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
     signed = lambda v: np.ascontiguousarray(v).view(np.int64)
     return pd.DataFrame({
-        "ka": signed(x["ka"]), "kb": signed(x["kb"]), "doc": x["doc"], "line": x["line"].astype(np.int64),
-        "ea": signed(y["ka"]), "eb": signed(y["kb"]), "edoc": y["doc"], "eline": y["line"].astype(np.int64),
+        "ka": signed(x["ka"]), "kb": signed(x["kb"]), "doc": x["doc"], "row": x["row"], "line": x["line"].astype(np.int64),
+        "ea": signed(y["ka"]), "eb": signed(y["kb"]), "edoc": y["doc"], "erow": y["row"], "eline": y["line"].astype(np.int64),
     })
 
 
@@ -378,7 +387,7 @@ def _meet_rest(kept: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The sorted word hashes of wanted lines."""
     for frame in frames:
-        texts, ids = row_texts(frame), row_ids(frame)
+        texts, ids, row_hashes = row_texts(frame), row_ids(frame), frame["row"].to_numpy(np.int64)
         wanted = frame["wanted"].tolist()
         for a, b in chunks(texts):
             hashes, line, doc, number = line_words(texts[a:b])
@@ -389,7 +398,7 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if take:
                 ka, kb, _ = identities(h, starts)
                 yield pd.DataFrame({
-                    "doc": ids[a:b][doc[at[take]]], "line": number[at[take]],
+                    "doc": ids[a:b][doc[at[take]]], "row": row_hashes[a:b][doc[at[take]]], "line": number[at[take]],
                     "ka": ka[take].view(np.int64), "kb": kb[take].view(np.int64),
                     "words": [np.sort(h[starts[i] : ends[i]]).tobytes() for i in take],
                 })
@@ -402,7 +411,7 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
             common = len(np.intersect1d(p, q, assume_unique=True))
             good[i] = common * DENOMINATOR >= NUMERATOR * (len(p) + len(q) - common)
-        yield frame.loc[good, ["doc", "line"]]
+        yield frame.loc[good, _PLACE]
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:
@@ -411,40 +420,41 @@ def _distinct(pairs: DataFrame) -> DataFrame:
 
 
 def _matched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """First lines (``doc``, ``line``) of classes that truly match their earlier partner."""
-    ends = pairs.select("doc", "line").union(pairs.select("edoc", "eline")).distinct()
-    wanted = materialize(ends.groupBy("doc").agg(F.collect_list("line").alias("wanted")))
-    wanted = broadcast_if_few(wanted, F.size("wanted"))
-    texts = docs.select("doc_id", "text").join(wanted, document_id() == F.col("doc")).select(F.col("doc").alias("doc_id"), "text", "wanted")
-    sets = materialize(texts.mapInPandas(_sets, "doc long, line long, ka long, kb long, words binary"))
-    sets = sets.dropDuplicates(["doc", "line", "ka", "kb"])
-    early = sets.select(*[F.col(c).alias("e" + c) for c in ("doc", "line", "words")], F.col("ka").alias("ea"), F.col("kb").alias("eb"))
+    """First lines (``doc``, ``row``, ``line``) of classes that truly match their earlier partner."""
+    ends = pairs.select(_PLACE).union(pairs.select("edoc", "erow", "eline")).distinct()
+    wanted = materialize(ends.groupBy("doc", "row").agg(F.collect_list("line").alias("wanted")))
+    wanted = broadcast_if_few(wanted, F.size("wanted") + 1)
+    texts = docs.select(document_id().alias("doc"), text_hash().alias("row"), "text").join(wanted, ["doc", "row"])
+    texts = texts.select(F.col("doc").alias("doc_id"), "row", "text", "wanted")
+    sets = materialize(texts.mapInPandas(_sets, "doc long, row long, line long, ka long, kb long, words binary"))
+    sets = sets.dropDuplicates([*_PLACE, "ka", "kb"])
+    early = sets.select(*[F.col(c).alias("e" + c) for c in (*_PLACE, "words")], F.col("ka").alias("ea"), F.col("kb").alias("eb"))
     both = (
-        pairs.join(sets, ["doc", "line", "ka", "kb"]).join(early, ["edoc", "eline", "ea", "eb"])
-        .select("doc", "line", "words", "ewords")
+        pairs.join(sets, [*_PLACE, "ka", "kb"]).join(early, ["edoc", "erow", "eline", "ea", "eb"])
+        .select(*_PLACE, "words", "ewords")
     )
-    return both.mapInPandas(_verify, "doc long, line long").distinct()
+    return both.mapInPandas(_verify, "doc long, row long, line long").distinct()
 
 
 def lost_lines(docs: DataFrame) -> DataFrame:
-    """``doc``, ``lost``: the numbers of the lines that go, of documents that lose some."""
+    """``doc``, ``row``, ``lost``: the numbers of the lines that go, of documents that lose some."""
     cells, _ = total_sketch(bound_batches(docs).select("text").mapInPandas(_count, "cell int, n long"))
     words = int(cells[:WIDTH].sum())
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / 4 / PART_ENTRIES))
-    texts = docs.select(document_id().alias("doc_id"), "text")
+    texts = docs.select(document_id().alias("doc_id"), text_hash().alias("row"), "text")
     packed = texts.mapInPandas(_entries(cells, parts), "part long, data binary")
     met = materialize(packed.groupBy("part").applyInPandas(_meet(parts), _MET))
     pairs = materialize(_distinct(met.where(F.col("kind") == PAIR).select(_ENDS)))
     matched = materialize(_matched(docs, pairs))
-    more = met.where(F.col("kind") == MORE).select("part", "token", "ka", "doc", "line")
-    rest = materialize(more.join(matched, ["doc", "line"], "left_anti").select("part", "token", "ka"))
+    more = met.where(F.col("kind") == MORE).select("part", "token", "ka", *_PLACE)
+    rest = materialize(more.join(matched, _PLACE, "left_anti").select("part", "token", "ka"))
     if rest.take(1):
         kept = met.where(F.col("kind") == KEPT).select("part", "data")
         pairs = kept.groupBy("part").cogroup(rest.groupBy("part")).applyInPandas(_meet_rest, _PAIR)
         matched = matched.union(_matched(docs, materialize(_distinct(pairs))))
-    gone = met.where(F.col("kind") == COPY).select("doc", "line").union(matched.select("doc", "line"))
+    gone = met.where(F.col("kind") == COPY).select(_PLACE).union(matched.select(_PLACE))
     # Rows hardly repeat within a task, so they are dealt first and gathered once, in few tasks.
-    return gone.repartition("doc").groupBy("doc").agg(F.collect_set(F.col("line").cast("int")).alias("lost"))
+    return gone.repartition("doc", "row").groupBy("doc", "row").agg(F.collect_set(F.col("line").cast("int")).alias("lost"))
 
 
 def _rebuild(lost_name: str):
@@ -475,10 +485,10 @@ def _rebuild(lost_name: str):
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All rows with later matching lines taken out of ``text``; adds ``n_lines`` and ``n_removed``, or replaces such columns."""
-    own, lost_name = free_name(docs, "own_id"), free_name(docs, "lost_lines")
-    lost = materialize(lost_lines(docs).select(F.col("doc").alias(own), F.col("lost").alias(lost_name)))
-    lost = broadcast_if_few(lost, F.size(lost_name))
-    joined = docs.withColumn(own, document_id()).join(lost, own, "left").drop(own)
+    own, own_row, lost_name = free_name(docs, "own_id"), free_name(docs, "own_row"), free_name(docs, "lost_lines")
+    lost = materialize(lost_lines(docs).select(F.col("doc").alias(own), F.col("row").alias(own_row), F.col("lost").alias(lost_name)))
+    lost = broadcast_if_few(lost, F.size(lost_name) + 1)
+    joined = docs.withColumns({own: document_id(), own_row: text_hash()}).join(lost, [own, own_row], "left").drop(own, own_row)
     kept = [f for f in docs.schema if f.name not in ("n_lines", "n_removed")]
     schema = StructType([*kept, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
     return joined.select(*[f.name for f in kept], lost_name).mapInArrow(_rebuild(lost_name), schema)

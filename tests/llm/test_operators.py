@@ -224,6 +224,26 @@ def test_line_dedup_edges(edges, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+@pytest.mark.parametrize("own", [None, 7])
+def test_lines_of_rows_that_share_an_id_are_judged_by_row(spark, own):
+    line = "one two three four five six seven eight nine {}".format
+    rows = [
+        (own, "unique words of the first row\n" + line("ten")), (own, "other words of a second row\n" + line("ten")),
+        (own, "third row that has nothing else\nand repeats no line of the rest"), (own, line("eleven") + "\nlast words of row four"),
+        (own, "a row that comes twice"), (own, "a row that comes twice"), (9, "and repeats no line of the rest"),
+    ]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = sorted(x for r in out for x in r.text.split("\n") if x)
+    kept = {x for x in left if x.startswith("one two")}
+    assert len(kept) == 1 and kept <= {line("ten"), line("eleven")} and len([x for x in left if x in kept]) == 1
+    assert [x for x in left if x not in kept] == sorted([
+        "unique words of the first row", "other words of a second row", "third row that has nothing else",
+        "and repeats no line of the rest", "last words of row four", "a row that comes twice", "a row that comes twice",
+    ])
+    assert sum(r.n_removed for r in out) == 3 and len(out) == len(rows)
+    assert line_dedup.keep_first_lines(spark.createDataFrame(rows, "doc_id long, text string")).count() == 6
+
+
 def test_near_groups_match_brute_force(spark, documents):
     rng = random.Random(5)
     rows = [(r.doc_id, r.text) for r in documents.where("doc_id < 120").collect()]
