@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tapeline.llm.common import WIDTH, bound_batches, broadcast_if_few, document_id, free_name, row_ids, row_texts, sketch_slots, total_sketch
+from tapeline.llm.common import WIDTH, bound_batches, broadcast_if_few, document_id, free_name, row_ids, row_texts, sketch_slots, text_hash, total_sketch
 from tapeline.llm.words import chunks, doc_words, hash_words, mix
 from tapeline.session import materialize
 
@@ -59,11 +59,6 @@ _ENTRY = np.dtype([
 ])
 
 
-def text_hash() -> F.Column:
-    """Tells rows of one ``doc_id`` apart, and orders them."""
-    return F.xxhash64("text")
-
-
 def least_common(a, b):
     """The words that two sets of these sizes share at least when they match."""
     top, bottom = NUMERATOR, NUMERATOR + DENOMINATOR

@@ -18,8 +18,9 @@ sketch of fixed size, since the shingles of a corpus are almost all distinct.
 5. Groups are connected components, by minimum labels with pointer jumping in Spark.
 
 Defined results: NULL texts and texts without words are alone in their group; a text of
-fewer than five words is one shingle; NULL ``doc_id`` counts as the smallest number; the group
-is named after its smallest ``doc_id``, and that document stays; of repeated rows one stays.
+fewer than five words is one shingle; NULL ``doc_id`` counts as the smallest number; rows
+of one ``doc_id`` are told apart and ordered by a hash of their text; the group is named after its
+first row (``doc_id``, then hash), and that row stays; of rows equal in both one stays.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import NO_ID, WIDTH, bound_batches, broadcast_if_few, document_id, free_name, row_ids, row_texts, sketch_slots, total_sketch
+from tapeline.llm.common import NO_ID, WIDTH, bound_batches, broadcast_if_few, document_id, free_name, row_ids, row_texts, sketch_slots, text_hash, total_sketch
 from tapeline.llm.words import SHINGLE, chunks, doc_words, mix, shingles
 from tapeline.session import materialize
 
@@ -148,7 +149,7 @@ def _signatures(weights: Weights):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts, doc_ids = row_texts(frame), row_ids(frame)
+            texts, doc_ids, row_hashes = row_texts(frame), row_ids(frame), frame["row"].to_numpy(np.int64)
             for a, b in chunks(texts):
                 ids, w, offsets, count = weights.sets(texts[a:b])
                 ka, kb = text_keys(ids, count, offsets)
@@ -164,7 +165,7 @@ def _signatures(weights: Weights):
                     for i, row in zip(np.flatnonzero(fresh), bands(samples(ids[keep], w[keep], own))):
                         signed[i] = row
                 yield pd.DataFrame({
-                    "doc": doc_ids[a:b], "ka": ka, "kb": kb, "words": size > 0,
+                    "doc": doc_ids[a:b], "row": row_hashes[a:b], "ka": ka, "kb": kb, "words": size > 0,
                     "weight": sums[offsets[1:]] - sums[offsets[:-1]], "bands": signed,
                 })
 
@@ -180,22 +181,6 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return float(common / total) if total else 0.0
 
 
-def _text_of_key(weights: Weights):
-    """Texts by their key: rows that share a ``doc_id`` with a wanted text but differ from it go."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = row_texts(frame)
-            for a, b in chunks(texts):
-                ids, _, offsets, count = weights.sets(texts[a:b])
-                ka, kb = text_keys(ids, count, offsets)
-                part = frame.iloc[a:b]
-                good = (ka == part["ka"].to_numpy()) & (kb == part["kb"].to_numpy())
-                yield part.loc[good, ["text_id", "text"]]
-
-    return run
-
-
 def _compare(weights: Weights):
     """Rows come sorted: a hub (``member`` -1), then its members."""
 
@@ -315,19 +300,16 @@ def _large_links(contents: DataFrame, buckets: DataFrame, weights: Weights) -> D
 
 
 def _links(docs: DataFrame, signed: DataFrame, weights: Weights) -> tuple[DataFrame, DataFrame]:
-    """Texts (``text_id``, ``ka``, ``kb``, ``doc``) and the labels of those that have a near copy."""
-    texts = signed.where("words").groupBy("ka", "kb").agg(F.min("doc").alias("doc"), F.first("weight").alias("weight"), F.first("bands", True).alias("bands"))
+    """Texts (``text_id``, ``ka``, ``kb``, ``first``: ``doc`` and ``row``) and the labels of those that have a near copy."""
+    texts = signed.where("words").groupBy("ka", "kb").agg(F.min(F.struct("doc", "row")).alias("first"), F.first("weight").alias("weight"), F.first("bands", True).alias("bands"))
     number = F.shiftrightunsigned(F.xxhash64("ka", "kb"), 1)
     texts = materialize(texts.withColumn("text_id", number))
     members = texts.select("text_id", "weight", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = materialize(members.join(shared, "band"))
-    wanted = members.select("text_id").distinct().join(texts.select("text_id", "ka", "kb", "doc"), "text_id")
-    wanted = broadcast_if_few(materialize(wanted), F.lit(4))
-    contents = (
-        docs.select(document_id().alias("doc"), "text").join(wanted, "doc")
-        .mapInPandas(_text_of_key(weights), "text_id long, text string")
-    )
+    wanted = members.select("text_id").distinct().join(texts.select("text_id", "first.doc", "first.row"), "text_id")
+    wanted = broadcast_if_few(materialize(wanted), F.lit(3))
+    contents = docs.select(document_id().alias("doc"), text_hash().alias("row"), "text").join(wanted, ["doc", "row"]).select("text_id", "text")
     contents = materialize(contents.dropDuplicates(["text_id"]))
     edges = tested = labels = None
     for hubs in (1, HUBS, None):
@@ -356,50 +338,54 @@ def _links(docs: DataFrame, signed: DataFrame, weights: Weights) -> tuple[DataFr
         labels = components(edges)
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "text_id long, label long")
-    return texts.select("text_id", "ka", "kb", "doc"), labels
+    return texts.select("text_id", "ka", "kb", "first"), labels
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    """``doc``, ``ka``, ``kb``, ``class`` (smallest ``doc`` of the group) and ``words`` of every row."""
+    """``doc``, ``row``, ``class`` and ``class_row`` (those of the group's first row) of every row."""
     counted = bound_batches(docs).select("text").mapInPandas(_document_frequencies, "cell int, n long")
     cells, documents = total_sketch(counted)
     weights = Weights(cells, documents)
-    signed = materialize(docs.select(document_id().alias("doc_id"), "text").mapInPandas(
-        _signatures(weights), "doc long, ka long, kb long, words boolean, weight double, bands array<long>"
+    signed = materialize(docs.select(document_id().alias("doc_id"), text_hash().alias("row"), "text").mapInPandas(
+        _signatures(weights), "doc long, row long, ka long, kb long, words boolean, weight double, bands array<long>"
     ))
     texts, labels = _links(docs, signed, weights)
     named = texts.join(labels, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
-    least = named.groupBy("label").agg(F.min("doc").alias("class"))
-    named = materialize(named.join(least, "label").select("ka", "kb", "class"))
-    own = F.when(F.col("words"), F.col("class")).otherwise(F.col("doc"))
-    return signed.select("doc", "ka", "kb", "words").join(named, ["ka", "kb"], "left").withColumn("class", own)
+    least = named.groupBy("label").agg(F.min("first").alias("least"))
+    named = materialize(named.join(least, "label").select("ka", "kb", "least"))
+    own = [F.when(F.col("words"), F.col(f"least.{c}")).otherwise(F.col(c)).alias(n) for c, n in (("doc", "class"), ("row", "class_row"))]
+    return signed.select("doc", "row", "ka", "kb", "words").join(named, ["ka", "kb"], "left").select("doc", "row", *own)
+
+
+def _is_first() -> F.Column:
+    return (F.col("doc") == F.col("class")) & (F.col("row") == F.col("class_row"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``class_id`` of every row."""
+    """``doc_id``, ``class_id``, ``class_key`` and ``is_kept`` of every row.
+
+    ``class_id`` is the ``doc_id`` of the group's first row; that may be NULL or repeated, so ``class_key``, the hash of its
+    text, completes the name. ``is_kept`` marks the first row, and any that equal it in id and text.
+    """
     back = [F.when(F.col(c) != NO_ID, F.col(c)).alias(name) for c, name in (("doc", "doc_id"), ("class", "class_id"))]
-    return _grouped(docs).select(*back)
+    return _grouped(docs).select(*back, F.col("class_row").alias("class_key"), _is_first().alias("is_kept"))
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest ``doc_id``."""
-    grouped = materialize(_grouped(docs))
-    kept = grouped.where(F.col("doc") == F.col("class")).select("doc").distinct()
-    repeated = grouped.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
-    kept = broadcast_if_few(materialize(kept), F.lit(1))
-    own = free_name(docs, "own_id")
-    out = docs.withColumn(own, document_id()).join(kept.withColumnRenamed("doc", own), own, "left_semi")
-    if repeated.take(1):
-        # Rows that share a doc_id: of equal texts one stays; of others those that are first in their group.
-        shared = repeated.withColumnRenamed("doc", own)
-        single = out.join(shared, own, "left_anti")
-        several = out.join(shared, own, "left_semi").dropDuplicates([own, "text"])
-        out = single.unionByName(several)
-    return out.drop(own)
+    """One document of each group, its first row by ``doc_id`` and hash of the text."""
+    own, own_row, times = free_name(docs, "own_id"), free_name(docs, "own_row"), free_name(docs, "times")
+    kept = _grouped(docs).where(_is_first()).groupBy(F.col("doc").alias(own), F.col("row").alias(own_row)).agg(F.count("*").alias(times))
+    kept = materialize(kept)
+    repeated = kept.where(F.col(times) > 1).take(1)
+    kept = broadcast_if_few(kept, F.lit(3))
+    out = docs.withColumns({own: document_id(), own_row: text_hash()}).join(kept, [own, own_row])
+    if repeated:
+        # Of rows equal in id and text one stays.
+        several = out.where(F.col(times) > 1).dropDuplicates([own, "text"])
+        out = out.where(F.col(times) == 1).unionByName(several)
+    return out.select(*docs.columns)
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document of ``documents``."""
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn(
-        "is_kept", F.col("doc_id").eqNullSafe(F.col("class_id"))
-    )
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "is_kept", "class_key")

@@ -321,6 +321,23 @@ def test_near_edges(edges, nothing):
     assert near_dedup.keep_one_each(nothing).count() == 0
 
 
+def test_near_copies_among_rows_that_share_an_id(spark):
+    base = [f"w{i}" for i in range(100)]
+    copy = " ".join(base[:99] + ["other"])
+    rows = [
+        (None, " ".join(base)), (None, copy), (None, " ".join(base).upper() + "!"), (None, "an unrelated row without any id at all"),
+        (5, copy + " more"), (5, "an unrelated row that shares the id five"), (5, "an unrelated row that shares the id five"), (6, "row six stands for itself alone"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.near_groups(docs).collect()
+    groups = {(r.class_id, r.class_key) for r in found}
+    assert len(found) == 8 and len(groups) == 4
+    assert sum(r.is_kept for r in found if r.doc_id is None) == 2
+    texts = [r.text for r in near_dedup.keep_one_each(docs).collect()]
+    assert len(texts) == 4 and len([t for t in texts if t.lower().startswith("w0 ")]) == 1
+    assert sum("id five" in t for t in texts) == sum("six" in t for t in texts) == sum("without any id" in t for t in texts) == 1
+
+
 def test_leaks_match_brute_force(spark, documents):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()
     shingle = lambda t: {tuple(w[i : i + 5]) for w in [_WORDS.findall(t.lower())] for i in range(max(1, len(w) - 4))}
