@@ -17,7 +17,8 @@ sketch of fixed size, since the shingles of a corpus are almost all distinct.
    similarities by matrix products, checks what the bound leaves, and returns links only.
 5. Groups are connected components, by minimum labels with pointer jumping in Spark.
 
-Defined results: NULL texts and texts without words are alone in their group; a text of
+Defined results: NULL and empty texts are alone in their group; texts without words
+are grouped with exact copies only; a text of
 fewer than five words is one shingle; NULL ``doc_id`` counts as the smallest number; rows
 of one ``doc_id`` are told apart and ordered by a hash of their text; the group is named after its
 first row (``doc_id``, then hash), and that row stays; of rows equal in both one stays.
@@ -26,6 +27,7 @@ first row (``doc_id``, then hash), and that row stays; of rows equal in both one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -154,6 +156,11 @@ def _signatures(weights: Weights):
                 ids, w, offsets, count = weights.sets(texts[a:b])
                 ka, kb = text_keys(ids, count, offsets)
                 size = np.diff(offsets)
+                grouped = size > 0
+                for i in np.flatnonzero(~grouped):
+                    if t := texts[a + i]:  # no words: named by the whole text
+                        ka[i], kb[i] = np.frombuffer(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "<i8")
+                        grouped[i] = True
                 fresh = np.zeros(b - a, bool)
                 fresh[np.unique(np.stack([ka, kb]), axis=1, return_index=True)[1]] = True
                 fresh &= size > 0
@@ -165,7 +172,7 @@ def _signatures(weights: Weights):
                     for i, row in zip(np.flatnonzero(fresh), bands(samples(ids[keep], w[keep], own))):
                         signed[i] = row
                 yield pd.DataFrame({
-                    "doc": doc_ids[a:b], "row": row_hashes[a:b], "ka": ka, "kb": kb, "words": size > 0,
+                    "doc": doc_ids[a:b], "row": row_hashes[a:b], "ka": ka, "kb": kb, "grouped": grouped,
                     "weight": sums[offsets[1:]] - sums[offsets[:-1]], "bands": signed,
                 })
 
@@ -301,7 +308,7 @@ def _large_links(contents: DataFrame, buckets: DataFrame, weights: Weights) -> D
 
 def _links(docs: DataFrame, signed: DataFrame, weights: Weights) -> tuple[DataFrame, DataFrame]:
     """Texts (``text_id``, ``ka``, ``kb``, ``first``: ``doc`` and ``row``) and the labels of those that have a near copy."""
-    texts = signed.where("words").groupBy("ka", "kb").agg(F.min(F.struct("doc", "row")).alias("first"), F.first("weight").alias("weight"), F.first("bands", True).alias("bands"))
+    texts = signed.where("grouped").groupBy("ka", "kb").agg(F.min(F.struct("doc", "row")).alias("first"), F.first("weight").alias("weight"), F.first("bands", True).alias("bands"))
     number = F.shiftrightunsigned(F.xxhash64("ka", "kb"), 1)
     texts = materialize(texts.withColumn("text_id", number))
     members = texts.select("text_id", "weight", F.explode("bands").alias("band"))
@@ -347,14 +354,14 @@ def _grouped(docs: DataFrame) -> DataFrame:
     cells, documents = total_sketch(counted)
     weights = Weights(cells, documents)
     signed = materialize(docs.select(document_id().alias("doc_id"), text_hash().alias("row"), "text").mapInPandas(
-        _signatures(weights), "doc long, row long, ka long, kb long, words boolean, weight double, bands array<long>"
+        _signatures(weights), "doc long, row long, ka long, kb long, grouped boolean, weight double, bands array<long>"
     ))
     texts, labels = _links(docs, signed, weights)
     named = texts.join(labels, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
     least = named.groupBy("label").agg(F.min("first").alias("least"))
     named = materialize(named.join(least, "label").select("ka", "kb", "least"))
-    own = [F.when(F.col("words"), F.col(f"least.{c}")).otherwise(F.col(c)).alias(n) for c, n in (("doc", "class"), ("row", "class_row"))]
-    return signed.select("doc", "row", "ka", "kb", "words").join(named, ["ka", "kb"], "left").select("doc", "row", *own)
+    own = [F.when(F.col("grouped"), F.col(f"least.{c}")).otherwise(F.col(c)).alias(n) for c, n in (("doc", "class"), ("row", "class_row"))]
+    return signed.select("doc", "row", "ka", "kb", "grouped").join(named, ["ka", "kb"], "left").select("doc", "row", *own)
 
 
 def _is_first() -> F.Column:

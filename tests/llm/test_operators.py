@@ -338,6 +338,14 @@ def test_near_copies_among_rows_that_share_an_id(spark):
     assert sum("id five" in t for t in texts) == sum("six" in t for t in texts) == sum("without any id" in t for t in texts) == 1
 
 
+def test_exact_copies_without_words_share_a_group(spark):
+    rows = [(1, "!!! ???"), (2, "!!! ???"), (3, "----"), (4, "!!! ??? "), (5, ""), (6, ""), (7, None), (8, None), (None, "----"), (9, "some words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_dedup.near_groups(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: None, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, None: None, 9: 9}
+    assert {r.doc_id for r in near_dedup.keep_one_each(docs).collect()} == {1, 4, 5, 6, 7, 8, None, 9}
+
+
 def test_leaks_match_brute_force(spark, documents):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()
     shingle = lambda t: {tuple(w[i : i + 5]) for w in [_WORDS.findall(t.lower())] for i in range(max(1, len(w) - 4))}
