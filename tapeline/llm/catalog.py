@@ -13,6 +13,7 @@ from tapeline.llm.html_text import op6_html_text
 from tapeline.llm.lang_id import op10_language_id
 from tapeline.llm.line_dedup import op5_line_dedup
 from tapeline.llm.near_dedup import op1_near_dedup
+from tapeline.llm.pieces import op12_pieces
 from tapeline.llm.pii import op7_pii
 from tapeline.llm.secrets import op8_secrets
 from tapeline.llm.token_counts import op2_token_counts
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op12_pieces": op12_pieces,
 }
 
 ORACLES: dict[str, str] = {}
