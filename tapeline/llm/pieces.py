@@ -37,7 +37,7 @@ from tapeline.llm.common import map_texts
 
 SPACE = "▁"  # fixed value: how the vocabulary writes a space
 UNKNOWN = " ⁇ "  # fixed value: the decoded unknown id
-CACHE_CHUNKS = 150_000  # in each half
+CACHE_CHUNKS = 250_000  # in each half
 CACHE_LENGTH = 40
 SHORT = 32  # symbols; up to here looking at every pair beats a heap
 NEVER = float("inf")
