@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeline.llm.alignment import op11_alignment
 from tapeline.llm.ann import op4_ann
 from tapeline.llm.bpe import op3_bpe
+from tapeline.llm.conversations import op13_conversations
 from tapeline.llm.decontaminate import op9_decontaminate
 from tapeline.llm.html_text import op6_html_text
 from tapeline.llm.lang_id import op10_language_id
@@ -29,7 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op11_alignment": op11_alignment,
     "op12_pieces": op12_pieces,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLES: dict[str, str] = {}

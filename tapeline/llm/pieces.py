@@ -37,7 +37,7 @@ from tapeline.llm.common import map_texts
 
 SPACE = "▁"  # fixed value: how the vocabulary writes a space
 UNKNOWN = " ⁇ "  # fixed value: the decoded unknown id
-CACHE_CHUNKS = 250_000  # in each half
+CACHE_CHUNKS = 400_000  # in each half
 CACHE_LENGTH = 40
 SHORT = 32  # symbols; up to here looking at every pair beats a heap
 NEVER = float("inf")
@@ -139,14 +139,13 @@ class Pieces:
                 scores[at] = rank.get(joint + symbols[at + 1], NEVER)
             if at:
                 scores[at - 1] = rank.get(symbols[at - 1] + joint, NEVER)
-        out: list[int] = []
-        for symbol in symbols:
-            found = self.ids.get(symbol)
-            if found is not None:
-                out.append(found)
-            else:
+        ids = tuple(map(self.ids.get, symbols))
+        if None in ids:
+            out: list[int] = []
+            for symbol in symbols:
                 self._emit(symbol, {}, out)
-        return tuple(out)
+            ids = tuple(out)
+        return ids
 
     def agenda(self, chunk: str) -> tuple[int, ...]:
         """Ids of one chunk."""
@@ -220,7 +219,7 @@ class Pieces:
             chunks = self.chunks.findall(SPACE + text.replace(" ", SPACE))
             found = list(map(self.known.get, chunks))
             if None in found:
-                found = [self._chunk(c) if ids_of is None else ids_of for c, ids_of in zip(chunks, found)]
+                found = [self._chunk(c) if known is None else known for c, known in zip(chunks, found)]
             ids.extend(chain.from_iterable(found))
         if end:
             ids.append(self.end)
@@ -229,6 +228,8 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         """The text of ids: letters of pieces, runs of bytes read as UTF-8, the first space taken off again."""
         control, runs = self.control, [ids]
+        if ids and ids[-1] in control:
+            runs = [ids := ids[:-1]]
         if not control.isdisjoint(ids):  # a control id ends a run of bytes
             runs = [list(run) for silent, run in groupby(ids, control.__contains__) if not silent]
         if not runs or not runs[0]:
