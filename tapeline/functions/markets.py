@@ -11,6 +11,7 @@ MARKET_BY_LATER_SUFFIX = [(".T", "TOKYO"), (".HK", "HONGKONG")]
 CRYPTO_MARK = "-USD"
 EXCHANGE_BY_SUFFIX = [(".KS", "XKRX"), (".KQ", "XKRX"), (".T", "XTKS"), (".HK", "XHKG")]
 PLAIN_EXCHANGE = "XNYS"
+EXCHANGES = sorted({e for _, e in EXCHANGE_BY_SUFFIX} | {PLAIN_EXCHANGE})
 
 
 def _first_match(cases: list[tuple[Column, str]], otherwise: Column) -> Column:

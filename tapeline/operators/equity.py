@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions.numeric import ratio, rounded
@@ -36,13 +36,8 @@ VERSUS_METRICS = [
 ]
 
 
-def position_profit(bars: DataFrame, held: DataFrame, account: Account = Account()) -> DataFrame:
-    """Profit of each ticker on each of its bars: ``(ticker_code, date, profit)``.
-
-    Entries are put among the bars and carried forward in date order, so a bar meets
-    only its own position: one shuffle by ticker, no range join. Open positions are
-    marked to the close.
-    """
+def _carried_positions(bars: DataFrame, held: DataFrame) -> tuple[DataFrame, Window]:
+    """Bars (``_kind`` 1) and entries (0) of each ticker in date order, with the latest entry carried forward."""
     none = F.lit(None)
     entries = held.select(
         "ticker_code", F.col("entry_date").alias("date"), F.lit(0).alias("_kind"), none.cast("double").alias("close"),
@@ -60,16 +55,34 @@ def position_profit(bars: DataFrame, held: DataFrame, account: Account = Account
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     carried = {c: F.last(c, ignorenulls=True).over(so_far) for c in ("_in", "_out", "size", "_buy", "_sell")}
     carried["_last"] = F.last("close", ignorenulls=True).over(before)
-    rows = marks.unionByName(entries).withColumns(carried).where(F.col("_kind") == 1)
+    return marks.unionByName(entries).withColumns(carried), w
+
+
+def _position_profit(account: Account) -> Column:
     size, day, fee = F.col("size"), F.col("date"), account.commission
     close = F.coalesce("close", "_last")
-    profit = (
+    return (
         F.when(day == F.col("_in"), size * (close - F.col("_buy")) - size * F.col("_buy") * fee)
         .when(day == F.col("_out"), size * (F.col("_sell") - F.col("_last")) - size * F.col("_sell") * fee)
         .when((day > F.col("_in")) & (day < F.col("_out")), size * (close - F.col("_last")))
         .otherwise(0.0)
     )
-    return rows.select("ticker_code", "date", profit.alias("profit"))
+
+
+def position_profit(bars: DataFrame, held: DataFrame, account: Account = Account()) -> DataFrame:
+    """Profit of each ticker on each of its bars: ``(ticker_code, date, profit)``.
+
+    Entries are put among the bars and carried forward in date order, so a bar meets
+    only its own position: one shuffle by ticker, no range join. Open positions are
+    marked to the close.
+    """
+    rows, _ = _carried_positions(bars, held)
+    return rows.where(F.col("_kind") == 1).select("ticker_code", "date", _position_profit(account).alias("profit"))
+
+
+def _held_profit(close: Column, last: Column, size: Column, account: Account) -> Column:
+    fill = buy_fill(close, account)
+    return F.when(last.isNull(), size * (close - fill) - size * fill * account.commission).otherwise(size * (close - last))
 
 
 def hold_profit(
@@ -84,21 +97,49 @@ def hold_profit(
     rows = priced.withColumns({
         "_first": F.first("close").over(so_far), "_last": F.last("close").over(before),
     }).withColumn("_size", share_count(cash, F.col("_first")))
-    fill = buy_fill(F.col("close"), account)
-    profit = F.when(
-        F.col("_last").isNull(),
-        F.col("_size") * (F.col("close") - fill) - F.col("_size") * fill * account.commission,
-    ).otherwise(F.col("_size") * (F.col("close") - F.col("_last")))
+    profit = _held_profit(F.col("close"), F.col("_last"), F.col("_size"), account)
     return rows.select("ticker_code", "date", profit.alias("profit"))
 
 
+def both_profits(bars: DataFrame, held: DataFrame, account: Account = Account(), weight: float | None = None) -> DataFrame:
+    """``position_profit`` and ``hold_profit`` of the same bars side by side, in one pass: ``profit`` and ``held_profit``."""
+    rows, w = _carried_positions(bars, held)
+    priced = F.when((F.col("_kind") == 1) & (F.col("close") > 0), F.col("close"))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "_first_price": F.first(priced, ignorenulls=True).over(so_far),
+        "_last_price": F.last(priced, ignorenulls=True).over(before),
+    }).where(F.col("_kind") == 1)
+    size = share_count(notional(bars, account, weight), F.col("_first_price"))
+    hold = F.when(priced.isNotNull(), _held_profit(priced, F.col("_last_price"), size, account))
+    return rows.select("ticker_code", "date", _position_profit(account).alias("profit"), hold.alias("held_profit"))
+
+
 def equity_curve(profit: DataFrame, account: Account = Account(), strategy: str = "strategy") -> DataFrame:
     """``(strategy, date, value)``: starting cash plus profit to date."""
     daily = profit.groupBy("date").agg(F.sum("profit").alias("profit"))
-    named = daily.select(F.lit(strategy).alias("strategy"), "date", "profit")
+    return _summed_curve(daily.select(F.lit(strategy).alias("strategy"), "date", "profit"), account)
+
+
+def both_curves(
+    profits: DataFrame, account: Account = Account(), strategy: str = "strategy", benchmark: str = "benchmark"
+) -> DataFrame:
+    """The curves of ``both_profits`` under one another, from one sum per day."""
+    daily = profits.groupBy("date").agg(
+        F.sum("profit").alias("profit"), F.sum("held_profit").alias("held_profit"), F.count("held_profit").alias("_n"),
+    )
+    rows = F.explode(F.array(
+        F.struct(F.lit(strategy).alias("strategy"), F.col("date"), F.col("profit"), F.lit(True).alias("_shown")),
+        F.struct(F.lit(benchmark).alias("strategy"), F.col("date"), F.col("held_profit").alias("profit"), (F.col("_n") > 0).alias("_shown")),
+    ))
+    return _summed_curve(daily.select(rows.alias("r")).select("r.*").where("_shown").drop("_shown"), account)
+
+
+def _summed_curve(daily: DataFrame, account: Account) -> DataFrame:
     w = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     value = F.sum("profit").over(w) + account.initial_cash
-    return named.select("strategy", "date", value.alias("value"))
+    return daily.select("strategy", "date", value.alias("value"))
 
 
 def daily_returns(curve: DataFrame, account: Account = Account()) -> DataFrame:
@@ -170,13 +211,34 @@ def trade_metrics(trades: DataFrame, account: Account = Account()) -> DataFrame:
     return base.withColumns({"win_rate": rate, "expectancy": rate * gain - (F.lit(1.0) - rate) * loss})
 
 
+def _as_value(record: DataFrame) -> Column:
+    """A one-row record as a scalar subquery: read beside other rows without a join."""
+    return record.select(F.struct(*record.columns).alias("record")).scalar()
+
+
 def performance(
     curve: DataFrame, trades: DataFrame, strategy: str = "strategy", account: Account = Account()
 ) -> DataFrame:
     """The full metrics record: 22 fields and the strategy name, one row."""
-    named = trade_metrics(trades, account).withColumn("strategy", F.lit(strategy))
-    joined = curve_metrics(curve, account).join(F.broadcast(named), "strategy")
-    return joined.select("strategy", *METRIC_COLUMNS)
+    record = curve_metrics(curve, account).where(F.col("strategy") == strategy)
+    return _with_trades(record, _as_value(trade_metrics(trades, account)))
+
+
+def both_performances(
+    curves: DataFrame, trades: DataFrame, strategy: str = "strategy", benchmark: str = "benchmark", account: Account = Account()
+) -> DataFrame:
+    """The metrics records of a strategy and of a benchmark that closes no trade, from curves under one another."""
+    found = trade_metrics(trades, account)
+    idle = {c: F.lit(0).cast(found.schema[c].dataType) for c in found.columns}  # figures of no trades
+    none = F.struct(*[value.alias(c) for c, value in idle.items()])
+    records = curve_metrics(curves, account).where(F.col("strategy").isin(strategy, benchmark))
+    return _with_trades(records, F.when(F.col("strategy") == strategy, _as_value(found)).otherwise(none))
+
+
+def _with_trades(records: DataFrame, trades: Column) -> DataFrame:
+    named = records.withColumn("_trades", trades)
+    own = set(records.columns)
+    return named.select("strategy", *[c if c in own else F.col(f"_trades.{c}").alias(c) for c in METRIC_COLUMNS])
 
 
 def compare_strategies(records: list[DataFrame]) -> DataFrame:
@@ -186,12 +248,24 @@ def compare_strategies(records: list[DataFrame]) -> DataFrame:
 
 def versus_benchmark(strategy: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Seven metrics of both, their difference, and alpha (difference of total return)."""
-    pairs = ", ".join(f"'{m}', CAST({m} AS DOUBLE)" for m in VERSUS_METRICS)
-    unpivot = f"stack({len(VERSUS_METRICS)}, {pairs}) AS (metric, value)"
-    mine = strategy.selectExpr(unpivot).withColumnRenamed("value", "strategy")
-    theirs = benchmark.selectExpr(unpivot).withColumnRenamed("value", "benchmark")
-    table = mine.join(F.broadcast(theirs), "metric").withColumn(
-        "difference", F.col("strategy") - F.col("benchmark")
-    )
-    alpha = table.where(F.col("metric") == "total_return").withColumn("metric", F.lit("alpha"))
-    return table.unionByName(alpha)
+    wanted = [F.col(m).cast("double").alias(m) for m in VERSUS_METRICS]
+    return _versus(strategy.select(F.struct(*wanted).alias("a"), _as_value(benchmark.select(*wanted)).alias("b")))
+
+
+def versus_of_records(records: DataFrame, strategy: str = "strategy", benchmark: str = "benchmark") -> DataFrame:
+    """``versus_benchmark`` of two records under one another."""
+    wanted = F.struct(*[F.col(m).cast("double").alias(m) for m in VERSUS_METRICS])
+    of = lambda name: F.max(F.when(F.col("strategy") == name, wanted))
+    return _versus(records.agg(of(strategy).alias("a"), of(benchmark).alias("b")))
+
+
+def _versus(pair: DataFrame) -> DataFrame:
+    """One row per metric from the structs ``a`` and ``b``."""
+    named = [(m, m) for m in VERSUS_METRICS] + [("alpha", "total_return")]
+    rows = F.explode(F.array(*[
+        F.struct(
+            F.lit(name).alias("metric"), F.col(f"a.{m}").alias("strategy"), F.col(f"b.{m}").alias("benchmark"),
+            (F.col(f"a.{m}") - F.col(f"b.{m}")).alias("difference"),
+        ) for name, m in named
+    ]))
+    return pair.select(rows.alias("r")).select("r.*")

@@ -1,42 +1,63 @@
 """Trading-calendar gaps: fill, report, coverage.
 
 Gaps are found between neighbouring bars of a ticker, so the bars are shuffled once
-(by ticker, the layout every indicator needs) and each gap is expanded in place.
-The sessions table is only looked up.
+(by ticker, the layout every indicator needs). A calendar holds the sessions of an exchange in order and, for
+each calendar day, the number of sessions up to it. The sessions between two bars are then a slice between two
+ordinals: only missing sessions become rows, and no calendar day is looked up one by one.
 """
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.functions.markets import exchange_code
-from tapeline.session import broadcast_if_small
+from tapeline.functions.indicators import repeated_day
+from tapeline.functions.markets import EXCHANGES, exchange_code
 
 
-def _days_to_next(bars: DataFrame) -> DataFrame:
-    """One row per bar and per calendar day up to the ticker's next bar.
+def session_calendar(sessions: DataFrame) -> DataFrame:
+    """One row per exchange: ``first`` session, ``sessions`` in order, and ``upto``.
 
-    Tickers of no known exchange are dropped. ``_day`` is the calendar day and
-    ``date`` the bar it follows.
+    ``upto`` has one number per calendar day from the first session to the last: the sessions up to that day.
+    There are as many rows as known exchanges, and a row is as long as the calendar, whatever the number of bars.
     """
+    w = Window.partitionBy("exchange").orderBy("date")
+    known = sessions.where(F.col("exchange").isin(EXCHANGES) & F.col("date").isNotNull()).select("exchange", "date").distinct()
+    spans = known.select(
+        "exchange", "date", F.row_number().over(w).alias("ordinal"),
+        F.coalesce(F.datediff(F.lead("date").over(w), "date"), F.lit(1)).alias("span"),
+    )
+    listed = spans.groupBy("exchange").agg(F.array_sort(F.collect_list(F.struct("ordinal", "date", "span"))).alias("days"))
+    return listed.select(
+        "exchange", F.col("days.date").alias("sessions"), F.col("days.date")[0].alias("first"),
+        F.flatten(F.transform("days", lambda d: F.array_repeat(d["ordinal"], d["span"]))).alias("upto"),
+    )
+
+
+def sessions_upto(day: Column) -> Column:
+    """Number of sessions up to ``day``, from the columns of ``session_calendar``; 0 without a calendar."""
+    at = F.datediff(day, "first")
+    inside = F.get("upto", at)
+    return F.coalesce(inside, F.when(at > 0, F.size("sessions")), F.lit(0))
+
+
+def _with_missing(bars: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Bars of known exchanges with ``_missing``, the sessions up to the ticker's next bar, and ``_session``, whether theirs is one."""
     w = Window.partitionBy("ticker_code").orderBy("date")
     known = bars.withColumn("exchange", exchange_code(F.col("ticker_code")))
     known = known.where(F.col("exchange").isNotNull())
-    spaced = known.withColumn("_next", F.lead("date").over(w))
-    last_day = F.coalesce(F.date_sub("_next", 1), "date")
-    # A repeated day would make the range run backwards.
     stop = F.raise_error(F.concat(F.lit("repeated day for ticker "), F.col("ticker_code")))
-    last_day = F.when(last_day >= F.col("date"), last_day).otherwise(stop.cast("date"))
-    return spaced.select("*", F.explode(F.sequence("date", last_day)).alias("_day"))
-
-
-def _marked(days: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Add ``_session``: whether the day is a session of the ticker's exchange."""
-    table = broadcast_if_small(sessions.select("exchange", F.col("date").alias("_day"), F.lit(True).alias("_session")))
-    return days.join(table, ["exchange", "_day"], "left")
+    spaced = known.withColumn("_next", F.when(repeated_day(w), stop.cast("date")).otherwise(F.lead("date").over(w)))
+    # One row per known exchange.
+    placed = spaced.join(F.broadcast(session_calendar(sessions)), "exchange", "left")
+    own = sessions_upto(F.col("date"))
+    until = F.when(F.col("_next").isNull(), own).otherwise(sessions_upto(F.date_sub("_next", 1)))
+    none = F.array().cast("array<date>")
+    missing = F.when(until > own, F.slice("sessions", own + 1, until - own)).otherwise(none)
+    on = F.coalesce(F.get("sessions", own - 1) == F.col("date"), F.lit(False))
+    return placed.select(*bars.columns, missing.alias("_missing"), on.alias("_session"))
 
 
 def fill_gaps(
@@ -47,21 +68,20 @@ def fill_gaps(
     Bars on days that are no session stay unless ``drop_non_sessions`` is set. Columns
     in ``carry``, such as the time zone, are taken over from the bar before the gap.
     """
-    days = _marked(_days_to_next(bars), sessions)
-    own = F.col("_day") == F.col("date")
-    keep = F.col("_session") if drop_non_sessions else (own | F.col("_session"))
+    found = _with_missing(bars, sessions)
+    own = F.array("date")
+    if drop_non_sessions:
+        own = F.when(F.col("_session"), own).otherwise(F.array().cast("array<date>"))
+    days = found.select(*bars.columns, F.explode(F.concat(own, "_missing")).alias("_day"))
     values = [c for c in bars.columns if c not in ("ticker_code", "date", *carry)]
-    filled = {c: F.when(own, F.col(c)).alias(c) for c in values}
-    return days.where(keep).select(*[
-        F.col("_day").alias("date") if c == "date" else filled.get(c, F.col(c)) for c in bars.columns
-    ])
+    filled = {c: F.when(F.col("_day") == F.col("date"), F.col(c)).alias(c) for c in values}
+    return days.select(*[F.col("_day").alias("date") if c == "date" else filled.get(c, F.col(c)) for c in bars.columns])
 
 
 def missing_sessions(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     """The sessions that ``fill_gaps`` would add: ``(ticker_code, date)``."""
-    days = _days_to_next(bars.select("ticker_code", "date"))
-    gaps = days.where(F.col("_day") > F.col("date"))
-    return _marked(gaps, sessions).where("_session").select("ticker_code", F.col("_day").alias("date"))
+    found = _with_missing(bars.select("ticker_code", "date"), sessions)
+    return found.select("ticker_code", F.explode("_missing").alias("date"))
 
 
 def coverage(bars: DataFrame, sessions: DataFrame, start: date | str, end: date | str) -> DataFrame:

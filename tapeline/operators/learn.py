@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 import numpy as np
@@ -54,6 +54,30 @@ def scaler(train: DataFrame, features: list[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
 
 
+def fold_statistics(train: DataFrame, features: list[str]) -> DataFrame:
+    """Mean and population deviation of each feature over the training part of each expanding fold.
+
+    One pass finds count, mean and squared distances of every fold; those of fold 0 to i - 1 are then added up for
+    fold i. ``(fold, feature, n_rows, mean, deviation)``, from fold 1 on; the rows do not grow with ``train``.
+    """
+    moments = train.groupBy("fold").agg(*[
+        F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), (F.var_pop(c) * F.count(c)).alias("m2")).alias(c) for c in features
+    ])
+    long = moments.select("fold", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"{c}.n").alias("n"), F.col(f"{c}.mean").alias("mean"), F.col(f"{c}.m2").alias("m2"))
+        for c in features
+    ])).alias("x")).select("fold", "x.*")
+    before = Window.partitionBy("feature").orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    parts = long.withColumn("parts", F.collect_list(F.when(F.col("n") > 0, F.struct("n", "mean", "m2"))).over(before))
+    zero = F.lit(0.0)
+    n = F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    named = parts.where(F.size("parts") > 0).withColumn("n_rows", n).withColumn(
+        "_mean", F.aggregate("parts", zero, lambda s, x: s + x["mean"] * x["n"] / F.col("n_rows"))
+    )
+    spread = F.aggregate("parts", zero, lambda s, x: s + x["m2"] + x["n"] * F.pow(x["mean"] - F.col("_mean"), F.lit(2.0)))
+    return named.select("fold", "feature", "n_rows", F.col("_mean").alias("mean"), F.sqrt(spread / F.col("n_rows")).alias("deviation"))
+
+
 def feature_steps(train: DataFrame, features: list[str]) -> list:
     names = [f"z_{c}" for c in features]
     return [scaler(train, features), VectorAssembler(inputCols=names, outputCol="features")]
@@ -76,8 +100,14 @@ class SignalModel:
     cv_score: float
     saved_at: str | None = None
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """Add ``p1`` (probability of class 1) and ``prediction``."""
+    def score(self, df: DataFrame, beside: list[str] | None = None) -> DataFrame:
+        """Add ``p1`` (probability of class 1) and ``prediction``.
+
+        With ``beside``, the names of the columns that are no features, all others must be exactly the
+        model's features; without it, other columns pass through.
+        """
+        if beside is not None:
+            check_features(df, self.features, beside)
         missing = [c for c in self.features if c not in df.columns]
         if missing:
             raise ValueError(f"feature columns missing: {missing}")
@@ -164,7 +194,10 @@ def fit_model(train: DataFrame, features: list[str], candidate: Candidate) -> Si
 
 @dataclass
 class _Problem:
-    """One penalised fit of the search: rows of folds below ``fold``, weighted by class."""
+    """One penalised fit of the search: rows of folds below ``fold``, weighted by class.
+
+    ``states`` holds the coefficients after each pass, as a fit stopped there would return them.
+    """
 
     fold: int
     penalty: float
@@ -173,6 +206,11 @@ class _Problem:
     loss: float = np.inf
     best: np.ndarray | None = None
     settled: bool = False
+    states: list[np.ndarray] = field(default_factory=list)
+
+    def after(self, passes: int) -> np.ndarray:
+        """The coefficients of a fit that may take so many passes."""
+        return self.states[passes - 1] if passes < len(self.states) or not self.settled else self.best
 
 
 def _logistic_parts(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -184,7 +222,10 @@ def _logistic_parts(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarra
     return np.concatenate([[loss], x.T @ (w * (p - y)), curve.ravel()])
 
 
-def _summed_parts(rows: DataFrame, names: list[str], problems: list[_Problem]) -> dict[int, np.ndarray]:
+Scale = dict[int, tuple[np.ndarray, np.ndarray]]  # mean and deviation of the features by fold
+
+
+def _summed_parts(rows: DataFrame, names: list[str], problems: list[_Problem], scale: Scale) -> dict[int, np.ndarray]:
     """One pass over ``rows`` for all open problems.
 
     Each task reduces its rows to a fixed number of sums per problem, and Spark adds
@@ -195,15 +236,20 @@ def _summed_parts(rows: DataFrame, names: list[str], problems: list[_Problem]) -
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = np.column_stack([np.ones(len(batch)), batch[names].to_numpy()])
+            values = batch[names].to_numpy()
             y, fold = batch["label"].to_numpy(), batch["fold"].to_numpy()
+            seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for i, below, weights, beta in todo:
-                use = fold < below
-                if use.any():
-                    w = np.where(y[use] == 1.0, weights[1.0], weights[0.0])
-                    sums[i] = sums.get(i, 0.0) + _logistic_parts(x[use], y[use], w, beta)
-        for i, values in sums.items():
-            yield pd.DataFrame({"problem": i, "place": np.arange(len(values)), "value": values})
+                if below not in seen:
+                    use = fold < below
+                    mean, deviation = scale[below]
+                    seen[below] = np.column_stack([np.ones(int(use.sum())), (values[use] - mean) / deviation]), y[use]
+                x, labels = seen[below]
+                if len(labels):
+                    w = np.where(labels == 1.0, weights[1.0], weights[0.0])
+                    sums[i] = sums.get(i, 0.0) + _logistic_parts(x, labels, w, beta)
+        for i, found in sums.items():
+            yield pd.DataFrame({"problem": i, "place": np.arange(len(found)), "value": found})
 
     parts = rows.mapInPandas(partial, "problem int, place int, value double")
     totals = parts.groupBy("problem", "place").agg(F.sum("value").alias("value")).collect()
@@ -223,46 +269,67 @@ def _newton_step(p: _Problem, parts: np.ndarray) -> None:
     if p.best is not None and not loss <= p.loss * (1 + 1e-12):
         p.beta = (p.beta + p.best) / 2
         p.settled = bool(np.max(np.abs(p.beta - p.best)) < 1e-9)
-        return
-    p.best, p.loss = p.beta, loss
-    slope = parts[1 : k + 1] + ridge * p.beta
-    curve = parts[k + 1 :].reshape(k, k) + np.diag(ridge)
-    step = np.linalg.lstsq(curve, slope, rcond=None)[0]
-    p.beta = p.beta - step
-    p.settled = bool(np.max(np.abs(step)) < 1e-8 * (1.0 + np.max(np.abs(p.beta))))
-
-
-def _fold_accuracy(rows: DataFrame, names: list[str], problems: list[_Problem]) -> list[float]:
-    """Accuracy of each problem on its own fold, in one aggregation."""
+    else:
+        p.best, p.loss = p.beta, loss
+        slope = parts[1 : k + 1] + ridge * p.beta
+        curve = parts[k + 1 :].reshape(k, k) + np.diag(ridge)
+        step = np.linalg.lstsq(curve, slope, rcond=None)[0]
+        p.beta = p.beta - step
+        p.settled = bool(np.max(np.abs(step)) < 1e-8 * (1.0 + np.max(np.abs(p.beta))))
+    p.states.append(p.beta)
+
+
+def _fold_accuracy(rows: DataFrame, names: list[str], fits: list[tuple[int, np.ndarray]], scale: Scale) -> list[float]:
+    """Accuracy of each (fold, coefficients) on its own fold, in one aggregation."""
     hits, sizes = [], []
-    for i, p in enumerate(problems):
-        z = F.lit(float(p.best[0]))
-        for name, b in zip(names, p.best[1:]):
-            z = z + F.col(name) * float(b)
-        right = (F.col("fold") == p.fold) & ((z > 0) == (F.col("label") == 1.0))
+    for i, (fold, beta) in enumerate(fits):
+        mean, deviation = scale[fold]
+        z = F.lit(float(beta[0]))
+        for name, b, m, s in zip(names, beta[1:], mean, deviation):
+            z = z + (F.col(name) - float(m)) / float(s) * float(b)
+        right = (F.col("fold") == fold) & ((z > 0) == (F.col("label") == 1.0))
         hits.append(F.count_if(right).alias(f"h{i}"))
-        sizes.append(F.count_if(F.col("fold") == p.fold).alias(f"n{i}"))
+        sizes.append(F.count_if(F.col("fold") == fold).alias(f"n{i}"))
     r = rows.agg(*hits, *sizes).first()
-    return [r[f"h{i}"] / r[f"n{i}"] for i in range(len(problems))]
+    return [r[f"h{i}"] / r[f"n{i}"] for i in range(len(fits))]
+
+
+def _scales(train: DataFrame, features: list[str], folds: range, per_fold: bool) -> Scale:
+    """How the search standardises each fold: once for all on the whole training part, or on the fold's own."""
+    if not per_fold:
+        stats = train.agg(*[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
+        empty = [c for c, m in zip(features, stats) if m is None]
+        if empty:
+            raise ValueError(f"no values to train on in {empty}")
+        found = {(fold, c): (stats[i], stats[len(features) + i]) for fold in folds for i, c in enumerate(features)}
+    else:
+        found = {(r["fold"], r["feature"]): (r["mean"], r["deviation"]) for r in fold_statistics(train, features).collect()}
+    return {
+        fold: (np.array([found[fold, c][0] for c in features]), np.array([found[fold, c][1] or 1.0 for c in features]))
+        for fold in folds
+    }
 
 
 def grid_search(
-    train: DataFrame, features: list[str], max_passes: int = 60
+    train: DataFrame, features: list[str], max_passes: int = 60, scale_per_fold: bool = False,
+    limits: list[int] | None = None,
 ) -> tuple[SignalModel, list[tuple[Candidate, float]]]:
     """Search C, class weight and iteration limit over expanding time folds; fit the best on all rows.
 
-    ``train`` needs ``fold`` (see ``timesplit.with_folds``), ``label`` and the features.
-    The scaler is fitted on all of ``train`` first. The fits of all folds and candidates
+    ``train`` needs ``fold`` (see ``timesplit.with_folds``), ``label`` and the features. Features are standardised
+    by all of ``train``, or for each fold by what it trains on (``scale_per_fold``). The fits of all folds and candidates
     share each pass over the rows and take Newton steps, so the search costs about ten
-    passes instead of ten thousand; the winner is fitted once more with MLlib. Fits end
-    far below both iteration limits, which therefore score the same.
+    passes instead of ten thousand; the winner is fitted once more with MLlib. Every limit is scored with the
+    coefficients that a fit has after so many steps.
     """
-    steps = Pipeline(stages=feature_steps(train, features)).fit(train)
-    names = [f"z_{c}" for c in features]
-    rows = steps.transform(train).select("features", *names, "label", "fold").persist()
+    limits = GRID_MAX_ITER if limits is None else limits
+    if min(limits) < 1:
+        raise ValueError("a fit takes at least one step")
+    rows = train.select(*features, "label", "fold").persist()
     try:
         sizes = _class_sizes(rows, "fold")
         folds = range(1, max(sizes) + 1)
+        scale = _scales(rows, features, folds, scale_per_fold)
         plans = [(c, w) for c in GRID_C for w in GRID_CLASS_WEIGHT]
         problems = []
         for c, weight in plans:
@@ -271,27 +338,58 @@ def grid_search(
                 n = sum(counts.values())
                 even = {label: n / (2.0 * size) if size else 0.0 for label, size in counts.items()}
                 weights = even if weight == "balanced" else {0.0: 1.0, 1.0: 1.0}
-                problems.append(_Problem(fold, 1.0 / c, weights, np.zeros(len(names) + 1)))
-        for _ in range(max_passes):
-            for i, parts in _summed_parts(rows, names, problems).items():
+                problems.append(_Problem(fold, 1.0 / c, weights, np.zeros(len(features) + 1)))
+        for _ in range(min(max_passes, max(limits))):
+            for i, parts in _summed_parts(rows, features, problems, scale).items():
                 _newton_step(problems[i], parts)
             if all(p.settled for p in problems):
                 break
         unsettled = sum(not p.settled for p in problems)
-        if unsettled:
+        if unsettled and max(limits) > max_passes:
             raise RuntimeError(f"{unsettled} of {len(problems)} fits did not settle in {max_passes} passes")
-        share = _fold_accuracy(rows, names, problems)
+        # Limits that stop a fit at the same state share one score.
+        states = [(p.fold, p.after(limit)) for p in problems for limit in limits]
+        distinct = {(i // len(limits), beta.tobytes()): (fold, beta) for i, (fold, beta) in enumerate(states)}
+        share = dict(zip(distinct, _fold_accuracy(rows, features, list(distinct.values()), scale)))
         outcome = []
         for at, (c, weight) in enumerate(plans):
-            score = sum(share[at * len(folds) : (at + 1) * len(folds)]) / len(folds)
-            outcome += [(Candidate(c, weight, limit), score) for limit in GRID_MAX_ITER]
+            for limit in limits:
+                own = [(i, problems[i].after(limit).tobytes()) for i in range(at * len(folds), (at + 1) * len(folds))]
+                outcome.append((Candidate(c, weight, limit), sum(share[key] for key in own) / len(folds)))
         best, score = max(outcome, key=lambda pair: pair[1])
-        fitted = PipelineModel([*steps.stages, _fit(rows, best, _total(sizes))])
+        steps = Pipeline(stages=feature_steps(rows, features)).fit(rows)
+        fitted = PipelineModel([*steps.stages, _fit(steps.transform(rows).select("features", "label"), best, _total(sizes))])
     finally:
         rows.unpersist()
     return SignalModel(features, fitted, best, score), outcome
 
 
+def certificate(model: SignalModel, train: DataFrame) -> DataFrame:
+    """How far a fitted model is from the only best one: the slope of its loss on the rows that it was fitted on.
+
+    One row per coefficient: ``name``, ``coefficient``, ``gradient`` (of the summed, weighted loss with its penalty, per row;
+    zero at the optimum, which a strictly convex loss has just once) and ``n_rows``.
+    """
+    fitted, best = model.steps.stages[-1], model.best
+    scored = model.steps.transform(train).withColumn("_p1", vector_to_array("probability")[1])
+    counts = _total(_class_sizes(train.withColumn("_all", F.lit(0)), "_all"))
+    n, weight = sum(counts.values()), F.lit(1.0)
+    if best.class_weight == "balanced":
+        for label, size in counts.items():
+            weight = F.when(F.col("label") == label, n / (2.0 * size)).otherwise(weight)
+    error = weight * (F.col("_p1") - F.col("label"))
+    sums = scored.agg(
+        F.sum(error).alias("intercept"), *[F.sum(error * F.col(f"z_{c}")).alias(c) for c in model.features], F.count("*").alias("_n"),
+    )
+    # The intercept carries no penalty.
+    betas = [("intercept", float(fitted.intercept), 0.0)] + [(c, float(b), float(b) / best.c) for c, b in zip(model.features, fitted.coefficients)]
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.lit(b).alias("coefficient"), ((F.col(c) + F.lit(pull)) / F.col("_n")).alias("gradient"), F.col("_n").alias("n_rows"))
+        for c, b, pull in betas
+    ]))
+    return sums.select(rows.alias("r")).select("r.*")
+
+
 def accuracy(scored: DataFrame) -> DataFrame:
     """Accuracy and row count of a scored set."""
     hit = (F.col("prediction") == F.col("label")).cast("double")

@@ -1,14 +1,19 @@
 """Signals to positions: trade log by rule, sizing, fills, costs, statistics.
 
-Positions depend on their own past, so each ticker's bars are folded in date order by
-the SQL ``aggregate`` function. A ticker has at most one bar per calendar day (repeats
-raise), which bounds the array that a fold reads.
+Positions depend on their own past, so each ticker's bars are walked in date order, by one of two engines
+that agree bar by bar. ``positions`` folds an array of each ticker's bars with the SQL ``aggregate`` function; a ticker
+has at most one bar per calendar day (repeats raise), which bounds the array. ``streamed_positions`` reads
+sorted partitions as a stream and holds one open position, whatever the length of a series.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +137,103 @@ def positions(bars: DataFrame, rules: Rules, account: Account = Account()) -> Da
     )
 
 
+_STREAMED = (
+    "ticker_code string, entry_date date, exit_date date, buy_price double, sell_price double, "
+    "size bigint, holding_days int, exit_reason string"
+)
+
+
+@dataclass
+class _Walk:
+    """One ticker's walk: the open position, if any, and the bars it was held."""
+
+    rules: Rules
+    account: Account
+    ticker_code: str | None = None
+    last_day: int | None = None
+    entry: int | None = None
+    fill: float = 0.0
+    size: int = 0
+    days: int = 0
+
+    def begin(self, ticker_code: str) -> tuple | None:
+        """Start a ticker; the position that the last one left open."""
+        left = None if self.entry is None else (self.ticker_code, self.entry, None, self.fill, None, self.size, self.days, None)
+        self.ticker_code, self.last_day, self.entry = ticker_code, None, None
+        return left
+
+    def bar(self, day: int, close: float | None, signal: int | None, cash: float) -> tuple | None:
+        """The trade that a bar closes, if any."""
+        if day == self.last_day:
+            raise ValueError(f"repeated day for ticker {self.ticker_code}")
+        self.last_day = day
+        if self.entry is None:
+            if signal is not None and signal not in (0, 1):
+                raise ValueError(f"signal must be 0 or 1 for ticker {self.ticker_code}")
+            shares = math.floor(cash / close) if signal == 1 and close is not None and close > 0 else 0
+            if shares > 0:
+                self.entry, self.fill, self.size, self.days = day, close * (1.0 + self.account.slippage), shares, 0
+            return None
+        self.days += 1
+        reason = None
+        if self.days >= self.rules.holding_period:
+            if signal == 1:
+                self.days = 0  # a fresh signal extends
+            elif close is not None:
+                reason = HOLDING_PERIOD
+        elif close is not None:
+            reason = self._price_rule(close)
+        if reason is None:
+            return None
+        done = (self.ticker_code, self.entry, day, self.fill, close * (1.0 - self.account.slippage), self.size, self.days, reason)
+        self.entry = None
+        return done
+
+    def _price_rule(self, close: float) -> str | None:
+        rules, move = self.rules, close / self.fill - 1.0
+        if rules.use_stop_loss:
+            return STOP_LOSS if _eight_places(move, -rules.stop_loss_pct) <= -rules.stop_loss_pct else None
+        if rules.use_take_profit:
+            return TAKE_PROFIT if _eight_places(move, rules.take_profit_pct) >= rules.take_profit_pct else None
+        return None
+
+
+def _eight_places(move: float, limit: float) -> float:
+    """``move`` rounded half up to 8 places as Spark does; the digits matter only next to the limit."""
+    if abs(move - limit) > 1e-6 or not math.isfinite(move):
+        return move
+    return float(Decimal(repr(move)).quantize(Decimal("1e-8"), ROUND_HALF_UP))
+
+
+def streamed_positions(bars: DataFrame, rules: Rules, account: Account = Account()) -> DataFrame:
+    """``positions`` by a walk over sorted partitions: one exchange, no array of bars, no copy of finished trades."""
+    rows = bars.select("ticker_code", "date", F.col("close").cast("double").alias("close"), F.col("signal").cast("int").alias("signal"))
+    rows = rows.withColumn("_cash", notional(bars, account, rules.position_weight))
+    ordered = rows.repartition("ticker_code").sortWithinPartitions("ticker_code", "date")
+
+    def batch_of(trades: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*trades)) if trades else [[]] * 8
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.string())
+        arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds)]
+        arrays[1], arrays[2] = arrays[1].cast(pa.date32()), arrays[2].cast(pa.date32())
+        return pa.RecordBatch.from_arrays(arrays, ["ticker_code", "entry_date", "exit_date", "buy_price", "sell_price", "size", "holding_days", "exit_reason"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = _Walk(rules, account)
+        for batch in batches:
+            trades = []
+            days = batch.column(1).cast(pa.int32()).to_pylist()
+            codes, closes, signals, cash = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
+            for code, day, close, signal, share in zip(codes, days, closes, signals, cash):
+                if code != walk.ticker_code:
+                    trades.append(walk.begin(code))
+                trades.append(walk.bar(day, close, signal, share))
+            yield batch_of([t for t in trades if t is not None])
+        yield batch_of([t for t in [walk.begin("")] if t is not None])
+
+    return ordered.mapInArrow(run, _STREAMED)
+
+
 def with_profit(trades: DataFrame, account: Account = Account()) -> DataFrame:
     """Add ``pnl_pct`` (price move) and ``pnl_net`` (cash, after commission on both sides)."""
     buy, sell, size = F.col("buy_price"), F.col("sell_price"), F.col("size")

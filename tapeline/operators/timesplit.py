@@ -4,6 +4,9 @@ Rows are ordered by (date, ticker). A cut at a given rank is found from the numb
 rows per day (one small row per calendar day) and, on the day it falls in, from the
 tickers of that day alone. The split then is a plain comparison with literals, which
 needs no global sort, no join, and can be pushed into a scan.
+
+``with_sketched_split`` cuts between days instead, at a quantile of the dates from a mergeable sketch: one pass with
+buffers of a fixed size, for tables where even a count per day is too much.
 """
 
 from __future__ import annotations
@@ -90,6 +93,44 @@ def with_split(df: DataFrame, test_share: float = 0.2) -> DataFrame:
     return df.withColumn("split", F.when(cut.before(), "train").otherwise("test"))
 
 
+@dataclass(frozen=True)
+class SketchedCut:
+    """Rows up to and including ``day`` are for training; how many were wanted, and how far off the cut may be."""
+
+    day: date
+    n_rows: int
+    wanted: int
+    rank_error: float
+
+    def allowed(self) -> float:
+        """Rows by which the rank of the day may differ from the wanted one: before the day, or after it ends."""
+        return self.rank_error * self.n_rows + 1
+
+
+def sketched_cut(df: DataFrame, test_share: float = 0.2, rank_error: float = 1e-3) -> SketchedCut | None:
+    """The day that holds the last training row, by a quantile sketch; None for an empty table.
+
+    Some row of the day has a rank within ``rank_error`` times the rows of the wanted one.
+    """
+    if not 0 < rank_error < 1:
+        raise ValueError("the rank error lies between 0 and 1")
+    total, day = df.agg(
+        F.count("date"), F.approx_percentile("date", 1.0 - test_share, math.ceil(1 / rank_error)),
+    ).first()
+    return SketchedCut(day, total, total - math.ceil(test_share * total), rank_error) if total else None
+
+
+def with_sketched_split(df: DataFrame, test_share: float = 0.2, rank_error: float = 1e-3) -> DataFrame:
+    """``with_split`` at day borders: days up to the sketched cut are ``train``, later ones ``test``.
+
+    The training part ends within ``rank_error`` times the rows of the exact cut, plus what the cut's day holds after it.
+    """
+    cut = sketched_cut(df, test_share, rank_error)
+    if cut is None:
+        return df.withColumn("split", F.lit("test"))
+    return df.withColumn("split", F.when(F.col("date") <= F.lit(cut.day), "train").otherwise("test"))
+
+
 def with_folds(df: DataFrame, n_splits: int = 5) -> DataFrame:
     """Add ``fold`` from 0 to ``n_splits`` in time order; fold 0 takes the remainder.
 

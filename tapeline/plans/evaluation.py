@@ -48,6 +48,26 @@ def evaluate_hold(bars: DataFrame, account: Account = Account(), name: str = "be
     return Evaluation(none, curve, equity.performance(curve, none, name, account))
 
 
+@dataclass
+class Comparison:
+    """A strategy beside buy and hold of the same bars: both curves and both metrics records under one another."""
+
+    trades: DataFrame
+    curves: DataFrame
+    metrics: DataFrame
+
+
+def evaluate_both(
+    signalled: DataFrame, rules: Rules = DEFAULT_RULES, account: Account = Account(),
+    name: str = "strategy", benchmark: str = "benchmark",
+) -> Comparison:
+    """``evaluate_signals`` and ``evaluate_hold`` in one pass over the bars and one over the days."""
+    held = materialize(positions(signalled, rules, account))
+    trades = closed_trades(held, account)
+    curves = equity.both_curves(equity.both_profits(signalled, held, account), account, name, benchmark)
+    return Comparison(trades, curves, equity.both_performances(curves, trades, name, benchmark, account))
+
+
 def evaluate_model(
     table: DataFrame, model: SignalModel, rules: Rules = DEFAULT_RULES, account: Account = Account(),
     threshold: float = BACKTEST_THRESHOLD, csv_path: str | None = None,

@@ -13,8 +13,7 @@ from tapeline.functions.periods import extended_start, resolve_range
 from tapeline.operators.quality import null_counts
 from tapeline.plans.prices import Paths, fetched_bars, refresh_prices
 from tapeline.schemas import INDICATOR_NAMES, KEYS
-from tapeline.session import materialize
-from tapeline.sources import store
+from tapeline.sources import snapshots, store
 from tapeline.sources.bars import within
 
 
@@ -64,9 +63,11 @@ def refresh_indicators(
     check_names(names)
     wide = extended_start(first, lookback_rows(names))
     prices = store.load_prices(spark, paths.prices, tickers, wide, until)
-    # Read for the NULL report and for the save.
-    computed = materialize(trimmed_indicators(prices, first, until, names).select(*KEYS, *names))
-    counts = store.save_indicators(spark, paths.indicators, computed, version)
+    before = snapshots.current(spark, paths.prices)
+    buckets = before.buckets if before else snapshots.BUCKETS
+    # Read for the NULL report and for the save, and written as the stored bars lie: by ticker, without an exchange.
+    computed = snapshots.by_ticker(trimmed_indicators(prices, first, until, names).select(*KEYS, *names), buckets, clustered=True)
+    counts = store.save_indicators(spark, paths.indicators, computed, version, buckets, written=True)
     return IndicatorRun(counts, null_counts(computed))
 
 

@@ -25,11 +25,12 @@ class Training:
     accuracy: DataFrame
     report: DataFrame
     scores: list
+    train: DataFrame
 
 
 def train_signals(
     table: DataFrame, features: list[str] | None = None, horizon: int = 5, threshold: float = 0.02,
-    test_share: float = 0.2, n_splits: int = 5,
+    test_share: float = 0.2, n_splits: int = 5, scale_per_fold: bool = False,
 ) -> Training:
     """Train on a table of bars and indicators.
 
@@ -43,6 +44,7 @@ def train_signals(
         raise ValueError("no complete rows; widen the date range")
     split = with_split(rows, test_share)
     train = with_folds(split.where(F.col("split") == "train").drop("split"), n_splits)
-    model, scores = grid_search(train, features)
-    scored = model.score(split.where(F.col("split") == "test"))
-    return Training(model, accuracy(scored), classification_report(scored), scores)
+    model, scores = grid_search(train, features, scale_per_fold=scale_per_fold)
+    held_out = split.where(F.col("split") == "test").drop("split")
+    scored = model.score(held_out, beside=["ticker_code", "date", "label"])
+    return Training(model, accuracy(scored), classification_report(scored), scores, train)

@@ -35,6 +35,30 @@ def wide(key: Column, digits: int = 0) -> Column:
     return (key.cast("decimal(19,0)") * F.lit(Decimal(10**digits))).cast("decimal(38,0)")
 
 
+def order_key(rows: DataFrame, parts: dict[str, Column]) -> Column:
+    """One whole number that sorts ``rows`` by the parts, whole numbers themselves, from first to last.
+
+    The ends of all parts are looked up first, in one pass over these columns. Parts whose widths fit into 63 bits share
+    one long; wider ones go into a fixed-width decimal, the first part before the others.
+    """
+    names = list(parts)
+    ends = rows.agg(*[f(parts[c].cast("long")).alias(f"{c}_{f.__name__}") for c in names for f in (F.min, F.max)]).first()
+    low = {c: ends[f"{c}_min"] or 0 for c in names}
+    width = {c: ((ends[f"{c}_max"] or 0) - low[c]).bit_length() for c in names}
+
+    def packed(some: list[str]) -> Column:
+        key = F.lit(0).cast("long")
+        for c in some:
+            key = F.shiftleft(key, width[c]).bitwiseOR(parts[c].cast("long") - F.lit(low[c]).cast("long"))
+        return key
+
+    if sum(width.values()) <= 63:
+        return packed(names)
+    if sum(width[c] for c in names[1:]) <= 62:
+        return (wide(parts[names[0]], 19) + packed(names[1:]).cast("decimal(19,0)")).cast("decimal(38,0)")
+    raise ValueError(f"order of {names} needs {sum(width.values())} bits")
+
+
 def supplier_code(key: Column) -> Column:
     return padded_code(key)
 
@@ -47,18 +71,16 @@ def _by_kind(key: Column, values: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
 
 
-def trade_ticks(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as ticks; order, line and part give the sequence within a day.
-
-    They take their own digits of ``seq``: 5 for the line, 15 for the part, the rest for the order.
-    """
+def trade_ticks(spark: SparkSession, folder: str, sequence: bool = True) -> DataFrame:
+    """Line items as ticks; order, line and part give the sequence ``seq`` within a day, when it is asked for."""
+    rows = read_table(spark, folder, "lineitem")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    sequence = wide(F.col("l_orderkey"), 20) + wide(F.col("l_linenumber"), 15) + wide(F.col("l_partkey"))
-    return read_table(spark, folder, "lineitem").select(
+    parts = {"order": F.col("l_orderkey"), "line": F.col("l_linenumber"), "part": F.col("l_partkey")}
+    return rows.select(
         supplier_ticker(F.col("l_suppkey")).alias("ticker_code"),
         F.col("l_suppkey").alias("ticker_id"),
         F.col("l_shipdate").alias("ts"),
-        sequence.cast("decimal(38,0)").alias("seq"),
+        *([order_key(rows, parts).alias("seq")] if sequence else []),
         F.col("l_orderkey").alias("order_key"),
         price.alias("price"),
         (price * (F.lit(1.0) - F.col("l_discount"))).alias("adj_price"),
@@ -66,11 +88,14 @@ def trade_ticks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def event_ticks(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "events").select(
+def event_ticks(spark: SparkSession, folder: str, sequence: bool = True) -> DataFrame:
+    """Events as ticks, in order of time and event."""
+    rows = read_table(spark, folder, "events")
+    parts = {"time": F.unix_micros(F.col("ts").cast("timestamp")), "event": F.col("event_id")}
+    return rows.select(
         F.concat(F.lit("U"), padded_code(F.col("user_id"))).alias("ticker_code"),
         "ts",
-        (wide(F.unix_micros(F.col("ts").cast("timestamp")), 19) + wide(F.col("event_id"))).cast("decimal(38,0)").alias("seq"),
+        *([order_key(rows, parts).alias("seq")] if sequence else []),
         F.col("value").alias("price"),
         F.col("value").alias("adj_price"),
         F.lit(1).alias("volume"),

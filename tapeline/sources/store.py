@@ -1,9 +1,9 @@
-"""Stored tables: prices and indicators by year, the ticker dimension, the metrics file.
+"""Stored tables: prices and indicators in versioned cells, the ticker dimension, the metrics file.
 
-Facts are parquet folders partitioned by ``year`` and clustered by ticker inside, so
-date ranges prune folders and ticker filters prune row groups. A merge rewrites only
-the years it touches, through Spark's dynamic partition overwrite, which stages
-files and moves them at commit.
+Facts are snapshots of cells by month and ticker bucket (``tapeline.sources.snapshots``). A merge reads and
+rewrites only the cells that hold keys of the batch. One join finds the merged rows, repeated keys and
+what happened to each row; stored rows need no exchange for it, the batch needs one, or none when it was
+computed from stored rows. The new cells become valid in one step or not at all.
 """
 
 from __future__ import annotations
@@ -18,66 +18,57 @@ from pyspark.sql import types as T
 from tapeline import schemas
 from tapeline.operators import keyed
 from tapeline.session import materialize
+from tapeline.sources import snapshots
 from tapeline.sources.bars import of_tickers, within
 
-Merge = Callable[[DataFrame, DataFrame], DataFrame]
+Merge = Callable[[DataFrame, DataFrame, str], DataFrame]
+MARK = "_outcome"  # what the write that made a row did to it
 
 
-def _stored(schema: T.StructType) -> T.StructType:
-    return T.StructType(schema.fields + [T.StructField("year", T.IntegerType())])
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def _marked(schema: T.StructType) -> T.StructType:
+    return T.StructType(schema.fields + [T.StructField(MARK, T.ByteType())])
 
 
 def read_fact(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Stored fact, ``year`` included for pruning; empty when nothing is stored yet."""
-    full = _stored(schema)
-    if not _exists(spark, path):
-        return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(path)
+    """Stored fact, ``month`` and ``cell`` included for pruning; empty when nothing is stored yet."""
+    return snapshots.read(spark, path.rstrip("/"), schema, snapshots.current(spark, path.rstrip("/")))
 
 
-def _in_years(df: DataFrame, start: date | str | None, end: date | str | None) -> DataFrame:
+def _in_months(df: DataFrame, start: date | str | None, end: date | str | None) -> DataFrame:
     if start is not None:
-        df = df.where(F.col("year") >= int(str(start)[:4]))
+        df = df.where(F.col("month") >= str(start)[:7])
     if end is not None:
-        df = df.where(F.col("year") <= int(str(end)[:4]))
+        df = df.where(F.col("month") <= str(end)[:7])
     return df
 
 
-def write_fact(df: DataFrame, path: str) -> None:
-    """Write by year. ``rebalance`` evens out file sizes and splits a hot year."""
-    dated = df.withColumn("year", F.year("date"))
-    (
-        dated.hint("rebalance", "year").sortWithinPartitions("year", "ticker_code", "date")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("year").parquet(path)
-    )
-
-
 def merge_fact(
-    spark: SparkSession, path: str, schema: T.StructType, incoming: DataFrame, merge: Merge
+    spark: SparkSession, path: str, schema: T.StructType, incoming: DataFrame, merge: Merge,
+    buckets: int | None = None, written: bool = False,
 ) -> DataFrame:
     """Merge into a stored fact and return per-ticker row counts.
 
-    The incoming rows are written once to the shared folder first: they are read for
-    the key check, the list of years, the counts and the merge.
+    The incoming rows are written once to the shared folder first, by ticker, unless ``written`` says that
+    ``snapshots.by_ticker`` has done so. ``buckets`` counts when the table is new.
     """
-    batch = keyed.require_unique(materialize(incoming))
-    years = [r[0] for r in batch.select(F.year("date")).distinct().collect()]
-    existing = read_fact(spark, path, schema).where(F.col("year").isin(years)).drop("year")
-    values = [c for c in schemas.PRICE_VALUE_COLUMNS + schemas.INDICATOR_NAMES if c in batch.columns]
-    values = [c for c in values if c in existing.columns]
-    # The counts compare with the rows as they were, so they are fixed before the write.
-    counts = materialize(keyed.merge_counts(existing, batch, values))
-    write_fact(merge(existing, batch), path)
-    return counts
-
-
-def save_prices(spark: SparkSession, path: str, incoming: DataFrame, update_if_exists: bool = True) -> DataFrame:
+    path = path.rstrip("/")
+    before = snapshots.current(spark, path)
+    buckets = before.buckets if before else buckets or snapshots.BUCKETS
+    batch = incoming if written else snapshots.by_ticker(incoming, buckets)
+    named = snapshots.placed(batch.select(*schemas.KEYS), buckets)
+    touched = {(r["month"], r["cell"]) for r in named.select("month", "cell").distinct().collect()}
+    stored = snapshots.read(spark, path, schema, before)
+    existing = snapshots.in_cells(stored, touched).select(*schema.fieldNames())
+    made = snapshots.replace_cells(
+        spark, path, _marked(schema), before, buckets, touched,
+        merge(existing, batch, MARK).select(*schema.fieldNames(), MARK), F.col(MARK) == keyed.REPEATED,
+    )
+    return keyed.counts_by_mark(made, MARK)
+
+
+def save_prices(
+    spark: SparkSession, path: str, incoming: DataFrame, update_if_exists: bool = True, buckets: int | None = None
+) -> DataFrame:
     """Upsert bars (or insert only new keys) and return per-ticker row counts."""
     if "retrieved_at" not in incoming.columns:
         incoming = incoming.withColumn("retrieved_at", F.current_timestamp())
@@ -85,19 +76,22 @@ def save_prices(spark: SparkSession, path: str, incoming: DataFrame, update_if_e
     if missing:
         raise ValueError(f"price rows lack columns {missing}")
     fresh = incoming.select(*[F.col(f.name).cast(f.dataType) for f in schemas.PRICES.fields])
-    merge = keyed.upsert_prices if update_if_exists else keyed.insert_missing
-    return merge_fact(spark, path, schemas.PRICES, fresh, merge)
+    merge = keyed.upsert_prices if update_if_exists else keyed.add_prices
+    return merge_fact(spark, path, schemas.PRICES, fresh, merge, buckets)
 
 
-def save_indicators(spark: SparkSession, path: str, incoming: DataFrame, version: str = "v1.0") -> DataFrame:
+def save_indicators(
+    spark: SparkSession, path: str, incoming: DataFrame, version: str = "v1.0", buckets: int | None = None,
+    written: bool = False,
+) -> DataFrame:
     """Upsert the indicator columns that are present and return per-ticker row counts."""
     given = [c for c in schemas.INDICATOR_NAMES if c in incoming.columns]
     fresh = incoming.select(*schemas.KEYS, *given).withColumn("calculated_at", F.current_timestamp())
 
-    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        return keyed.upsert_indicators(old, new, version)
+    def merge(old: DataFrame, new: DataFrame, mark: str) -> DataFrame:
+        return keyed.upsert_indicators(old, new, version, mark)
 
-    return merge_fact(spark, path, schemas.INDICATORS, fresh, merge)
+    return merge_fact(spark, path, schemas.INDICATORS, fresh, merge, buckets, written)
 
 
 def load_prices(
@@ -108,7 +102,7 @@ def load_prices(
 
     ``ordered`` sorts by ticker and date, which costs a range shuffle; series jobs do not need it.
     """
-    rows = _in_years(read_fact(spark, path, schemas.PRICES), start, end)
+    rows = _in_months(read_fact(spark, path, schemas.PRICES), start, end)
     found = within(of_tickers(rows, tickers), start, end).select(
         *schemas.KEYS, *schemas.PRICE_VALUE_COLUMNS
     )
@@ -120,7 +114,7 @@ def load_indicators(
     start: date | str | None = None, end: date | str | None = None, ordered: bool = False,
 ) -> DataFrame:
     """The 21 indicator columns, with the contract of ``load_prices``."""
-    rows = _in_years(read_fact(spark, path, schemas.INDICATORS), start, end)
+    rows = _in_months(read_fact(spark, path, schemas.INDICATORS), start, end)
     found = within(of_tickers(rows, tickers), start, end).select(
         *schemas.KEYS, *schemas.INDICATOR_NAMES
     )
@@ -134,7 +128,7 @@ def load_tickers(tickers: DataFrame, codes: list[str] | None = None) -> DataFram
 
 
 def read_tickers(spark: SparkSession, path: str) -> DataFrame:
-    if not _exists(spark, path):
+    if not snapshots.exists(spark, path):
         return spark.createDataFrame([], schemas.TICKERS)
     return spark.read.schema(schemas.TICKERS).parquet(path)
 
@@ -145,32 +139,21 @@ def write_tickers(spark: SparkSession, path: str, tickers: DataFrame) -> None:
 
 
 def delete_tickers(spark: SparkSession, removed: DataFrame, tickers_path: str, fact_paths: dict[str, T.StructType]) -> None:
-    """Cascade delete from the dimension and from every fact."""
+    """Cascade delete from the dimension and from every fact, each in one step; only cells with rows to delete are rewritten."""
+    codes = materialize(removed.select("ticker_code").distinct())
     for path, schema in fact_paths.items():
-        touched = read_fact(spark, path, schema).join(removed.select("ticker_code"), "ticker_code", "left_semi")
-        years = [r[0] for r in touched.select("year").distinct().collect()]
-        rows = read_fact(spark, path, schema).where(F.col("year").isin(years)).drop("year")
-        kept = materialize(keyed.without_tickers(rows, removed))
-        left = {r[0] for r in kept.select(F.year("date")).distinct().collect()}
-        write_fact(kept, path)
-        for year in set(years) - left:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/year={year}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    write_tickers(spark, tickers_path, keyed.without_tickers(read_tickers(spark, tickers_path), removed))
-
-
-def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
-    """A bar table laid out by ticker, for repeated series jobs.
-
-    Bucketed and sorted the way the indicator windows want it, so that computing
-    indicators from it needs no shuffle. Returns the stored table.
-    """
-    rows = df.repartition(buckets, "ticker_code")
-    (
-        rows.write.mode("overwrite").option("path", path)
-        .bucketBy(buckets, "ticker_code").sortBy("ticker_code", "date").saveAsTable(table)
-    )
-    return df.sparkSession.table(table)
+        path = path.rstrip("/")
+        before = snapshots.current(spark, path)
+        if before is None:
+            continue
+        stored = snapshots.read(spark, path, schema, before)
+        hit = keyed.only_tickers(stored.select("ticker_code", "month", "cell"), codes)
+        touched = {(r["month"], r["cell"]) for r in hit.select("month", "cell").distinct().collect()}
+        if touched:
+            kept = keyed.without_tickers(snapshots.in_cells(stored, touched), codes)
+            kept = kept.select(*schema.fieldNames(), F.lit(keyed.KEPT).cast("byte").alias(MARK))
+            snapshots.replace_cells(spark, path, _marked(schema), before, before.buckets, touched, kept)
+    write_tickers(spark, tickers_path, keyed.without_tickers(read_tickers(spark, tickers_path), codes))
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

@@ -129,7 +129,7 @@ def test_newton_reaches_the_mllib_optimum(rows):
     names = [f"z_{c}" for c in FEATURES]
     problem = learn._Problem(1, 1 / 0.5, {0.0: 1.0, 1.0: 1.0}, np.zeros(4))
     for _ in range(30):
-        learn._newton_step(problem, learn._summed_parts(scaled, names, [problem])[0])
+        learn._newton_step(problem, learn._summed_parts(scaled, names, [problem], {1: (np.zeros(3), np.ones(3))})[0])
         if problem.settled:
             break
     data = VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
@@ -207,3 +207,86 @@ def test_whole_run(spark, tmp_path):
     assert metrics["trading_days"] > 300 and metrics["total_trades"] == result.trades.count()
     saved = spark.read.option("header", True).csv(str(tmp_path / "m"))
     assert saved.count() == 1 and "sharpe_ratio" in saved.columns
+
+
+def test_fold_statistics_match_separate_passes(spark, rows):
+    table = timesplit.with_folds(rows).withColumn("d", F.lit(7.0)).withColumn("e", F.when(F.col("fold") > 1, F.col("a") * 1e6 + 1e9))
+    names = [*FEATURES, "d", "e"]
+    got = {(r["fold"], r["feature"]): r for r in learn.fold_statistics(table, names).collect()}
+    for fold in range(1, 6):
+        part = table.where(F.col("fold") < fold)
+        for c in names:
+            n, mean, deviation = part.agg(F.count(c), F.avg(c), F.stddev_pop(c)).first()
+            if n == 0:
+                assert (fold, c) not in got
+                continue
+            r = got[fold, c]
+            assert r["n_rows"] == n and r["mean"] == pytest.approx(mean, rel=1e-12)
+            assert r["deviation"] == pytest.approx(deviation, rel=1e-9, abs=1e-9)
+
+
+def test_search_with_a_scaler_for_each_fold(spark, rows):
+    """Every fold's scores equal a fit on rows that were standardised by what the fold trains on."""
+    train = timesplit.with_folds(rows)
+    _, outcome = learn.grid_search(train, FEATURES, scale_per_fold=True, limits=[1000])
+    wanted = learn.Candidate(0.01, None, 1000)
+    shares = []
+    for fold in range(1, 6):
+        part, own = train.where(F.col("fold") < fold), train.where(F.col("fold") == fold)
+        model = learn.fit_model(part, FEATURES, wanted)
+        shares.append(model.evaluate(own).first()["test_accuracy"])
+    assert dict(outcome)[wanted] == pytest.approx(sum(shares) / 5)
+
+
+def test_iteration_limits_are_scored_by_their_own_states(spark, rows):
+    train = timesplit.with_folds(rows)
+    _, both = learn.grid_search(train, FEATURES, limits=[1, 1000])
+    _, low = learn.grid_search(train, FEATURES, limits=[1])
+    _, high = learn.grid_search(train, FEATURES)
+    both, low, high = dict(both), dict(low), dict(high)
+    assert low == {c: s for c, s in both.items() if c.max_iter == 1}
+    for c, s in both.items():
+        if c.max_iter == 1000:
+            assert s == high[c]
+    assert any(both[c] != both[learn.Candidate(c.c, c.class_weight, 1000)] for c in low)
+    with pytest.raises(ValueError):
+        learn.grid_search(train, FEATURES, limits=[0])
+
+
+def test_certificate_tells_the_best_fit(spark, rows):
+    for weight in (None, "balanced"):
+        model = learn.fit_model(rows, FEATURES, learn.Candidate(1.0, weight, 1000))
+        slopes = {r["name"]: r["gradient"] for r in learn.certificate(model, rows).collect()}
+        assert set(slopes) == {"intercept", *FEATURES} and max(map(abs, slopes.values())) < 1e-5
+        worse = learn.SignalModel(FEATURES, model.steps, learn.Candidate(1e-4, weight, 1000), 0.0)
+        assert max(abs(r["gradient"]) for r in learn.certificate(worse, rows).collect()) > 1e-3
+
+
+def test_exact_feature_set_when_scoring(spark, rows):
+    model = learn.fit_model(rows, FEATURES, learn.Candidate(1.0, None, 1000))
+    beside = [c for c in rows.columns if c not in FEATURES]
+    assert model.score(rows, beside=beside).count() == rows.count()
+    with pytest.raises(ValueError, match="extra"):
+        model.score(rows.withColumn("z", F.lit(1.0)), beside=beside)
+    with pytest.raises(ValueError, match="missing"):
+        model.score(rows.drop("a"), beside=beside)
+
+
+@pytest.mark.parametrize("error", [0.2, 0.01, 0.001])
+def test_sketched_cut_keeps_its_error(spark, error):
+    rng = np.random.default_rng(8)
+    days = [date(2020, 1, 1) + timedelta(days=int(abs(d))) for d in rng.normal(0, 300, 20_000)]
+    df = spark.createDataFrame([(d, "A") for d in days], "date date, ticker_code string").repartition(7)
+    cut = timesplit.sketched_cut(df, 0.2, error)
+    before, upto = sum(d < cut.day for d in days), sum(d <= cut.day for d in days)
+    assert (cut.n_rows, cut.wanted) == (20_000, 16_000)
+    assert before <= cut.wanted + cut.allowed() and upto >= cut.wanted - cut.allowed()
+    split = timesplit.with_sketched_split(df, 0.2, error).groupBy("split").count().collect()
+    assert {r[0]: r[1] for r in split} == {k: n for k, n in (("train", upto), ("test", 20_000 - upto)) if n}
+    exact = timesplit.with_split(df.withColumn("ticker_code", F.monotonically_increasing_id().cast("string")))
+    last = exact.where("split = 'train'").agg(F.max("date")).first()[0]
+    lower, upper = sorted((last, cut.day))
+    assert sum(lower < d < upper for d in days) <= cut.allowed()
+    assert timesplit.sketched_cut(df.limit(0)) is None
+    with pytest.raises(ValueError):
+        timesplit.sketched_cut(df, 0.2, 0.0)

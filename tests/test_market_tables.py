@@ -36,3 +36,17 @@ def test_failed_tickers_reads_each_ticker_once(spark):
     missing = views.without_data(asked, ticks)
     assert [r.ticker_code for r in missing.collect()] == ["B"]
     assert "HashAggregate" in missing._jdf.queryExecution().executedPlan().toString()
+
+
+def test_order_keys_sort_like_their_parts(spark):
+    """Packed into a long where the widths allow it, into a decimal where they do not, whatever the sign."""
+    big = 1 << 40
+    for rows in ([(3, 1, 9), (-5, 7, 2), (3, 1, 8), (3, 0, 10)], [(big, 3, big), (big, 3, -big), (-big, 9, 0), (big, 2, 5)]):
+        df = spark.createDataFrame(rows, "a long, b int, c long")
+        key = market.order_key(df, {c: F.col(c) for c in "abc"})
+        got = [tuple(r)[:3] for r in df.withColumn("key", key).orderBy("key").collect()]
+        assert got == sorted(rows)
+        kind = dict(df.select(key.alias("key")).dtypes)["key"]
+        assert kind == ("bigint" if max(rows)[0] < big else "decimal(38,0)")
+    none = spark.createDataFrame([], "a long, b int, c long")
+    assert none.select(market.order_key(none, {c: F.col(c) for c in "abc"}).alias("k")).count() == 0

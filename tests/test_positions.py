@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeline.operators import equity, positions, quality
-from tapeline.plans.evaluation import evaluate_hold, evaluate_signals
+from tapeline.plans.evaluation import evaluate_both, evaluate_hold, evaluate_signals
 from tapeline.operators.positions import Account, Rules
 
 ACCOUNT = Account(initial_cash=10_000.0, commission=0.001, slippage=0.01)
@@ -71,10 +71,11 @@ ALL_RULES = [
 
 
 @pytest.mark.parametrize("rules", ALL_RULES)
-def test_fold_agrees_with_a_loop(spark, rules):
+@pytest.mark.parametrize("engine", [positions.positions, positions.streamed_positions])
+def test_fold_agrees_with_a_loop(spark, rules, engine):
     rows = walk()
     bars = spark.createDataFrame(rows, "ticker_code string, date date, close double, signal int").repartition(3)
-    held = positions.positions(bars, rules, ACCOUNT).cache()
+    held = engine(bars, rules, ACCOUNT).cache()
     weight = rules.position_weight or 1 / 4
     closed, still = loop_trades(rows, rules, ACCOUNT, weight)
     got = [tuple(r) for r in positions.closed_trades(held, ACCOUNT).select(
@@ -199,3 +200,69 @@ def test_transactions(spark):
     moves = positions.transactions(held).collect()
     closed = held.where("exit_date is not null").count()
     assert len(moves) == held.count() + closed and all(m["value"] == -m["amount"] * m["price"] for m in moves)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_both_engines_agree_on_random_rules(spark, seed):
+    rng = np.random.default_rng(100 + seed)
+    rules = Rules(int(rng.integers(1, 12)), bool(rng.integers(2)), float(rng.uniform(0.01, 0.08)), bool(rng.integers(2)), float(rng.uniform(0.01, 0.08)), None)
+    rows = walk(n_tickers=30, days=200, seed=seed) + [("NONE", START, None, None), ("ZERO", START, 0.0, 1), ("ONE", START, 5.0, 1)]
+    bars = spark.createDataFrame(rows, "ticker_code string, date date, close double, signal int")
+    a, b = positions.positions(bars, rules, ACCOUNT), positions.streamed_positions(bars, rules, ACCOUNT)
+    assert a.count() > 100 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_streamed_walk_carries_state_across_batches(spark):
+    days = 500
+    rows = [("A", START + timedelta(days=i), 10.0 + i % 7, int(i % 9 == 0)) for i in range(days)]
+    bars = spark.createDataFrame(rows, "ticker_code string, date date, close double, signal int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        got = positions.streamed_positions(bars, ALL_RULES[0], ACCOUNT).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(got) == sorted(positions.positions(bars, ALL_RULES[0], ACCOUNT).collect()) and len(got) > 20
+
+
+def test_limits_are_met_to_eight_places(spark):
+    # A fall of exactly five hundredths, up to the last bits of the division.
+    account = Account(initial_cash=1000.0, commission=0.0, slippage=0.0)
+    rows = [(f"T{i}", START + timedelta(days=d), c, int(d == 0)) for i in range(1, 60) for d, c in enumerate([i / 7, i / 7 * 0.95, i / 7])]
+    rows += [(f"U{i}", START + timedelta(days=d), c, int(d == 0)) for i in range(1, 60) for d, c in enumerate([1.0, 0.95 + i * 1e-9 - 3e-8, 1.0])]
+    bars = spark.createDataFrame(rows, "ticker_code string, date date, close double, signal int")
+    rules = Rules(9, True, 0.05, False, 0.1, 0.5)
+    a, b = positions.positions(bars, rules, account), positions.streamed_positions(bars, rules, account)
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and a.where("exit_reason = 'STOP_LOSS'").count() > 59
+
+
+def test_streamed_walk_refuses_repeated_days_and_odd_signals(spark):
+    rows = [("A", START, 1.0, 0), ("A", START, 2.0, 0)]
+    schema = "ticker_code string, date date, close double, signal int"
+    with pytest.raises(Exception, match="repeated day"):
+        positions.streamed_positions(spark.createDataFrame(rows, schema), ALL_RULES[0], ACCOUNT).collect()
+    with pytest.raises(Exception, match="signal must be 0 or 1"):
+        positions.streamed_positions(spark.createDataFrame([("A", START, 1.0, 3)], schema), ALL_RULES[0], ACCOUNT).collect()
+
+
+@pytest.mark.parametrize("rules", ALL_RULES[:3])
+def test_both_curves_in_one_pass(spark, rules):
+    """The comparison's curves and records equal those of separate evaluations, and need no nested loops."""
+    rows = walk(n_tickers=6) + [("LATE", START + timedelta(days=400), 3.0, 0), ("NONE", START + timedelta(days=500), None, 0)]
+    bars = spark.createDataFrame(rows, "ticker_code string, date date, close double, signal int")
+    both = evaluate_both(bars, rules, ACCOUNT)
+    apart = [evaluate_signals(bars, rules, ACCOUNT), evaluate_hold(bars, ACCOUNT)]
+    for e, name in zip(apart, ("strategy", "benchmark")):
+        want = {r["date"]: r["value"] for r in e.curve.collect()}
+        got = {r["date"]: r["value"] for r in both.curves.where(F.col("strategy") == name).collect()}
+        assert got.keys() == want.keys() and all(got[d] == pytest.approx(v, abs=1e-6) for d, v in want.items())
+        mine, theirs = e.metrics.first().asDict(), both.metrics.where(F.col("strategy") == name).first().asDict()
+        assert mine.keys() == theirs.keys()
+        for c, v in mine.items():
+            assert theirs[c] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v)
+    table = equity.versus_of_records(both.metrics)
+    assert {r["metric"] for r in table.collect()} == {*equity.VERSUS_METRICS, "alpha"}
+    old = {r["metric"]: r["difference"] for r in equity.versus_benchmark(apart[0].metrics, apart[1].metrics).collect()}
+    assert all(r["difference"] == pytest.approx(old[r["metric"]], abs=1e-9) for r in table.collect())
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan

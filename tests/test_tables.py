@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+import random
+from datetime import date, timedelta, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,22 +92,13 @@ def test_store_round_trip(spark, tmp_path):
     assert closes(got) == {("A", D2): 8.0}
     assert got.columns == ["ticker_code", "date", *schemas.PRICE_VALUE_COLUMNS]
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(year" in plan
+    assert "PartitionFilters: [isnotnull(month" in plan
     assert store.load_prices(spark, path, ["NONE"]).isEmpty()
     assert store.load_prices(spark, str(tmp_path / "none"), ["A"]).isEmpty()
     with pytest.raises(ValueError):
         store.save_prices(spark, path, spark.createDataFrame([("A", D1)], "ticker_code string, date date"))
 
 
-def test_bucketed_bars_need_no_shuffle(spark, make_bars, tmp_path):
-    bars = make_bars({c: [10.0 + i for i in range(40)] for c in ("A", "B", "C")})
-    stored = store.write_bucketed(bars, "bucketed_bars", str(tmp_path / "b"), 4)
-    table = with_indicators(stored, ["ma_5", "rsi", "bb_mid"])
-    assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
-    assert table.count() == 120
-    spark.sql("DROP TABLE bucketed_bars")
-
-
 def test_cascade_delete(spark, tmp_path):
     facts, dim = str(tmp_path / "prices"), str(tmp_path / "tickers")
     store.save_prices(spark, facts, prices(spark, [("A", date(2021, 5, 5), 1.0, T1), ("A", D1, 2.0, T1), ("B", D1, 5.0, T1)]))
@@ -140,6 +132,33 @@ def test_gap_fill(spark, make_bars):
         gaps.fill_gaps(bars.unionByName(bars), some).collect()
 
 
+def test_gaps_by_ordinals_match_a_plain_loop(spark):
+    rng = random.Random(9)
+    first = date(2021, 1, 1)
+    days = [first + timedelta(days=i) for i in range(120)]
+    open_days = {e: sorted(rng.sample(days, rng.choice([1, 5, 60, 119]))) for e in ("XKRX", "XTKS", "XHKG")}
+    kinds = {".KS": "XKRX", ".T": "XTKS", ".HK": "XHKG", "": "XNYS"}
+    held = {f"{i:03d}{s}": sorted(rng.sample(days, rng.randint(1, 40))) for i in range(12) for s in kinds}
+    rows = [(c, d, float(i)) for c, own in held.items() for i, d in enumerate(own)] + [("A.UW", first, 1.0)]
+    bars = spark.createDataFrame(rows, "ticker_code string, date date, close double")
+    table = spark.createDataFrame([(e, d) for e, own in open_days.items() for d in own] * 2 + [("XXXX", first), ("XKRX", None)], "exchange string, date date")
+    missing, filled, only = set(), set(), set()
+    for code, own in held.items():
+        sessions_ = open_days.get(kinds[code.lstrip("0123456789")], [])
+        gone = {d for d in sessions_ if own[0] < d < own[-1] and d not in own}
+        missing |= {(code, d) for d in gone}
+        filled |= {(code, d) for d in gone | set(own)}
+        only |= {(code, d) for d in gone | (set(own) & set(sessions_))}
+    keys = lambda df: sorted((r["ticker_code"], r["date"]) for r in df.collect())
+    assert keys(gaps.missing_sessions(bars, table)) == sorted(missing)
+    got = gaps.fill_gaps(bars, table)
+    assert keys(got) == sorted(filled) and got.where("close IS NOT NULL").count() == len(rows) - 1
+    assert keys(gaps.fill_gaps(bars, table, drop_non_sessions=True)) == sorted(only)
+    # Only missing sessions become rows: no calendar day is generated and looked up.
+    (generate,) = [x for x in gaps.fill_gaps(bars, table)._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate" in x]
+    assert "sequence(" not in generate and "_missing" in generate
+
+
 def test_calendar(spark, tmp_path):
     open_days = calendars.open_sessions(sessions(spark, [D1, D2]), calendars.holiday_table(spark, {"XKRX": [str(D2)], "XNYS": [], "XNAS": None}))
     assert [r["date"] for r in open_days.collect()] == [D1]
