@@ -19,7 +19,7 @@ from tapeline.functions.numeric import nan_to_null, rounded, to_double
 from tapeline.functions.periods import period_range
 from tapeline.operators import equity, gaps, keyed, labels, learn, positions, quality, timesplit, views
 from tapeline.plans import evaluation, training
-from tapeline.plans.indicators import IndicatorRun, full_table, refresh_indicators, trimmed_indicators
+from tapeline.plans.indicators import IndicatorRun, full_table, indicator_version_counts, refresh_indicators, trimmed_indicators
 from tapeline.plans.prices import Paths, fetched_bars
 from tapeline.session import materialize, new_folder
 from tapeline.sources import bars as barsrc
@@ -170,6 +170,13 @@ def listing_scan(spark, d):
     return market.listing(spark, d)
 
 
+@query
+def local_days(spark, d):
+    """Events per trading day in an exchange's own time zone."""
+    ticks = market.event_ticks(spark, d, sequence=False).select(barsrc.local_day(F.col("ts"), "Asia/Seoul").alias("date"))
+    return ticks.groupBy("date").agg(F.count("*").alias("n_rows"))
+
+
 @query
 def bar_file(spark, d):
     """The bars written as a CSV file and scanned again."""
@@ -262,6 +269,12 @@ def tickers_by_exchange(spark, d):
     return rows.select("exchange", "pos", "ticker_code")
 
 
+@query
+def explicit_universe(spark, d):
+    """A universe by named exchanges, as a run's settings pick it."""
+    return listings.pick_universe(spark, None, ["NYSE", "kospi"], market.listing(spark, d))
+
+
 # ---------------------------------------------------------------- keyed merges
 
 def _old_prices(spark: SparkSession, d: str) -> DataFrame:
@@ -377,6 +390,16 @@ def indicator_refresh_nulls(spark, d):
     return _indicator_run(spark, d)[1].nulls
 
 
+@query
+def indicator_versions(spark, d):
+    """Stored rows by the version that first calculated them, after two saves."""
+    paths = Paths(tickers=new_folder(spark), prices=new_folder(spark), indicators=new_folder(spark))
+    table = materialize(_indicators(spark, d, ["bb_mid"]).select("ticker_code", "date", "bb_mid"))
+    store.save_indicators(spark, paths.indicators, barsrc.within(table, None, OLD_END), "v0.9")
+    store.save_indicators(spark, paths.indicators, barsrc.within(table, NEW_START, None))
+    return indicator_version_counts(spark, paths)
+
+
 @query
 def latest_price_per_key(spark, d):
     """A batch with repeated keys, resolved to the last row by a tie-break column."""
@@ -484,6 +507,12 @@ def gap_fill_sessions_only(spark, d):
     return published(gaps.fill_gaps(_bars(spark, d), _sessions(spark, d), drop_non_sessions=True))
 
 
+@query
+def traded_sessions(spark, d):
+    """Sessions as the bars themselves show them."""
+    return calendars.sessions_of(_bars(spark, d))
+
+
 @query
 def missing_sessions(spark, d):
     return gaps.missing_sessions(_bars(spark, d), _sessions(spark, d))
@@ -551,6 +580,11 @@ def series_check(spark, d):
     return quality.series_check(ticks, "seq", F.floor(F.col("order_key") / 4096))
 
 
+@query
+def rows_per_ticker(spark, d):
+    return quality.rows_per_ticker(quality.require_rows(market.trade_ticks(spark, d, sequence=False)))
+
+
 @query
 def adjusted_bars(spark, d):
     rows = ind.adjusted_bars(_bars(spark, d))
@@ -842,14 +876,15 @@ def bad_signals(spark, d):
 
 @query
 def trade_log(spark, d):
-    held = positions.positions(_signalled(spark, d), RULES, ACCOUNT)
+    """The trade log by a walk over sorted partitions."""
+    held = positions.streamed_positions(_signalled(spark, d), RULES, ACCOUNT)
     return published(positions.closed_trades(held, ACCOUNT))
 
 
 @query
-def trade_log_streamed(spark, d):
-    """The trade log by the second engine, a walk over sorted partitions."""
-    held = positions.streamed_positions(_signalled(spark, d), RULES, ACCOUNT)
+def trade_log_folded(spark, d):
+    """The trade log by the other engine, a fold of each ticker's bars."""
+    held = positions.positions(_signalled(spark, d), RULES, ACCOUNT)
     return published(positions.closed_trades(held, ACCOUNT))
 
 

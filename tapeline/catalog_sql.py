@@ -609,7 +609,7 @@ def statements() -> dict[str, str]:
             WHERE b.ticker_code IN (SELECT ticker_code FROM rule WHERE raw IS NOT NULL AND date >= {_NEW_START})""",
         "bad_signals": f"WITH {_RULE} SELECT ticker_code, date FROM rule WHERE raw IS NULL",
         "trade_log": f"{_RECURSIVE} {_POSITIONS} {_TRADES}",
-        "trade_log_streamed": f"{_RECURSIVE} {_POSITIONS} {_TRADES}",
+        "trade_log_folded": f"{_RECURSIVE} {_POSITIONS} {_TRADES}",
         "trade_log_take_profit": f"{_RECURSIVE} {_positions(catalog.TAKE_RULES)} {_TRADES}",
         "open_positions": f"{_RECURSIVE} {_POSITIONS} SELECT ticker_code, entry_date, {r4('buy_price')}, size, holding_days FROM still",
         "trade_stats": f"""{_RECURSIVE} {_POSITIONS} SELECT count(*) AS total_trades,
@@ -639,6 +639,12 @@ def statements() -> dict[str, str]:
             UNION ALL SELECT strategy, {_metric_list(KEY_METRICS)} FROM tc, tt""",
         "strategy_vs_benchmark": _versus(),
     }
+    sql["local_days"] = "SELECT CAST(ts + INTERVAL 9 HOUR AS DATE) AS date, count(*) AS n_rows FROM events GROUP BY 1"
+    sql["rows_per_ticker"] = f"WITH {_TICKS} SELECT ticker_code, count(*) AS n_rows FROM ticks GROUP BY 1"
+    sql["traded_sessions"] = f"WITH {_TICKS}, {_ALL_SESSIONS} SELECT * FROM all_sessions WHERE exchange IS NOT NULL"
+    sql["indicator_versions"] = f"""WITH {_BARS} SELECT CASE WHEN date <= {_OLD_END} THEN 'v0.9' ELSE 'v1.0' END AS calculated_version,
+        count(*) AS n_rows FROM bars GROUP BY 1"""
+    sql["explicit_universe"] = f"WITH {_universe([_US[0], _KOREAN[0]])} SELECT * FROM universe"
     sql["bar_file"] = sql["bars_daily"]
     sql["listing_file"] = sql["korean_listing"]
     sql["holiday_file"] = sql["holiday_list"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from tapeline.operators import equity
 from tapeline.operators.learn import BACKTEST_THRESHOLD, SignalModel, model_signals
-from tapeline.operators.positions import Account, Rules, closed_trades, positions
+from tapeline.operators.positions import Account, Rules, closed_trades, streamed_positions
 from tapeline.session import materialize, small_table
 from tapeline.sources.store import write_metrics
 
@@ -34,7 +34,7 @@ def evaluate_signals(
 
     The positions are written once: the trade log, the curve and the metrics read them.
     """
-    held = materialize(positions(signalled, rules, account))
+    held = materialize(streamed_positions(signalled, rules, account))
     trades = closed_trades(held, account)
     profit = equity.position_profit(signalled, held, account)
     curve = equity.equity_curve(profit, account, name)
@@ -62,7 +62,7 @@ def evaluate_both(
     name: str = "strategy", benchmark: str = "benchmark",
 ) -> Comparison:
     """``evaluate_signals`` and ``evaluate_hold`` in one pass over the bars and one over the days."""
-    held = materialize(positions(signalled, rules, account))
+    held = materialize(streamed_positions(signalled, rules, account))
     trades = closed_trades(held, account)
     curves = equity.both_curves(equity.both_profits(signalled, held, account), account, name, benchmark)
     return Comparison(trades, curves, equity.both_performances(curves, trades, name, benchmark, account))

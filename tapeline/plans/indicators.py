@@ -64,7 +64,7 @@ def refresh_indicators(
     wide = extended_start(first, lookback_rows(names))
     prices = store.load_prices(spark, paths.prices, tickers, wide, until)
     before = snapshots.current(spark, paths.prices)
-    buckets = before.buckets if before else snapshots.BUCKETS
+    buckets = before.buckets if before else snapshots.LEAST_BUCKETS
     # Read for the NULL report and for the save, and written as the stored bars lie: by ticker, without an exchange.
     computed = snapshots.by_ticker(trimmed_indicators(prices, first, until, names).select(*KEYS, *names), buckets, clustered=True)
     counts = store.save_indicators(spark, paths.indicators, computed, version, buckets, written=True)

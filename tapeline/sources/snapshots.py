@@ -29,11 +29,16 @@ from pyspark.sql import types as T
 
 from tapeline.session import new_folder, small_table
 
-BUCKETS = 16
+BUCKET_TICKERS, LEAST_BUCKETS = 256, 4
 LAYOUT = [T.StructField("month", T.StringType()), T.StructField("cell", T.IntegerType())]
 Cell = tuple[str, int]
 
 
+def bucket_count(tickers: int) -> int:
+    """Buckets for a table of so many tickers: a power of two, with room for growth."""
+    return max(LEAST_BUCKETS, 1 << max(0, (tickers - 1) // BUCKET_TICKERS).bit_length())
+
+
 def month_of(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 

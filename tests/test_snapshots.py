@@ -180,3 +180,10 @@ def test_marks_tell_what_a_merge_did(spark):
     added = keyed.add_prices(old, new, "m").where(F.col("m") != keyed.KEPT)
     assert {(r["ticker_code"], r["date"].day): r["m"] for r in added.collect()} == {(a, 3): keyed.SAME, (b, 3): keyed.SAME, (a, 4): keyed.ADDED}
     assert rows_of(keyed.add_prices(old, new)) == rows_of(keyed.insert_missing(old, new))
+
+
+def test_buckets_grow_with_the_tickers(spark, tmp_path):
+    counts = [snapshots.bucket_count(n) for n in (0, 1, 1000, 1025, 10_000, 1_000_000)]
+    assert counts == [4, 4, 4, 8, 64, 4096]
+    store.save_prices(spark, str(tmp_path / "p"), bars(spark, [date(2023, 1, 2)]))
+    assert snapshots.current(spark, str(tmp_path / "p")).buckets == 4
