@@ -8,20 +8,22 @@ sketch of fixed size, since the shingles of a corpus are almost all distinct.
 1. Documents with the same shingle counts form one text; later steps see one row per text.
 2. ``BANDS * ROWS`` ICWS samples agree between two texts with the probability of their weighted
    Jaccard similarity. Texts that agree in a whole band meet in a bucket.
-3. In each bucket, members are compared with one hub, then those still in different groups with up to
+3. Each bucket has a hub, and a text is compared with the smallest of its buckets' hubs first. Where a bucket still holds
+   different groups, its members are compared with its hub, then those in different groups with up to
    ``HUBS`` hubs, then all that are left in different groups with each other. A large group of near
-   copies so costs a few comparisons per member, and no pair that could join two groups is skipped.
+   copies so costs about one comparison per member, and no pair that could join two groups is skipped.
 4. A comparison is exact: weighted Jaccard similarity of at least 0.8 of the whole texts. Members of a
    hub are dealt out over tasks in portions of ``PORTION``. Of what is left, buckets of over ``SMALL``
    members are compared in blocks: two cells of members go to one task, which bounds all their
    similarities by matrix products, checks what the bound leaves, and returns links only.
-5. Groups are connected components, by minimum labels with pointer jumping in Spark.
+5. Groups are connected components, by pointers to the smallest neighbour and contraction in Spark.
 
 Defined results: NULL and empty texts are alone in their group; texts without words
 are grouped with exact copies only; a text of
 fewer than five words is one shingle; NULL ``doc_id`` counts as the smallest number; rows
 of one ``doc_id`` are told apart and ordered by a hash of their text; the group is named after its
-first row (``doc_id``, then hash), and that row stays; of rows equal in both one stays.
+first row (``doc_id``, then hash), and that row stays; of rows equal in both one stays. Texts of
+any length are read whole; an empty table gives no rows; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -211,9 +213,10 @@ def _compare(weights: Weights):
 
 def _verified(texts: DataFrame, pairs: DataFrame, weights: Weights) -> DataFrame:
     """Those of ``pairs`` (hub, member) that are similar; ``texts`` has ``text_id`` and ``text``."""
-    portion = F.pmod(F.xxhash64("member"), F.greatest(F.lit(1), F.ceil(F.col("n") / PORTION)).cast("long"))
-    sizes = pairs.groupBy("hub").agg(F.count("*").alias("n"))
-    dealt = materialize(pairs.join(sizes, "hub").select("hub", "member", portion.alias("portion")))
+    portion = F.pmod(F.xxhash64("member"), F.ceil(F.coalesce("n", F.lit(1)) / PORTION).cast("long"))
+    # Hubs of more than a portion, few beside the pairs.
+    sizes = broadcast_if_few(materialize(pairs.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > PORTION)), F.lit(2))
+    dealt = materialize(pairs.join(sizes, "hub", "left").select("hub", "member", portion.alias("portion")))
     heads = dealt.select("hub", "portion").distinct().withColumn("member", F.lit(-1).cast("long"))
     rows = (
         dealt.join(texts, F.col("member") == F.col("text_id"))
@@ -225,18 +228,32 @@ def _verified(texts: DataFrame, pairs: DataFrame, weights: Weights) -> DataFrame
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``text_id`` and ``label`` (the smallest number reached) of every end of ``edges`` (a, b)."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("text_id")).agg(F.least(F.min("b"), F.col("text_id")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("text_id").alias("b"), "label"), "b").groupBy(F.col("a").alias("text_id")).agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("text_id").alias("label"), F.col("label").alias("jump"))
-        step = labels.join(near, "text_id").join(jump, "label", "left")
-        new = F.least("label", "near", "jump")
-        step = materialize(step.select("text_id", new.alias("label"), (new < F.col("label")).alias("moved")))
-        labels = step.select("text_id", "label")
-        if not step.where("moved").take(1):
-            return labels
+    """``text_id`` and ``label`` (the smallest number reached) of every end of ``edges`` (a, b).
+
+    Each round every number points to its smallest neighbour, if that is smaller, and pointers are followed to their ends.
+    The edges are then drawn between these ends only, without loops and repeats, so that their table shrinks from round to round.
+    """
+    left = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    found = None
+    while left.take(1):
+        ends = left.select("a", "b").union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+        points = materialize(ends.select(F.col("a").alias("text_id"), F.least("a", "b").alias("label")))
+        while True:
+            jump = points.select(F.col("text_id").alias("label"), F.col("label").alias("further"))
+            step = materialize(points.join(jump, "label").select("text_id", F.col("further").alias("label"), (F.col("further") < F.col("label")).alias("moved")))
+            points = step.select("text_id", "label")
+            if not step.where("moved").take(1):
+                break
+        for end in ("a", "b"):
+            left = left.join(points.select(F.col("text_id").alias(end), F.col("label").alias(f"{end}_label")), end)
+        left = left.select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b"))
+        left = materialize(left.where("a < b").distinct())
+        if found is None:
+            found = points
+        else:
+            later = points.select(F.col("text_id").alias("label"), F.col("label").alias("later"))
+            found = materialize(found.join(later, "label", "left").select("text_id", F.coalesce("later", "label").alias("label")))
+    return edges.sparkSession.createDataFrame([], "text_id long, label long") if found is None else found
 
 
 def _bucket_pairs(buckets: DataFrame, hubs: int | None) -> DataFrame:
@@ -252,6 +269,11 @@ def _bucket_pairs(buckets: DataFrame, hubs: int | None) -> DataFrame:
     return met.select("hub", F.col("text_id").alias("member")).distinct()
 
 
+def _elected_pairs(buckets: DataFrame) -> DataFrame:
+    """One pair for each text, with the smallest of the hubs of its buckets."""
+    return _bucket_pairs(buckets, 1).groupBy("member").agg(F.min("hub").alias("hub")).select("hub", "member")
+
+
 def _block_links(weights: Weights):
     """Links between the members of two cells of a bucket (of one cell, if they are the same)."""
 
@@ -319,7 +341,7 @@ def _links(docs: DataFrame, signed: DataFrame, weights: Weights) -> tuple[DataFr
     contents = docs.select(document_id().alias("doc"), text_hash().alias("row"), "text").join(wanted, ["doc", "row"]).select("text_id", "text")
     contents = materialize(contents.dropDuplicates(["text_id"]))
     edges = tested = labels = None
-    for hubs in (1, HUBS, None):
+    for hubs in (0, 1, HUBS, None):
         if labels is None:
             buckets = members.withColumn("label", F.col("text_id"))
         else:
@@ -332,7 +354,7 @@ def _links(docs: DataFrame, signed: DataFrame, weights: Weights) -> tuple[DataFr
                     edges = edges.union(materialize(_large_links(contents, large, weights)))
                     labels = components(edges)
                 buckets = buckets.where(F.col("n") <= SMALL)
-        pairs = _bucket_pairs(buckets, hubs)
+        pairs = _elected_pairs(buckets) if hubs == 0 else _bucket_pairs(buckets, hubs)
         if tested is not None:
             both = tested.union(tested.select("member", "hub"))
             pairs = pairs.join(both, ["hub", "member"], "left_anti")
