@@ -12,7 +12,8 @@ notices, adverts, forms and reader comments around the article. Training takes p
 the driver with a fixed seed; extraction is one narrow pass over all pages.
 
 Defined results: NULL and empty pages give an empty text; script, style, comment and head
-content is never text; a script ends at its own end tag whatever stands in it; a head left open ends at the
+content is never text, nor are drawings and templates, but formulas and what objects hold are; a drawing left open ends at
+the first element of a page, a template without an end tag is none; a script ends at its own end tag whatever stands in it; a head left open ends at the
 first text or element that cannot stand in a head; unclosed tags end with their block; every row gives one row; pages of any
 length are read whole (over ``WINDOW`` blocks in overlapping windows).
 """
@@ -27,10 +28,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.llm.common import bound_batches
+
 PATH_DIM, WORD_DIM, PLAIN_DIM = 96, 32, 6
 DIM = PATH_DIM + WORD_DIM + PLAIN_DIM
 HIDDEN = 16
@@ -48,8 +51,13 @@ BLOCKS = frozenset(
     "table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript svg math iframe object textarea title head".split())
-# Of those, the ones whose content holds no tags and no comments, and what may stand in a head.
+RAW = frozenset("script style template noscript svg iframe textarea title head".split())
+# Elements that end a drawing which was left open, as browsers take them.
+NO_DRAWING = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre "
+    "ruby s small span strike strong sub sup table tt u ul var".split()
+)
+# Of the raw ones, those whose content holds no tags and no comments, and what may stand in a head.
 PLAIN = frozenset("script style noscript iframe textarea title".split())
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 # Elements whose start ends an open paragraph or an open element of their own kind.
@@ -110,6 +118,15 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     current: Block | None = None
     at, skip, head, links = 0, None, False, 0
+    inside = within = 0  # open elements of the skipped kind, and of embedded pages in a drawing
+    last = page.rfind(">")  # behind it there are no tags, only text that looks like them
+    ends: dict[str, int] = {}
+
+    def closes(name: str) -> bool:
+        """Whether an end tag of ``name`` follows."""
+        if name not in ends:
+            ends[name] = page.lower().rfind(f"</{name}")
+        return ends[name] >= at
 
     def text(piece: str) -> None:
         nonlocal current
@@ -121,7 +138,7 @@ def blocks(page: str | None) -> list[Block]:
         current.parts.append(piece)
         current.linked += len(piece) if links else 0
 
-    while m := _TOKEN.search(page, at):
+    while at <= last and (m := _TOKEN.search(page, at)):
         if page[at : m.start()].strip():
             head = head and skip is not None  # HTML ends an open head at text
         if m.start() > at and skip is None and not head:
@@ -136,15 +153,23 @@ def blocks(page: str | None) -> list[Block]:
             at = _plain_end(page, at, name)
             continue
         if skip is not None:
-            skip = None if closing and name == skip else skip
-            continue
+            if name == skip:
+                inside += 1 if opens else -1 if closing else 0
+                skip = skip if inside else None
+                continue
+            if name == "foreignobject":
+                within += 1 if opens else -1 if closing else 0
+            if skip != "svg" or within > 0 or closing or name not in NO_DRAWING:
+                continue
+            skip = None  # the drawing ends here, and the element counts
         if name == "head":
             head = opens
             continue
         # An open head also ends at the first element that cannot stand in it.
         head = head and (name in HEAD or closing and name not in ("body", "html"))
         if name in RAW:
-            skip = name if opens and name not in PLAIN else None
+            if opens and name not in PLAIN and closes(name):
+                skip, inside, within = name, 1, 0
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -162,8 +187,9 @@ def blocks(page: str | None) -> list[Block]:
                     stack.pop()
             words = [w.lower() for g in _NAMES.findall(m[3] or m[6] or "") for w in _WORD.findall(" ".join(g))]
             stack.append((name, (name, *(f".{w}" for w in words))))
-    if at < len(page) and skip is None and (not head or page[at:].strip()):
-        text(page[at:])
+    rest = page[at:].partition("<!--")[0]  # a comment that stays open reaches to the end
+    if rest and skip is None and (not head or rest.strip()):
+        text(rest)
     return [b for b in out if b.text]
 
 
@@ -414,20 +440,22 @@ def train(pages: list[str], seed: int = 3) -> Labeller:
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a in range(0, len(frame), 256):
-                part = frame.iloc[a : a + 256]
-                found = [blocks(h if isinstance(h, str) else None) for h in part["html"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                found = [blocks(h) for h in part.column(2).to_pylist()]
                 texts = [[b.text for b in page] for page in found]
                 labels = model.label([features(page, own) for page, own in zip(found, texts)])
                 out = [" ".join(t for t, y in zip(own, keep) if y) for own, keep in zip(texts, labels)]
-                yield pd.DataFrame({
-                    "page_id": part["page_id"].to_numpy(), "url": part["url"].to_numpy(), "text": out,
-                    "n_chars": [len(t) for t in out],
-                })
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
+                    ["page_id", "url", "text", "n_chars"],
+                )
+
+    # Ids pass through as they are: NULL and large ones would not survive pandas.
+    rows = bound_batches(pages).select(F.col("page_id").cast("long"), "url", "html")
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def fit_labeller(pages: DataFrame) -> Labeller:
