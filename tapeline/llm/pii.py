@@ -9,7 +9,8 @@ Base kinds are ``email``, ``ip``, ``card`` and ``phone``; the method adds ``url`
 Offsets are code points, ends exclusive; kinds in this order, then by start.
 
 Defined results: NULL and empty texts have no span; every row gives one row, repeated rows
-too; other columns are ignored. Only one text is in memory beyond its Arrow batch.
+too; other columns are ignored whatever their names; an empty table gives no rows; a text of any length is read
+whole, in linear time. Only one text is in memory beyond its Arrow batch.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def find(text: str | None) -> list[Span]:
     if not text:
         return []
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
-    mail_end = dotted_end = grouped_end = 0
+    mail_end = dotted_end = grouped_end = url_end = 0
     for end, anchor in _MACHINE.iter(text):
         if anchor == "d":
             if end >= dotted_end:
@@ -101,15 +102,16 @@ def find(text: str | None) -> list[Span]:
         elif anchor == "+":
             if (number := _DIALLED.match(text, end)) and 8 <= sum(map(str.isdigit, number[0])) <= 15:
                 found["phone"].append(("phone", end, number.end()))
-        elif anchor == "u":
+        elif anchor == "u" and end - 2 >= url_end:
             colon = start = end - 2
             while start and text[start - 1] in _SCHEME:
                 start -= 1
             if start < colon and (rest := _URL.match(text, colon)):
+                url_end = rest.end()  # a scheme inside is part of this address
                 stop = colon + len(rest[0].rstrip(".,;:!?)]}"))
                 if stop > colon + 3:
                     found["url"].append(("url", start, stop))
-        else:
+        elif anchor == "c":
             if m := _IBAN.match(text, end + 1):
                 if iban_valid(m[1].replace(" ", "")):
                     found["iban"].append(("iban", m.start(1), m.end(1)))
