@@ -94,8 +94,8 @@ def test_alignment_of_odd_texts(odd):
     assert [r.groups for r in rows] == [g[2] for g in groups]
     pairs = alignment.aligner(alignment.default_paths()).pairs
     for row, (_, _, _, links) in zip(rows, groups):
-        keys = pairs.keys[np.frombuffer(row.links, np.int32)]
-        assert [divmod(int(k), pairs.width) for k in keys] == links
+        a, b = (np.array([p[i] for p in links], np.int64) for i in (0, 1))
+        assert np.frombuffer(row.links, np.int32).tolist() == pairs.places(a, b).tolist()
 
 
 def test_alignment_of_documents(spark, documents):  # noqa: F811
@@ -108,9 +108,10 @@ def test_pointers_reach_the_last_token_of_a_chain():
     # Tokens of A end at 2, 4, ..., those of B at 1, 3, ..., and both at the very end: one component.
     n = 1000
     a_ends, b_ends = np.arange(2, 2 * n + 1, 2), np.append(np.arange(1, 2 * n, 2), 2 * n)
-    assert set(alignment.terminals(a_ends, b_ends).tolist()) == {len(a_ends) + len(b_ends) - 1}
-    same = np.arange(1, 6)
-    assert alignment.terminals(same, same).tolist() == [5, 6, 7, 8, 9] * 2
+    sizes = [np.diff(e, prepend=0) for e in (a_ends, b_ends)]
+    assert set(alignment.terminals(a_ends, b_ends, *sizes).tolist()) == {len(a_ends) + len(b_ends) - 1}
+    same, ones = np.arange(1, 6), np.ones(5, np.int64)
+    assert alignment.terminals(same, same, ones, ones).tolist() == [5, 6, 7, 8, 9] * 2
 
 
 def test_runs_do_not_matter(odd, monkeypatch):
@@ -121,11 +122,13 @@ def test_runs_do_not_matter(odd, monkeypatch):
     assert [(r["groups"], r["links"].tolist()) for r in machine.texts(texts)] == whole
 
 
-def test_pairs_hold_every_suffix_and_nothing_else():
-    pairs = alignment.Pairs([b"ab", b"b", b"", b"cab"], [b"b", b"", b"xab", b"c", b"b"])
-    found = {divmod(int(k), pairs.width) for k in pairs.keys}
-    assert found == {(0, 0), (0, 2), (0, 4), (1, 0), (1, 2), (1, 4), (3, 0), (3, 4)}
-    assert pairs.places(np.array([1]), np.array([2])).tolist() == [sorted(found).index((1, 2))]
+def test_places_tell_all_pairs_apart():
+    a_tokens, b_tokens = [b"ab", b"b", b"", b"cab"], [b"b", b"", b"xab", b"c", b"b", b"ab"]
+    pairs = alignment.Pairs(a_tokens, b_tokens)
+    linked = [(i, j) for i, x in enumerate(a_tokens) for j, y in enumerate(b_tokens) if x and y and (x.endswith(y) or y.endswith(x))]
+    places = pairs.places(*(np.array([p[k] for p in linked]) for k in (0, 1)))
+    assert len(set(places.tolist())) == len(linked) and places.max() < pairs.size
+    assert pairs.b_ids()[places].tolist() == [j for _, j in linked]
 
 
 def test_edges(edges, nothing):  # noqa: F811
@@ -134,3 +137,23 @@ def test_edges(edges, nothing):  # noqa: F811
     empty = [r for r in rows if r.doc_id in (1, 2)]
     assert all((r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) == (0, 0, 0, 0, 0, 0, "") for r in empty)
     assert alignment.alignment(nothing).count() == 0
+
+
+def test_both_byte_level_encoders_agree():
+    """Every code point beside letters, numbers, spaces and marks, by the library that reads the file itself."""
+    encoder = alignment.ByteLevel(alignment.default_paths()[0])
+    assert encoder.fast is not None
+    points = [*range(1, 0x3000), *range(0x3000, 0xD800, 37), *range(0xE000, 0x20000, 11), *range(0x20000, 0x110000, 997)]
+    for c in map(chr, points):
+        text = f" a{c}b {c}1{c} {c}{c}! {c}'s  {c}\n"
+        assert encoder.encode(text) == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("piece", ["x", " ", "=", "ab ", "\n", "a\u0301", "中"])
+def test_long_runs_take_bounded_time(piece):
+    import time
+
+    machine = alignment.aligner(alignment.default_paths())
+    began = time.process_time()
+    (row,) = machine.texts([piece * 300_000])
+    assert row["n_a"] > 0 and time.process_time() - began < 20
