@@ -239,8 +239,11 @@ def components(edges: DataFrame) -> DataFrame:
         ends = left.select("a", "b").union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
         points = materialize(ends.select(F.col("a").alias("text_id"), F.least("a", "b").alias("label")))
         while True:
-            jump = points.select(F.col("text_id").alias("label"), F.col("label").alias("further"))
-            step = materialize(points.join(jump, "label").select("text_id", F.col("further").alias("label"), (F.col("further") < F.col("label")).alias("moved")))
+            # Two steps at a time: pointers seldom run further, and every look costs a job.
+            twice = points.join(points.select(F.col("text_id").alias("label"), F.col("label").alias("further")), "label")
+            twice = twice.select("text_id", F.col("further").alias("label"))
+            jump = twice.select(F.col("text_id").alias("label"), F.col("label").alias("further"))
+            step = materialize(twice.join(jump, "label").select("text_id", F.col("further").alias("label"), (F.col("further") < F.col("label")).alias("moved")))
             points = step.select("text_id", "label")
             if not step.where("moved").take(1):
                 break
