@@ -1,20 +1,23 @@
 """Benchmark decontamination: a BM25 index of test items, searched by every training passage.
 
 The index is inverted: terms with postings (item, impact), the items in blocks of ``BLOCK`` with like
-self-scores. A document is cut into segments as long as the longest item, and two
-neighbouring segments form a passage, so that an item lies whole in some passage. Search is
+self-scores. Items of like length, up to the same power of two of words, share an index; for it a document is cut
+into segments of that many words, and two neighbouring segments form a passage, so that an item lies whole in some
+passage, and its passages depend on its own length only. Search is
 block-max WAND over sets of terms: a term's largest impact in a block bounds what it can add
 there; a (passage, block) pair whose bounds stay under the block's threshold is skipped, the
 others are scored in full. All items with at least ``RETRIEVE`` of their own greatest score are
 retrieved, and verified: a leak holds ``OVERLAP`` of the five-word shingles that start in the
-question and of those that touch the answer (the last sentence).
+question and of those that touch the answer (the last sentence), or ``WHOLE`` of all of them.
 
 Only the index, at most ``SHARD_ITEMS * SHARDS_AT_ONCE`` items, is sent to the tasks; a larger
-benchmark takes further passes over the documents. Documents are never shuffled.
+benchmark takes further passes over the documents. Documents are never shuffled. What is told of an item does not
+depend on the other items, but for the document frequencies that weigh its terms.
 
 Defined results: NULL and empty texts, of documents and items, never match; an item shorter than
 five words is one shingle; repeated items count once, repeated documents each; a document
-reports each item once, with the best passage. Other columns are ignored.
+reports each item once, with the best passage. Documents of any length are searched whole; an empty table on either side gives
+no leaks; other columns are ignored whatever their names, and pass through where documents are kept.
 """
 
 from __future__ import annotations
@@ -36,11 +39,11 @@ from tapeline.session import materialize
 K1, B = 1.2, 0.75
 BLOCK = 16
 RETRIEVE = 0.5
-OVERLAP = 0.5
+OVERLAP, WHOLE = 0.5, 0.8
 SHARD_ITEMS = 512
 SHARDS_AT_ONCE = 4
 
-_SENTENCE = re.compile(r"[.!?\n]+\s*(?=\S)")
+_SENTENCE = re.compile(r"(?:[.!?]+\s+|\n\s*)(?=\S)")
 
 
 def answer_start(text: str) -> int:
@@ -49,21 +52,33 @@ def answer_start(text: str) -> int:
     return len(doc_words([text.strip()[: ends[-1]]])[0]) if ends else 0
 
 
-def _terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for shard, item, text in zip(frame["shard"], frame["item_id"], frame["text"]):
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per item and term; ids stay Arrow values, so that NULL beside large numbers does no harm."""
+    for batch in batches:
+        places, columns = [], {"text": [], "length": [], "step": [], "term": [], "tf": []}
+        for place, text in enumerate(batch.column(1).to_pylist()):
             words = doc_words([text])[0]
             terms, tf = np.unique(words, return_counts=True)
-            yield pd.DataFrame({
-                "shard": shard, "item": item, "text": text, "length": len(words),
-                "term": terms.view(np.int64), "tf": tf,
-            })
+            places += [place] * len(terms)
+            columns["text"] += [text] * len(terms)
+            columns["length"] += [len(words)] * len(terms)
+            columns["step"] += [step_of(len(words))] * len(terms)
+            columns["term"] += terms.view(np.int64).tolist()
+            columns["tf"] += tf.tolist()
+        kinds = {"text": pa.string(), "length": pa.int32(), "step": pa.int32(), "term": pa.int64(), "tf": pa.int32()}
+        made = {c: pa.array(values, kinds[c]) for c, values in columns.items()}
+        yield pa.RecordBatch.from_pydict({"item": batch.column(0).take(pa.array(places, pa.int64())), **made})
+
+
+def step_of(length: int) -> int:
+    """The power of two that is the segment length for items of so many words."""
+    return max(0, length - 1).bit_length()
 
 
 class Index:
-    """One shard: sorted terms, dense impacts by item, block maxima and thresholds, item shingles."""
+    """One shard, of items with one stride: sorted terms, dense impacts by item, block maxima and thresholds, item shingles."""
 
-    def __init__(self, postings: pd.DataFrame, items: int, mean_length: float):
+    def __init__(self, postings: pd.DataFrame, step: int, items: int, mean_length: float):
         texts = postings.drop_duplicates(["item", "text"]).reset_index(drop=True)
         self.items = texts["item"].to_numpy()
         place = {pair: i for i, pair in enumerate(zip(texts["item"], texts["text"]))}
@@ -83,7 +98,7 @@ class Index:
         self.bounds = np.maximum.reduceat(self.impact, starts, axis=0)
         self.own = self.impact.sum(1)
         self.need = RETRIEVE * self.own[starts]
-        self.stride = int(texts["length"].max())
+        self.stride = 1 << step
         self.width, self.shingles, self.answers = [], [], []
         for text in texts["text"]:
             words, offsets = doc_words([text])
@@ -100,13 +115,14 @@ class Index:
         good = self.terms[number] == words[at]
         return at[good], number[good]
 
-    def overlaps(self, item: int, words: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's and of the answer's shingles found among a passage's words."""
+    def overlaps(self, item: int, words: np.ndarray) -> tuple[float, float, float]:
+        """Shares of the question's, of the answer's and of all shingles found among a passage's words."""
         width, own, answer = self.width[item], self.shingles[item], self.answers[item]
         there = np.isin(own, _runs(words, width))
         first = np.arange(len(own))
         question = there[first < answer] if answer else there
-        return float(question.mean()) if len(question) else 1.0, float(there[first + width > answer].mean())
+        whole = float(there.mean())
+        return float(question.mean()) if len(question) else 1.0, float(there[first + width > answer].mean()), whole
 
     def _passages(self, impacts: np.ndarray, begins: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """Sums over each segment and the one that follows it in the same document."""
@@ -114,8 +130,8 @@ class Index:
         sums[:-1] += np.where(follows[:-1], sums[1:], 0)
         return sums
 
-    def search(self, words: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, float]]:
-        """Leaks (document, item, score, question overlap, answer overlap) in a batch of documents."""
+    def search(self, words: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, float, float]]:
+        """Leaks (document, item, score, overlaps of question, answer and whole) in a batch of documents."""
         at, number = self.lookup(words)
         if not len(at):
             return []
@@ -132,7 +148,7 @@ class Index:
         follows = np.zeros(len(used), bool)
         follows[:-1] = (used[1:] == used[:-1] + 1) & (owner[1:] == owner[:-1])
         place = np.repeat(np.arange(len(used)), ends - begins)
-        best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
+        best: dict[tuple[int, int], tuple[float, float, float, float, float]] = {}
         for block, start in enumerate(self.starts):
             live = np.flatnonzero(self._passages(self.bounds[block][number], begins, follows) >= self.need[block])
             if not len(live):
@@ -155,9 +171,9 @@ class Index:
                         continue
                     d = int(owner[s])
                     a = offsets[d] + (used[s] - first[d]) * self.stride
-                    question, answer = self.overlaps(i, words[a : min(a + 2 * self.stride, offsets[d + 1])])
-                    if question >= OVERLAP and answer >= OVERLAP:
-                        found = (question + answer, score, question, answer)
+                    question, answer, whole = self.overlaps(i, words[a : min(a + 2 * self.stride, offsets[d + 1])])
+                    if min(question, answer) >= OVERLAP or whole >= WHOLE:
+                        found = (question + answer, score, question, answer, whole)
                         if (d, i) not in best or found > best[d, i]:
                             best[d, i] = found
         return [(d, i, *found[1:]) for (d, i), found in best.items()]
@@ -174,23 +190,37 @@ def _runs(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
-    """The index, in groups of at most ``SHARDS_AT_ONCE`` shards."""
-    items = benchmark.select("item_id", "text").where(F.length(F.trim("text")) > 0).dropDuplicates()
-    shards = max(1, math.ceil(items.count() / SHARD_ITEMS))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
-    terms = materialize(items.mapInPandas(
-        _terms, f"shard int, item {dict(benchmark.dtypes)['item_id']}, text string, length int, term long, tf int"
-    ))
+    """The index, in groups of shards that hold at most ``SHARD_ITEMS * SHARDS_AT_ONCE`` items together."""
+    kind = dict(benchmark.dtypes)["item_id"]
+    items = benchmark.select(F.col("item_id").alias("item"), "text").where(F.length(F.trim("text")) > 0).dropDuplicates()
+    terms = materialize(items.mapInArrow(_terms, f"item {kind}, text string, length int, step int, term long, tf int"))
     sizes = terms.select("item", "text", "length").distinct().agg(F.count("*"), F.avg("length")).first()
     if not sizes[0]:
         return
+    # One count for each power of two.
+    counts = {r["step"]: r["n"] for r in terms.select("item", "text", "step").distinct().groupBy("step").agg(F.count("*").alias("n")).collect()}
+    parts = F.element_at(F.create_map(*[F.lit(x) for s, n in counts.items() for x in (s, math.ceil(n / SHARD_ITEMS))]), F.col("step"))
     postings = terms.join(terms.groupBy("term").agg(F.count("*").alias("df")), "term")
-    for low in range(0, shards, SHARDS_AT_ONCE):
-        part = postings.where(F.col("shard").between(low, low + SHARDS_AT_ONCE - 1)).toPandas()
-        part = part.sort_values(["item", "text", "term"])
-        group = [Index(rows, sizes[0], float(sizes[1])) for _, rows in part.groupby("shard")]
-        if group:
-            yield group
+    postings = postings.withColumn("part", F.pmod(F.xxhash64("item", "text"), parts).cast("int"))
+    wait: list[tuple[int, int]] = []
+    room = SHARD_ITEMS * SHARDS_AT_ONCE
+    for s, n in sorted(counts.items()):
+        for part in range(math.ceil(n / SHARD_ITEMS)):
+            own = min(n, SHARD_ITEMS)
+            if wait and own > room:
+                yield _shards(postings, wait, sizes)
+                wait, room = [], SHARD_ITEMS * SHARDS_AT_ONCE
+            wait.append((s, part))
+            room -= own
+    yield _shards(postings, wait, sizes)
+
+
+def _shards(postings: DataFrame, wanted: list[tuple[int, int]], sizes: tuple) -> list[Index]:
+    chosen = F.lit(False)
+    for step, part in wanted:
+        chosen = chosen | ((F.col("step") == step) & (F.col("part") == part))
+    rows = postings.where(chosen).toArrow().to_pandas(integer_object_nulls=True).sort_values(["item", "text", "term"])
+    return [Index(own, int(step), sizes[0], float(sizes[1])) for (step, _), own in rows.groupby(["step", "part"])]
 
 
 def _found(group: list[Index], texts: list[str | None]) -> Iterator[tuple[int, Index, tuple]]:
@@ -204,7 +234,7 @@ def _found(group: list[Index], texts: list[str | None]) -> Iterator[tuple[int, I
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and leaked item."""
     kind = dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id long, item_id {kind}, score double, question_overlap double, answer_overlap double"
+    schema = f"doc_id long, item_id {kind}, score double, question_overlap double, answer_overlap double, whole_overlap double"
     names = [f.split(" ")[0] for f in schema.split(", ")]
     out = docs.sparkSession.createDataFrame([], schema)
     for group in indexes(benchmark):
