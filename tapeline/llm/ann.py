@@ -13,7 +13,8 @@ is all that an answer can name, so that copies by the thousand cost nothing.
 
 Defined results: vectors that are NULL, empty, zero or hold NULL or non-finite values take no
 part; vectors of another length than the query's are no candidates; of rows with equal ``vec_id``
-the smallest vector counts; equal scores go to the smaller id; other columns are ignored.
+the smallest vector counts; equal scores go to the smaller id; other columns are ignored whatever their
+names; an empty table, or one without a query, gives no rows.
 """
 
 from __future__ import annotations

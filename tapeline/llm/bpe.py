@@ -20,7 +20,8 @@ decoder) asks for. Words met before are looked up.
 
 Defined results: NULL counts as the empty text, which has no token; special tokens written
 out in a text become their ids, as in the public library. Each row gives one row, in place;
-other columns are ignored.
+an empty table gives none; texts of any length are encoded whole, a word that fills one too; other columns are
+ignored whatever their names. Texts with characters newer than Python's tables are split by the public library.
 """
 
 from __future__ import annotations

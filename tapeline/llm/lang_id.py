@@ -11,7 +11,8 @@ two codewords almost equally near is flagged ambiguous.
 
 Defined results: a NULL text, or one without a letter, is ``und`` with score 0; with no
 labelled row at all every text is ``und``; with one language every text with a letter gets
-it. Ties go to the alphabetically first language. Other columns are never read.
+it. Ties go to the alphabetically first language. Other columns are never read;
+an empty table gives no rows; texts of any length are read whole.
 """
 
 from __future__ import annotations

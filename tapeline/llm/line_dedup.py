@@ -25,7 +25,8 @@ the lines that go, on id and hash of the text, by broadcast if those were counte
 
 Defined results: NULL and empty texts stay as they are; lines without a word always stay; rows
 with equal ``doc_id`` are told apart by their text; rows equal in both are judged alike (lines of
-equal number tie, and ties stay); NULL ``doc_id`` comes first; other columns pass through.
+equal number tie, and ties stay); NULL ``doc_id`` comes first; other columns pass through
+whatever their names; an empty table gives no rows; lines of any length are compared whole.
 """
 
 from __future__ import annotations
