@@ -64,6 +64,32 @@ def quantile(table: DataFrame, share: float) -> DataFrame:
     return table.where(reached).agg(F.min("n_tokens").alias("n_tokens"))
 
 
+def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
+    """The columns of ``length_table`` for any context limits, one row each; none without documents.
+
+    What is longer than a limit is what is longer than the largest length up to it, or everything.
+    """
+    below = {n: F.max_by(F.struct("docs_longer", "tokens_longer"), F.when(F.col("n_tokens") <= n, F.col("n_tokens"))) for n in limits}
+    exact = {n: F.coalesce(F.sum(F.when(F.col("n_tokens") == n, F.col("n_docs"))), F.lit(0)) for n in limits}
+    summed = table.agg(
+        F.max("total_docs").alias("total_docs"), F.max("total_tokens").alias("total_tokens"),
+        F.array(*[F.struct(F.lit(n).cast("long").alias("n_tokens"), exact[n].alias("n_docs"), below[n].alias("b")) for n in limits]).alias("rows"),
+    ).where(F.col("total_docs").isNotNull())
+    rows = summed.select("total_docs", "total_tokens", F.explode("rows").alias("r")).select("total_docs", "total_tokens", "r.*")
+    rows = rows.withColumns({
+        "docs_longer": F.coalesce("b.docs_longer", "total_docs"), "tokens_longer": F.coalesce("b.tokens_longer", "total_tokens"),
+    })
+    cut = F.col("total_tokens") - F.col("tokens_longer") + F.col("n_tokens") * F.col("docs_longer")
+    return rows.withColumn("truncated_tokens", cut).select(*table.columns)
+
+
+# Context limits that the query reports beside the lengths it meets, and quantiles of the lengths.
+LIMITS = [1 << k for k in range(7, 21)]
+SHARES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Every encoded length of ``documents`` as a limit."""
-    return length_table(lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Every encoded length of ``documents`` and every power of two in ``LIMITS`` as a limit, beside quantiles of the lengths."""
+    table = materialize(length_table(lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    rows = table.unionByName(at_limits(table, LIMITS).where("n_docs = 0"))
+    return rows.withColumns({name: quantile(table, share).scalar() for name, share in SHARES.items()})
