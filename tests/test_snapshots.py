@@ -187,3 +187,20 @@ def test_buckets_grow_with_the_tickers(spark, tmp_path):
     assert counts == [4, 4, 4, 8, 64, 4096]
     store.save_prices(spark, str(tmp_path / "p"), bars(spark, [date(2023, 1, 2)]))
     assert snapshots.current(spark, str(tmp_path / "p")).buckets == 4
+
+
+def test_new_tables_get_cells_that_fill(spark, tmp_path):
+    """Sixty thousand tickers with six bars a month are no reason for cells of a few rows."""
+    assert snapshots.buckets_for(60_000, 32_000_000, 2_500) == 32
+    assert snapshots.buckets_for(60_000, 60_000, 1) == 128  # one day of daily bars
+    assert snapshots.buckets_for(1_000_000, 20_000_000, 1) == 4096 and snapshots.buckets_for(0, 0, 0) == 4
+    codes = F.lpad(F.col("id").cast("string"), 6, "0")
+    value = F.lit(1.0)
+    thin = spark.range(2000).select(
+        codes.alias("ticker_code"), F.date_add(F.lit("2023-01-01").cast("date"), (F.col("id") % 50).cast("int")).alias("date"),
+        *[value.alias(c) for c in ("open", "high", "low", "close", "adj_close")], F.lit(1).cast("long").alias("volume"),
+    )
+    store.save_prices(spark, str(tmp_path / "p"), thin)
+    now = snapshots.current(spark, str(tmp_path / "p"))
+    assert now.buckets == 4 and len(now.cells) == 8
+    assert store.read_fact(spark, str(tmp_path / "p"), schemas.PRICES).count() == 2000
