@@ -1,9 +1,13 @@
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
+from tapeline import catalog, session
 from tapeline.operators import views
 from tapeline.sources import market_tables as market
 
@@ -50,3 +54,37 @@ def test_order_keys_sort_like_their_parts(spark):
         assert kind == ("bigint" if max(rows)[0] < big else "decimal(38,0)")
     none = spark.createDataFrame([], "a long, b int, c long")
     assert none.select(market.order_key(none, {c: F.col(c) for c in "abc"}).alias("k")).count() == 0
+
+
+@pytest.fixture
+def ticks(tmp_path):
+    """Three suppliers with a line item on each of 320 days."""
+    days = [(date(1998, 1, 1) + timedelta(days=i), s) for s in (1, 2, 3) for i in range(320)]
+    n = len(days)
+    table = pa.table({
+        "l_orderkey": pa.array(range(n), pa.int64()), "l_linenumber": pa.array([1] * n, pa.int32()), "l_partkey": pa.array([1] * n, pa.int64()),
+        "l_suppkey": pa.array([s for _, s in days], pa.int64()), "l_shipdate": pa.array([d for d, _ in days], pa.date32()),
+        "l_extendedprice": [100.0 + (i * i * 7919) % 31 for i in range(n)], "l_quantity": [1.0] * n, "l_discount": [0.0] * n,
+    })
+    pq.write_table(table, str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+def test_series_tasks_keep_their_size(spark, ticks, monkeypatch):
+    """The indicator windows run in tasks of a number of rows, however many rows there are."""
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    table = catalog._indicators(spark, ticks, ["ma_5"])
+    assert table.rdd.getNumPartitions() == 20
+    assert market.series_bars(spark, ticks).exceptAll(market.daily_bars(spark, ticks)).isEmpty() and table.count() == 960
+
+
+def test_passes_of_a_fit_read_labelled_rows(spark, ticks, monkeypatch):
+    """Labels are made in the layout of the indicators and written with them, not found anew in each pass."""
+    monkeypatch.setattr(catalog.learn, "fit_model", lambda rows, features, candidate: None)
+    names = catalog.training.FEATURES
+    table, rows, _ = catalog._plain_model(spark, ticks)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    full = catalog._training_table(spark, ticks)
+    want = catalog.labels.training_rows(catalog.labels.forward_label(full), names).select(rows.columns)
+    assert rows.exceptAll(want).isEmpty() and rows.count() == want.count() and table.count() == full.dropna(subset=names).count()
