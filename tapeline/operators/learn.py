@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import PCA, PCAModel, SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ GRID_MAX_ITER = [1000, 2000]
 N_SPLITS = 5
 BACKTEST_THRESHOLD = 0.57
 DEFAULT_THRESHOLD = 0.5
+# Directions with a smaller share of the features' spread hold rounding errors alone.
+LEAST_SPREAD = 1e-12
 
 
 def check_features(df: DataFrame, features: list[str], ignore: list[str]) -> None:
@@ -83,6 +85,30 @@ def feature_steps(train: DataFrame, features: list[str]) -> list:
     return [scaler(train, features), VectorAssembler(inputCols=names, outputCol="features")]
 
 
+def turned_steps(train: DataFrame, features: list[str], n_rows: int) -> list:
+    """``feature_steps`` and a turn into the principal directions of the features, fitted on ``train``.
+
+    Averages of one price are nearly collinear, and a fit on them takes a thousand steps. A turn leaves the penalty
+    and so the best fit as they are, and MLlib scales each direction by its own deviation: a few dozen steps are enough.
+    Directions without any spread, as features that are sums of others have, are left out.
+    """
+    steps = Pipeline(stages=feature_steps(train, features)).fit(train).stages
+    if n_rows < 2:
+        return [*steps, VectorSlicer(inputCol="features", outputCol="turned", indices=list(range(len(features))))]
+    turn = PCA(k=len(features), inputCol="features", outputCol="directions").fit(PipelineModel(steps).transform(train))
+    kept = max(1, int(np.sum(turn.explainedVariance.toArray() > LEAST_SPREAD)))
+    return [*steps, turn, VectorSlicer(inputCol="directions", outputCol="turned", indices=list(range(kept)))]
+
+
+def coefficients(steps: PipelineModel) -> np.ndarray:
+    """The coefficients of the standardised features: those of a turned fit, turned back."""
+    fitted = steps.stages[-1].coefficients.toArray()
+    for step in steps.stages:
+        if isinstance(step, PCAModel):
+            return step.pc.toArray()[:, : len(fitted)] @ fitted
+    return fitted
+
+
 @dataclass(frozen=True)
 class Candidate:
     c: float
@@ -112,7 +138,7 @@ class SignalModel:
         if missing:
             raise ValueError(f"feature columns missing: {missing}")
         out = self.steps.transform(df).withColumn("p1", vector_to_array("probability")[1])
-        return out.drop("features", "rawPrediction", "probability", *[f"z_{c}" for c in self.features])
+        return out.drop("features", "directions", "turned", "rawPrediction", "probability", *[f"z_{c}" for c in self.features])
 
     def predict(self, df: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
         """Set ``prediction``: the model's class at 0.5, else ``p1 >= threshold``."""
@@ -146,7 +172,9 @@ class SignalModel:
         return SignalModel(list(r["features"]), steps, best, r["cv_score"], r["saved_at"])
 
 
-def _fit(rows: DataFrame, candidate: Candidate, counts: dict[float, int]) -> LogisticRegressionModel:
+def _fit(
+    rows: DataFrame, candidate: Candidate, counts: dict[float, int], column: str = "features"
+) -> LogisticRegressionModel:
     """One fit; ``counts`` are the class sizes of ``rows``.
 
     An inverse strength ``C`` on summed loss is ``1 / (C n)`` on MLlib's mean loss;
@@ -155,7 +183,7 @@ def _fit(rows: DataFrame, candidate: Candidate, counts: dict[float, int]) -> Log
     n = sum(counts.values())
     estimator = LogisticRegression(
         regParam=1.0 / (candidate.c * n), elasticNetParam=0.0, standardization=False,
-        maxIter=candidate.max_iter, tol=1e-12, featuresCol="features", labelCol="label",
+        maxIter=candidate.max_iter, tol=1e-12, featuresCol=column, labelCol="label",
     )
     if candidate.class_weight == "balanced":
         weight = F.lit(None).cast("double")
@@ -185,11 +213,14 @@ def _total(sizes: dict[int, dict[float, int]], below: int | None = None) -> dict
 
 def fit_model(train: DataFrame, features: list[str], candidate: Candidate) -> SignalModel:
     """Scale and fit one candidate, without a search."""
-    steps = Pipeline(stages=feature_steps(train, features)).fit(train)
-    rows = steps.transform(train).select("features", "label")
     counts = _total(_class_sizes(train.withColumn("_all", F.lit(0)), "_all"))
-    fitted = _fit(rows, candidate, counts)
-    return SignalModel(features, PipelineModel([*steps.stages, fitted]), candidate, float("nan"))
+    return SignalModel(features, _fitted_steps(train, features, candidate, counts), candidate, float("nan"))
+
+
+def _fitted_steps(train: DataFrame, features: list[str], candidate: Candidate, counts: dict[float, int]) -> PipelineModel:
+    steps = turned_steps(train, features, sum(counts.values()))
+    rows = PipelineModel(steps).transform(train).select("turned", "label")
+    return PipelineModel([*steps, _fit(rows, candidate, counts, "turned")])
 
 
 @dataclass
@@ -357,8 +388,7 @@ def grid_search(
                 own = [(i, problems[i].after(limit).tobytes()) for i in range(at * len(folds), (at + 1) * len(folds))]
                 outcome.append((Candidate(c, weight, limit), sum(share[key] for key in own) / len(folds)))
         best, score = max(outcome, key=lambda pair: pair[1])
-        steps = Pipeline(stages=feature_steps(rows, features)).fit(rows)
-        fitted = PipelineModel([*steps.stages, _fit(steps.transform(rows).select("features", "label"), best, _total(sizes))])
+        fitted = _fitted_steps(rows, features, best, _total(sizes))
     finally:
         rows.unpersist()
     return SignalModel(features, fitted, best, score), outcome
@@ -382,7 +412,7 @@ def certificate(model: SignalModel, train: DataFrame) -> DataFrame:
         F.sum(error).alias("intercept"), *[F.sum(error * F.col(f"z_{c}")).alias(c) for c in model.features], F.count("*").alias("_n"),
     )
     # The intercept carries no penalty.
-    betas = [("intercept", float(fitted.intercept), 0.0)] + [(c, float(b), float(b) / best.c) for c, b in zip(model.features, fitted.coefficients)]
+    betas = [("intercept", float(fitted.intercept), 0.0)] + [(c, float(b), float(b) / best.c) for c, b in zip(model.features, coefficients(model.steps))]
     rows = F.explode(F.array(*[
         F.struct(F.lit(c).alias("name"), F.lit(b).alias("coefficient"), ((F.col(c) + F.lit(pull)) / F.col("_n")).alias("gradient"), F.col("_n").alias("n_rows"))
         for c, b, pull in betas

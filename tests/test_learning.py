@@ -290,3 +290,24 @@ def test_sketched_cut_keeps_its_error(spark, error):
     assert timesplit.sketched_cut(df.limit(0)) is None
     with pytest.raises(ValueError):
         timesplit.sketched_cut(df, 0.2, 0.0)
+
+
+def test_collinear_features_take_few_steps(spark):
+    """Averages of one price: near copies of each other and an exact sum; the fit is the best one within a hundred steps."""
+    rng = np.random.default_rng(5)
+    walk = 100 + np.cumsum(rng.normal(0, 1, 3000))
+    near = walk + rng.normal(0, 0.05, 3000)
+    far = walk + rng.normal(0, 1, 3000)
+    up = (rng.normal(0, 1, 3000) + 4 * (near - walk) + 0.1 * (far - walk) > 0.1).astype(float)
+    names = ["a", "b", "c", "d"]
+    rows = spark.createDataFrame(
+        [tuple(map(float, r)) for r in zip(walk, near, far, near - far, up)], "a double, b double, c double, d double, label double"
+    ).cache()
+    for weight in (None, "balanced"):
+        model = learn.fit_model(rows, names, learn.Candidate(100.0, weight, 1000))
+        assert model.steps.stages[-1].summary.totalIterations < 100
+        assert max(abs(r["gradient"]) for r in learn.certificate(model, rows).collect()) < 1e-6
+    assert set(model.score(rows).columns) == {*names, "label", "p1", "prediction"}
+    flat = spark.createDataFrame([(1.0, 0.0), (1.0, 1.0)], "a double, label double")
+    assert learn.fit_model(flat, ["a"], learn.Candidate(1.0, None, 10)).score(flat).first()["p1"] == pytest.approx(0.5)
+    rows.unpersist()
